@@ -1,11 +1,564 @@
-"""All queries of the reference's own operators, and their SQL twins."""
+"""Queries of the library's own operators over the test tables, and their SQL twins."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from clickloom.functions import dates, text, udfs, vectors
+from clickloom.operators import enrich, features, flow, models, scoring
+from clickloom.sources import sinks
+from clickloom.sources.tables import signals_docs, signals_events, table
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+EVENTS_CTE = """
+base AS (
+  SELECT user_id, CAST(ts AS DATE) AS day, least(1.0::DOUBLE, 0.5::DOUBLE * count(*) FILTER (WHERE event_type = 'purchase')) AS result
+  FROM events GROUP BY 1, 2
+), feat AS (
+  SELECT DISTINCT user_id, CAST(ts AS DATE) AS day, unnest([CASE WHEN event_type <> 'purchase' THEN 'type_' || event_type END, 'hour_' || hour(ts), 'weekday_' || (isodow(ts) - 1)]) AS feature FROM events
+), longs AS (
+  SELECT user_id, day, result, feature FROM base JOIN feat USING (user_id, day)
+  WHERE feature IS NOT NULL AND NOT starts_with(feature, 'hour_') AND NOT starts_with(feature, 'weekday_')
+)"""
+DOCS_CTE = """
+sample AS (
+  SELECT d.doc_id AS sample_id, CAST(quality AS DOUBLE) AS result, n_chars,
+         ['lang_' || lang, 'src_' || source, 'len_' || (CASE WHEN n_chars >= 5000 THEN 3 WHEN n_chars >= 1000 THEN 2 WHEN n_chars >= 200 THEN 1 ELSE 0 END)] AS names
+  FROM documents d JOIN labels USING (doc_id)
+), longs AS (SELECT sample_id, result, unnest(names) AS feature FROM sample),
+cells AS (
+  SELECT feature, count(*) FILTER (WHERE result > 0) AS a, count(*) FILTER (WHERE NOT result > 0) AS b FROM longs GROUP BY 1
+), cont AS (
+  SELECT feature, a, b, (SELECT count(*) FROM sample WHERE result > 0) - a AS c, (SELECT count(*) FROM sample WHERE NOT result > 0) - b AS d FROM cells
+)"""
+#: A fixed model for the scoring queries.
+WEIGHTS = {"(Intercept)": -1.2, "type_click": 0.8, "type_view": 0.4, "type_error": -0.6, "type_signup": 0.3, "type_click&type_view": 0.25}
+_LINEAR = """(-1.2 + 0.8 * max(CASE WHEN feature = 'type_click' THEN 1 ELSE 0 END) + 0.4 * max(CASE WHEN feature = 'type_view' THEN 1 ELSE 0 END)
+ - 0.6 * max(CASE WHEN feature = 'type_error' THEN 1 ELSE 0 END) + 0.3 * max(CASE WHEN feature = 'type_signup' THEN 1 ELSE 0 END)
+ + 0.25 * max(CASE WHEN feature = 'type_click' THEN 1 ELSE 0 END) * max(CASE WHEN feature = 'type_view' THEN 1 ELSE 0 END))::DOUBLE"""
+_SCORED = f"WITH {EVENTS_CTE}, lin AS (SELECT user_id, day, {_LINEAR} AS e FROM base LEFT JOIN longs USING (user_id, day) GROUP BY 1, 2)"
+_PAIRS = "pairs AS (SELECT d.doc_id AS id, CAST(quality AS DOUBLE) AS actual, least(1.0, n_chars / 20000.0)::DOUBLE AS predicted FROM documents d JOIN labels USING (doc_id))"
+_CURVE = f"""{_PAIRS}, tot AS (SELECT sum(actual) AS pos, sum(greatest(0, 1 - actual)) AS neg FROM pairs),
+curve AS (SELECT id, predicted, sum(greatest(0, 1 - actual)) OVER w / neg AS x, sum(actual) OVER w / pos AS y FROM pairs, tot WINDOW w AS (ORDER BY predicted DESC, id ROWS UNBOUNDED PRECEDING)),
+byx AS (SELECT round(x, 12) AS x, min(y) AS lo, max(y) AS hi FROM (SELECT x, y FROM curve UNION ALL SELECT 0.0, 0.0) GROUP BY 1),
+steps AS (SELECT x, lo, hi, lag(x) OVER (ORDER BY x) AS px, lag(lo) OVER (ORDER BY x) AS plo, lag(hi) OVER (ORDER BY x) AS phi FROM byx)"""
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _r(c: str, n: int = 6):
+    return F.round(c, n).alias(c)
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.usable(signals_events(spark, sf_dir))
+
+
+@query(f"WITH {EVENTS_CTE} SELECT feature, sum(result) AS total, count(*) AS n FROM longs GROUP BY 1")
+def signal_stats(spark, sf_dir):
+    return features.stats(_samples(spark, sf_dir))
+
+
+@query(f"WITH {EVENTS_CTE} SELECT feature, count(*) AS n, round(sum(result) / count(*) / (SELECT avg(result) FROM base), 6) AS lift FROM longs GROUP BY 1 ORDER BY 3 DESC, 1 DESC LIMIT 10")
+def signal_lift_topk(spark, sf_dir):
+    return features.lifts(_samples(spark, sf_dir)).orderBy(F.desc("lift"), F.desc("feature")).limit(10).select("feature", "n", _r("lift"))
+
+
+@query("""SELECT user_id, n, CAST(least(n, 1000) // 100 + greatest(0, least(n - 1000, 5000)) // 200 + greatest(0, least(n - 6000, 30000)) // 300 + greatest(0, least(n - 36000, 1000000)) // 400 AS BIGINT) AS budget
+FROM (SELECT user_id, count(*) * 977 AS n FROM events GROUP BY 1)""")
+def feature_budget(spark, sf_dir):
+    n = table(spark, sf_dir, "events").groupBy("user_id").agg((F.count("*") * 977).alias("n"))
+    return n.withColumn("budget", vectors.budget(F.col("n")))
+
+
+@query(f"""WITH {EVENTS_CTE}, l AS (SELECT feature, count(*) AS n, sum(result) / count(*) / (SELECT avg(result) FROM base) AS lift FROM longs GROUP BY 1),
+size AS (SELECT count(*) AS n FROM base),
+bud AS (SELECT least(n, 1000) // 100 + greatest(0, least(n - 1000, 5000)) // 200 + greatest(0, least(n - 6000, 30000)) // 300 + greatest(0, least(n - 36000, 1000000)) // 400 AS k FROM size),
+r AS (SELECT feature, row_number() OVER (ORDER BY n * abs(1 - lift) DESC, feature DESC) AS place FROM l), sel AS (SELECT feature FROM r, bud WHERE place <= k)
+SELECT user_id, day, CAST(count(s.feature) AS INTEGER) AS n_kept FROM base LEFT JOIN longs USING (user_id, day) LEFT JOIN sel s ON longs.feature = s.feature GROUP BY 1, 2""")
+def bayes_select(spark, sf_dir):
+    s = _samples(spark, sf_dir)
+    return features.restrict(s, features.top_features(s)).select("user_id", "day", F.size("features").alias("n_kept"))
+
+
+@query(f"""WITH {DOCS_CTE} SELECT feature, a, b, c, d, round(CASE WHEN (a + c) * (b + d) * (a + b) * (c + d) > 0
+THEN CAST(a + b + c + d AS DOUBLE) * (a * d - b * c) * (a * d - b * c) / (CAST(a + c AS DOUBLE) * (b + d) * (a + b) * (c + d)) ELSE 0 END, 6) AS chi FROM cont""")
+def chi_square(spark, sf_dir):
+    return features.chi_square(signals_docs(spark, sf_dir)).select("feature", "a", "b", "c", "d", _r("chi"))
+
+
+@query(f"""WITH {DOCS_CTE}, g AS (SELECT feature, a::DOUBLE AS a, b::DOUBLE AS b, c::DOUBLE AS c, d::DOUBLE AS d, (a + b + c + d)::DOUBLE AS n FROM cont),
+h AS (SELECT feature,
+ (CASE WHEN a + c > 0 THEN -(a + c) / n * log2((a + c) / n) ELSE 0 END + CASE WHEN b + d > 0 THEN -(b + d) / n * log2((b + d) / n) ELSE 0 END)
+ - (a + b) / n * (CASE WHEN a > 0 THEN -a / (a + b) * log2(a / (a + b)) ELSE 0 END + CASE WHEN b > 0 THEN -b / (a + b) * log2(b / (a + b)) ELSE 0 END)
+ - (c + d) / n * (CASE WHEN c > 0 THEN -c / (c + d) * log2(c / (c + d)) ELSE 0 END + CASE WHEN d > 0 THEN -d / (c + d) * log2(d / (c + d)) ELSE 0 END) AS gain FROM g)
+SELECT feature, round(gain, 6) AS gain FROM h WHERE gain > 1e-6""")
+def info_gain(spark, sf_dir):
+    return features.info_gain(signals_docs(spark, sf_dir)).select("feature", _r("gain"))
+
+
+@query(f"""WITH {DOCS_CTE}, s AS (SELECT feature, (a + b)::DOUBLE AS n1, (c + d)::DOUBLE AS n0, a::DOUBLE / (a + b) AS p1, c::DOUBLE / nullif(c + d, 0) AS p0 FROM cont),
+z AS (SELECT feature, (ln(p1 / (1 - p1)) - ln(p0 / (1 - p0))) / sqrt(1 / (10 * n1 * p1 * (1 - p1)) + 1 / (10 * n0 * p0 * (1 - p0))) AS z FROM s WHERE p1 > 0 AND p1 < 1 AND p0 > 0 AND p0 < 1)
+SELECT feature, round(z, 6) AS z, place FROM (SELECT *, (rank() OVER (ORDER BY round(abs(z), 9) DESC) + (count(*) OVER (PARTITION BY round(abs(z), 9)) - 1) / 2.0)::DOUBLE AS place FROM z WHERE abs(z) >= 0.6744897501960817) WHERE place < 400""")
+def univariate_screen(spark, sf_dir):
+    return features.univariate_screen(signals_docs(spark, sf_dir)).select("feature", _r("z"), "place")
+
+
+@query(f"WITH {DOCS_CTE} SELECT CAST(row_number() OVER (ORDER BY feature) - 1 AS INTEGER) AS idx, feature FROM (SELECT DISTINCT feature FROM longs)")
+def feature_dictionary(spark, sf_dir):
+    return features.dictionary(signals_docs(spark, sf_dir))
+
+
+@query("""SELECT d.doc_id AS sample_id, CASE WHEN lang = 'de' THEN 1.0 ELSE 0.0 END::DOUBLE AS input_0, CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END::DOUBLE AS input_1,
+CASE WHEN n_chars < 200 THEN 1.0 ELSE 0.0 END::DOUBLE AS input_2, CAST(quality AS DOUBLE) AS result FROM documents d JOIN labels USING (doc_id)""")
+def dense_matrix(spark, sf_dir):
+    cells = models.design(signals_docs(spark, sf_dir), ["lang_de", "lang_en", "len_0"])
+    return cells.select("sample_id", *[F.get("x", F.lit(i)).alias(f"input_{i}") for i in range(3)], "result")
+
+
+@query(f"WITH {DOCS_CTE}, names AS (SELECT CAST(row_number() OVER (ORDER BY feature) - 1 AS INTEGER) AS idx, feature FROM (SELECT DISTINCT feature FROM longs)) SELECT sample_id AS row, idx AS col, 1.0::DOUBLE AS value FROM longs JOIN names USING (feature)")
+def sparse_entries(spark, sf_dir):
+    s = signals_docs(spark, sf_dir)
+    return sinks.sparse_entries(s, "sample_id", features.dictionary(s))
+
+
+@query(f"WITH {EVENTS_CTE} SELECT user_id, day, label, weight FROM (SELECT user_id, day, 1 AS label, result AS weight FROM base UNION ALL SELECT user_id, day, 0, greatest(0, 1 - result) FROM base) WHERE weight > 1e-9")
+def label_split(spark, sf_dir):
+    return features.split_labels(signals_events(spark, sf_dir)).select("user_id", "day", "label", "weight")
+
+
+@query(f"WITH {EVENTS_CTE} SELECT round(CASE WHEN count(*) > 3000 THEN avg(result) ELSE 0.02 END, 6)::DOUBLE AS average FROM base")
+def const_model(spark, sf_dir):
+    return features.constant_model(signals_events(spark, sf_dir)).select(_r("average"))
+
+
+@query(f"WITH {EVENTS_CTE} SELECT user_id, day, least(result / 0.8, 1.0)::DOUBLE AS result FROM base")
+def capped_result(spark, sf_dir):
+    return features.capped(signals_events(spark, sf_dir), 0.8).select("user_id", "day", "result")
+
+
+@query(_SCORED + " SELECT user_id, day, round(CASE WHEN e < -100 THEN 0 ELSE 1 / (1 + exp(-e)) END, 6)::DOUBLE AS predicted FROM lin")
+def glm_score_logit(spark, sf_dir):
+    return scoring.score(_samples(spark, sf_dir), WEIGHTS).select("user_id", "day", _r("predicted"))
+
+
+@query(_SCORED + " SELECT user_id, day, round(exp(e), 6)::DOUBLE AS predicted FROM lin")
+def glm_score_poisson(spark, sf_dir):
+    return scoring.score(_samples(spark, sf_dir), WEIGHTS, "poisson").select("user_id", "day", _r("predicted"))
+
+
+@query(f"""WITH {EVENTS_CTE}, w AS (SELECT * FROM (VALUES ('type_click', '0.80'), ('type_view', '0.40'), ('type_error', '-0.60'), ('type_signup', '0.30')) AS t(feature, weight))
+SELECT user_id, day, coalesce(string_agg(feature || ':' || weight || '*1.00', ' + ' ORDER BY feature) FILTER (WHERE weight IS NOT NULL), '') AS detail FROM base LEFT JOIN longs USING (user_id, day) LEFT JOIN w USING (feature) GROUP BY 1, 2""")
+def score_explain(spark, sf_dir):
+    return _samples(spark, sf_dir).select("user_id", "day", scoring.explanation(WEIGHTS, F.col("features")).alias("detail"))
+
+
+@query(f"WITH {EVENTS_CTE} SELECT user_id, day FROM longs WHERE feature IN ('type_click', 'type_view') GROUP BY 1, 2 HAVING count(*) = 2")
+def conjunction(spark, sf_dir):
+    e = scoring.linear_term({"type_click&type_view": 1.0}, F.col("features"))
+    return _samples(spark, sf_dir).filter(e == 1.0).select("user_id", "day")
+
+
+@query(f"""WITH {EVENTS_CTE}, w AS (SELECT * FROM (VALUES ('type_click', 0.8), ('type_view', 0.4)) AS t(feature, weight))
+SELECT user_id, round(sum(coalesce(weight, 0)), 6)::DOUBLE AS linear FROM base LEFT JOIN longs USING (user_id, day) LEFT JOIN w USING (feature) GROUP BY 1""")
+def linear_joined(spark, sf_dir):
+    w = spark.createDataFrame([("type_click", 0.8), ("type_view", 0.4)], "feature string, weight double")
+    return scoring.linear_term_joined(_samples(spark, sf_dir), w, "user_id").select("user_id", _r("linear"))
+
+
+def _pairs(spark, sf_dir):
+    return signals_docs(spark, sf_dir).select(F.col("sample_id").alias("id"), F.col("result").alias("actual"), F.least(F.lit(1.0), F.col("n_chars") / 20000).alias("predicted"))
+
+
+@query(f"WITH {_PAIRS} SELECT id, actual, round(predicted, 6)::DOUBLE AS predicted FROM pairs")
+def validation_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("id", "actual", _r("predicted"))
+
+
+@query(f"WITH {_CURVE} SELECT id, round(x, 6)::DOUBLE AS x, round(y, 6)::DOUBLE AS y FROM curve")
+def roc_curve(spark, sf_dir):
+    return scoring.roc(_pairs(spark, sf_dir)).select("id", _r("x"), _r("y"))
+
+
+@query(f"WITH {_CURVE} SELECT round(sum((x - px) * (lo + phi) / 2), 6)::DOUBLE AS auc FROM steps")
+def auc_standard(spark, sf_dir):
+    return scoring.auc(_pairs(spark, sf_dir)).select(_r("auc"))
+
+
+@query(f"WITH {_CURVE} SELECT round(sum((x - px) * (lo + plo) / 2), 6)::DOUBLE AS auc FROM steps")
+def auc_compat(spark, sf_dir):
+    return scoring.auc(_pairs(spark, sf_dir), mode="compat").select(_r("auc"))
+
+
+@query(f"WITH {_PAIRS} SELECT round(sum(abs(actual - predicted)), 4)::DOUBLE AS abs_error, sum(actual) AS positive, sum(CASE WHEN actual < 1 THEN 1 - actual ELSE 0 END)::DOUBLE AS negative FROM pairs")
+def abs_error(spark, sf_dir):
+    return scoring.absolute_error(_pairs(spark, sf_dir)).select(_r("abs_error", 4), "positive", "negative")
+
+
+@query("""SELECT user_id AS key, arg_max(event_id % 7, ts) FILTER (WHERE event_type = 'click') AS media_id, count(*) FILTER (WHERE event_type = 'view') AS n_trac, count(*) FILTER (WHERE event_type = 'error') AS n_hop
+FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE event_type = 'click') > 0""")
+def click_attribution(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "click", "CLICK").when(F.col("event_type") == "view", "TRAC").when(F.col("event_type") == "error", "HOP")
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), kind.alias("kind"), F.col("ts").alias("ord"), (F.col("event_id") % 7).alias("media_id"))
+    return enrich.attribute_clicks(log.filter("kind is not null"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 = 3 THEN 'HOP' ELSE 'CLICK' END AS branch FROM events")
+def media_route(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", enrich.route(F.col("event_id") % 7, 3).alias("branch"))
+
+
+_IP_CTE = "blk AS (SELECT i * 500 AS ip_start, i * 500 + 299 AS ip_end, lpad(CAST((i % 40 + 10) * 10000 + i % 97 AS VARCHAR), 6, '0') AS code FROM range(1, 60) t(i)), probe AS (SELECT event_id, user_id * 37 AS ip FROM events)"
+
+
+def _ip_sides(spark, sf_dir):
+    i = F.col("id")
+    blocks = spark.range(1, 60).select((i * 500).alias("ip_start"), (i * 500 + 299).alias("ip_end"), F.lpad(((i % 40 + 10) * 10000 + i % 97).cast("string"), 6, "0").alias("code"))
+    return table(spark, sf_dir, "events").select("event_id", (F.col("user_id") * 37).alias("ip")), blocks
+
+
+@query(f"WITH {_IP_CTE} SELECT event_id, ip, code FROM probe LEFT JOIN blk ON ip BETWEEN ip_start AND ip_end")
+def ip_asof_strict(spark, sf_dir):
+    return enrich.ip_lookup(*_ip_sides(spark, sf_dir), slot_bits=10)
+
+
+@query(f"WITH {_IP_CTE} SELECT event_id, ip, CASE WHEN ip BETWEEN (SELECT min(ip_start) FROM blk) AND (SELECT max(ip_end) FROM blk) THEN code END AS code FROM probe ASOF LEFT JOIN blk ON ip >= ip_start")
+def ip_asof_compat(spark, sf_dir):
+    return enrich.ip_lookup(*_ip_sides(spark, sf_dir), strict_end=False, slot_bits=10)
+
+
+_CODES = "SELECT c_custkey, lpad(CAST(c_nationkey * 10000 + c_custkey % 50 AS VARCHAR), 6, '0') AS code FROM customer"
+
+
+def _codes(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", F.lpad((F.col("c_nationkey") * 10000 + F.col("c_custkey") % 50).cast("string"), 6, "0").alias("code"))
+
+
+@query(f"""WITH c AS ({_CODES}), inc AS (SELECT lpad(CAST(i * 10000 + CASE WHEN i % 2 = 0 THEN 0 ELSE 7 END AS VARCHAR), 6, '0') AS code, (i * 100.5)::DOUBLE AS income FROM range(0, 25) t(i))
+SELECT c_custkey, c.code, coalesce(a.income, b.income, 0)::DOUBLE AS income FROM c LEFT JOIN inc a ON c.code = a.code LEFT JOIN inc b ON substr(c.code, 1, 4) || '00' = b.code""")
+def region_fallback(spark, sf_dir):
+    income = spark.range(25).select(F.lpad((F.col("id") * 10000 + F.when(F.col("id") % 2 == 0, 0).otherwise(7)).cast("string"), 6, "0").alias("code"), (F.col("id") * 100.5).alias("income"))
+    return enrich.region_income(_codes(spark, sf_dir), income)
+
+
+@query("SELECT n_name, CASE n_regionkey WHEN 0 THEN 'W' WHEN 1 THEN 'E' WHEN 2 THEN 'M' ELSE 'N/A' END AS zone FROM nation")
+def tz_band(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_name", enrich.band(F.col("n_regionkey").cast("string"), {"0": "W", "1": "E", "2": "M"}).alias("zone"))
+
+
+@query("SELECT n_name, CASE n_nationkey % 8 WHEN 0 THEN 'NW' WHEN 1 THEN 'SW' WHEN 2 THEN 'SE' WHEN 3 THEN 'M' WHEN 4 THEN 'ME' WHEN 5 THEN 'NE' WHEN 6 THEN 'N' ELSE 'N/A' END AS area FROM nation")
+def big_area(spark, sf_dir):
+    areas = dict(enumerate("NW SW SE M ME NE N".split()))
+    return table(spark, sf_dir, "nation").select("n_name", enrich.band((F.col("n_nationkey") % 8).cast("string"), {str(k): v for k, v in areas.items()}).alias("area"))
+
+
+@query("""SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'only_left' WHEN a.path IS NULL THEN 'only_right' WHEN a.length = b.length THEN 'same' ELSE 'size' END AS state
+FROM (SELECT p_partkey AS path, p_size AS length FROM part WHERE p_partkey % 3 <> 0) a FULL JOIN (SELECT p_partkey AS path, CASE WHEN p_partkey % 10 = 0 THEN p_size + 1 ELSE p_size END AS length FROM part WHERE p_partkey % 5 <> 0 OR p_partkey % 10 = 0) b ON a.path = b.path""")
+def listing_diff(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    right = p.filter((k % 5 != 0) | (k % 10 == 0)).select(k.alias("path"), F.when(k % 10 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("length"))
+    return enrich.listing_diff(p.filter(k % 3 != 0).select(k.alias("path"), F.col("p_size").alias("length")), right)
+
+
+@query("SELECT p_name AS feature, round(p_retailprice / 1000, 6)::DOUBLE AS weight FROM part WHERE p_size <= 10 ORDER BY p_retailprice, p_name")
+def coef_names(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumn("idx", F.col("p_partkey") - 1)
+    coef = p.filter("p_size <= 10").select("idx", (F.col("p_retailprice") / 1000).alias("weight"))
+    return coef.join(p.select("idx", F.col("p_name").alias("feature")), "idx").select("feature", _r("weight")).orderBy("weight", "feature")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)")
+def semi_features(spark, sf_dir):
+    chosen = table(spark, sf_dir, "supplier").filter("s_acctbal > 5000").select(F.col("s_suppkey").alias("l_suppkey"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").join(chosen, "l_suppkey", "left_semi").select("l_orderkey", "l_linenumber", "l_suppkey")
+
+
+@query("""SELECT coalesce(b.word, a.word) AS word, coalesce(b.freq, a.freq) AS freq FROM (SELECT p_type AS word, count(*) AS freq FROM part WHERE p_size <= 30 GROUP BY 1) a
+FULL JOIN (SELECT p_type AS word, sum(p_size)::BIGINT AS freq FROM part WHERE p_size > 45 GROUP BY 1) b ON a.word = b.word""")
+def dict_overlay(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumn("word", F.col("p_type"))
+    return enrich.overlay(p.filter("p_size <= 30").groupBy("word").agg(F.count("*").alias("freq")), p.filter("p_size > 45").groupBy("word").agg(F.sum("p_size").alias("freq")))
+
+
+@query("SELECT page_id, coalesce(nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), ''), '') AS page FROM pages")
+def url_arg(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.url_arg(F.col("url"), "page").alias("page"))
+
+
+@query("SELECT page_id, CAST(CASE WHEN instr(url, '?') > 0 THEN len(list_filter(string_split(substr(url, instr(url, '?') + 1), '&'), lambda x: regexp_matches(x, '^[^=]+=.+'))) ELSE 0 END AS INTEGER) AS n_args FROM pages")
+def query_map_size(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.when(F.instr("url", "?") > 0, F.size(text.query_map(text.query_part(F.col("url"))))).otherwise(0).alias("n_args"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN 'a' || event_id ELSE 'b' || event_id END AS key, event_id % 4 IN (2, 3) AS landing FROM events")
+def landing_flag(spark, sf_dir):
+    i = F.col("event_id")
+    q = F.when(i % 4 == 0, F.lit("x=1")).when(i % 4 == 1, F.concat(F.lit("uctrac_eid_1=a"), i, F.lit("&uctrac_eid=z"))).otherwise(F.concat(F.lit("uctrac_eid=b"), i))
+    key, landing = text.click_key(q)
+    return table(spark, sf_dir, "events").select("event_id", key.alias("key"), landing.alias("landing"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS item FROM events")
+def jsonp_item(spark, sf_dir):
+    wrapped = F.concat(F.lit("cb("), "props", F.lit(");"))
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object(text.jsonp(wrapped), "$.k").alias("item"))
+
+
+@query("SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS cust, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS status FROM orders")
+def kv_scrape(spark, sf_dir):
+    line = F.concat(F.lit("id=7, cust="), "o_custkey", F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("; 'status':'"), "o_orderstatus", F.lit("'"))).otherwise(""))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.scrape(line, "cust").alias("cust"), text.scrape(line, "status").alias("status"))
+
+
+@query("""WITH w AS (SELECT unnest(string_split_regex(p_name, '\\s+')) AS t FROM part), t AS (SELECT t, length(t) AS n FROM w WHERE t <> ''),
+g AS (SELECT t AS gram FROM t WHERE n <= 2 UNION ALL SELECT substr(t, i::INTEGER, k::INTEGER) FROM t, range(2, 5) r(k), range(1, 40) s(i) WHERE n > 2 AND i + k - 1 <= n)
+SELECT gram, count(*) AS n FROM g GROUP BY 1""")
+def ngram_count(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.explode(text.ngrams(F.col("p_name"), 4)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH w AS (SELECT unnest(string_split_regex(lower(translate(text, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', '                                ')), '\s+')) AS word FROM documents)
+SELECT word, count(*) AS n FROM w WHERE regexp_full_match(word, '[a-z]+') AND word NOT IN ('a', 'an', 'and', 'are', 'as', 'be', 'by', 'for', 'if', 'in', 'is', 'it', 'of', 'or', 'py', 'rst', 'that', 'the', 'to', 'with') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
+def word_count_top20(spark, sf_dir):
+    return flow.top_words(table(spark, sf_dir, "documents"), "text")
+
+
+@query("""WITH d AS (SELECT p_brand AS word, count(*) AS freq FROM part GROUP BY 1 HAVING count(*) > 1) SELECT word, round(length(word) * ln(freq) - ln((SELECT sum(freq) FROM d)), 6)::DOUBLE AS logp FROM d""")
+def dict_logprob(spark, sf_dir):
+    entries = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("word")).agg(F.count("*").alias("freq"))
+    return flow.dictionary_logs(entries)[0].select("word", _r("logp"))
+
+
+@query("SELECT doc_id, NOT regexp_full_match(text, '[\\x01-\\x7e]+') AS cjk FROM documents")
+def is_cjk(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.is_cjk(F.col("text")).alias("cjk"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_custkey WHEN c_custkey % 3 = 1 THEN -1 ELSE -1 END AS v FROM customer")
+def safe_int(spark, sf_dir):
+    k = F.col("c_custkey")
+    raw = F.when(k % 3 == 0, F.concat(F.lit(" "), k)).when(k % 3 == 1, F.concat(k, F.lit(".5"))).otherwise("n/a")
+    return table(spark, sf_dir, "customer").select("c_custkey", text.safe_int(raw).alias("v"))
+
+
+@query("""WITH h AS (SELECT c_custkey, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(c_name, ''), lambda c: unicode(c)::BIGINT)), lambda a, c: (a * 31 + c) % 4294967296) AS raw FROM customer)
+SELECT c_custkey, CASE WHEN raw >= 2147483648 THEN raw - 4294967296 ELSE raw END AS h FROM h""")
+def java_hash(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", text.java_hash(F.col("c_name")).alias("h"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 300 > 255 THEN -1 ELSE 10 * 16777216 + (event_id % 300) * 65536 + (event_id % 256) * 256 + 7 END AS ip FROM events")
+def ip_to_int(spark, sf_dir):
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", text.ip_to_int(F.concat(F.lit("10."), i % 300, F.lit("."), i % 256, F.lit(".7")), -1).alias("ip"))
+
+
+@query("SELECT o_orderkey, lpad(printf('%x', o_orderkey * 7919), 16, '0') AS key FROM orders")
+def hex_key(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.hex_key(F.col("o_orderkey") * 7919).alias("key"))
+
+
+@query("SELECT l_orderkey, l_linenumber, list_transform([l_tax, l_discount, l_quantity], lambda x: round(x, 2)) AS v FROM lineitem")
+def round_nested(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", vectors.rounded(F.array("l_tax", "l_discount", "l_quantity")).alias("v"))
+
+
+@query("SELECT c_custkey, replace(replace(c_name, '#', '-'), 'C', 'k') AS v FROM customer")
+def pinyin(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", text.transliterated(F.col("c_name"), {"#": "-", "C": "k"}).alias("v"))
+
+
+@query()
+def html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", udfs.html_text(F.col("html")).alias("text"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def smart_decode(spark, sf_dir):
+    popular = dict.fromkeys("abcdefghijklmnopqrstuvwxyz ,.\n", 3.0)
+    return table(spark, sf_dir, "documents").select("doc_id", udfs.smart_decode(F.encode("text", "UTF-8"), popular, charsets=("utf-8",)).alias("text"))
+
+
+@query("SELECT p_partkey, replace(p_name, ' ', '') AS joined FROM part")
+def segment(spark, sf_dir):
+    words = dict.fromkeys("almond antique aquamarine azure beige bisque black blue red green small large".split(), -3.0)
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", F.array_join(udfs.segment(F.replace(F.col("p_name"), F.lit(" "), F.lit("")), words), "").alias("joined"))
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def rc4_roundtrip(spark, sf_dir):
+    key = b"a key for tests"
+    return table(spark, sf_dir, "customer").select("c_custkey", udfs.rc4_column(udfs.rc4_column(F.encode("c_name", "UTF-8"), key), key).cast("string").alias("c_name"))
+
+
+@query("SELECT c_custkey, CAST(c_custkey % 128 AS BIGINT) AS id, c_name AS name FROM customer")
+def proto_roundtrip(spark, sf_dir):
+    name = F.encode("c_name", "UTF-8")
+    one = lambda n: F.unhex(F.lpad(F.hex(n), 2, "0"))
+    wire = F.concat(one(F.lit(8)), one(F.col("c_custkey") % 128), one(F.lit(18)), one(F.length(name)), name)
+    m = udfs.message_column(udfs.url_base64(F.translate(F.base64(wire), "+/\r\n", "-_")), {"id": (1, "long"), "name": (2, "string")})
+    return table(spark, sf_dir, "customer").select("c_custkey", m.alias("m")).select("c_custkey", "m.id", "m.name")
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) + 10 AS later, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-12-01') AS INTEGER) AS days, epoch(o_orderdate)::BIGINT AS epoch FROM orders")
+def date_plus(spark, sf_dir):
+    d = F.to_date("o_orderdate")
+    epoch = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_add(d, 10).alias("later"), F.datediff(F.lit("1998-12-01").cast("date"), d).alias("days"), epoch.alias("epoch"))
+
+
+@query("SELECT o_orderkey, CAST(isodow(o_orderdate) - 1 AS INTEGER) AS dow FROM orders")
+def weekday_num(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.weekday("o_orderdate").alias("dow"))
+
+
+@query("SELECT o_orderkey, CAST(unnest(range(CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + INTERVAL (o_orderkey % 4) DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM orders")
+def date_span(spark, sf_dir):
+    d = F.to_date("o_orderdate")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(dates.each_day(d, F.date_add(d, (F.col("o_orderkey") % 4).cast("int")))).alias("day"))
+
+
+@query("""SELECT o_orderkey, d + ((7 - isodow(d) + 1 - 1) % 7 + 1)::INTEGER AS next_monday, d - ((isodow(d) - 1 + 6) % 7 + 1)::INTEGER AS last_monday FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""")
+def next_last_weekday(spark, sf_dir):
+    d = F.to_date("o_orderdate")
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.next_weekday(d, "monday").alias("next_monday"), dates.last_weekday(d, "monday").alias("last_monday"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN DATE '2003-01-04' WHEN 1 THEN DATE '2020-05-18' WHEN 2 THEN CAST(o_orderdate AS DATE) ELSE NULL END AS day FROM orders")
+def magic_date(spark, sf_dir):
+    k = F.col("o_orderkey") % 4
+    raw = F.when(k == 0, "4th Jan 2003").when(k == 1, "-2 weeks").when(k == 2, F.date_format("o_orderdate", "MM/dd/yyyy")).otherwise("no date")
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.magic_date(raw, F.lit("2020-06-01").cast("date")).alias("day"))
+
+
+@query("SELECT event_id, event_id % 3 * 86400 + event_id % 24 * 3600 + event_id % 60 * 60 + event_id % 59 AS seconds FROM events")
+def elapsed_seconds(spark, sf_dir):
+    i = F.col("event_id")
+    raw = F.concat(i % 3, F.lit("-"), F.lpad((i % 24).cast("string"), 2, "0"), F.lit(":"), F.lpad((i % 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((i % 59).cast("string"), 2, "0"))
+    return table(spark, sf_dir, "events").select("event_id", text.elapsed_seconds(raw).alias("seconds"))
+
+
+@query("SELECT p_partkey, CAST((p_size >= 5)::INT + (p_size >= 20)::INT + (p_size >= 40)::INT AS INTEGER) AS bucket FROM part")
+def bucketize(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", vectors.bucketise(F.col("p_size"), [5, 20, 40]).alias("bucket"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: (x::DOUBLE - 0.1) * (x::DOUBLE - 0.1)))), 4)::DOUBLE AS dist FROM embeddings")
+def euclid(spark, sf_dir):
+    v = F.col("embedding").cast("array<double>")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.euclid(v, F.transform(v, lambda x: F.lit(0.1))), 4).alias("dist"))
+
+
+@query("SELECT p_brand, round(sum(p_size * p_retailprice) / sum(p_retailprice), 4)::DOUBLE AS centre FROM part GROUP BY 1")
+def weighted_centroid(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(F.sum(F.col("p_size") * F.col("p_retailprice")) / F.sum("p_retailprice"), 4).alias("centre"))
+
+
+@query("""WITH p AS (SELECT p_size::DOUBLE AS x, p_retailprice / 100 AS y FROM part), a AS (SELECT x, y, CASE WHEN (x - 10) * (x - 10) + (y - 10) * (y - 10) <= (x - 40) * (x - 40) + (y - 15) * (y - 15) THEN 0 ELSE 1 END AS cluster FROM p)
+SELECT cluster, count(*) AS n, round(avg(x), 4)::DOUBLE AS cx, round(avg(y), 4)::DOUBLE AS cy FROM a GROUP BY 1""")
+def kmeans_step(spark, sf_dir):
+    points = table(spark, sf_dir, "part").select(F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 100).alias("coords"), F.lit(1.0).alias("weight"))
+    c = models.kmeans_step(points, [[10.0, 10.0], [40.0, 15.0]])
+    return c.select("cluster", "n", F.round(c["center"][0], 4).alias("cx"), F.round(c["center"][1], 4).alias("cy"))
+
+
+@query("SELECT event_id, user_id, CAST((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 5 AS BIGINT) AS chunk FROM events")
+def chunk_rows(spark, sf_dir):
+    return flow.chunks(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], 5).select("event_id", "user_id", "chunk")
+
+
+_SERIES = "s AS (SELECT event_type AS series, event_id AS ts, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS value FROM events)"
+
+
+def _series(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("series"), F.col("event_id").alias("ts"), F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value"))
+
+
+_LAST = f"{_SERIES}, ok AS (SELECT *, max(CASE WHEN coalesce(value <> 0, false) THEN 1 ELSE 0 END) OVER (PARTITION BY series ORDER BY ts DESC ROWS UNBOUNDED PRECEDING) AS good FROM s), p AS (SELECT series, ts, value, CAST(row_number() OVER (PARTITION BY series ORDER BY ts DESC) AS INTEGER) AS place FROM ok WHERE good = 1)"
+
+
+@query(f"WITH {_LAST} SELECT series, ts, value, place FROM p WHERE place <= 4")
+def take_last_n(spark, sf_dir):
+    return flow.last_points(_series(spark, sf_dir), 4)
+
+
+@query(f"WITH {_LAST} SELECT series, bool_and(coalesce(value > 1, false)) AS alert FROM p WHERE place <= 2 GROUP BY 1")
+def threshold_alert(spark, sf_dir):
+    return flow.alerts(_series(spark, sf_dir), 2, 1.0)
+
+
+@query()
+def token_bucket(spark, sf_dir):
+    return flow.token_bucket(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 2, 86400)
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY 1")
+def sql_passthrough(spark, sf_dir):
+    return spark.sql("SELECT o_orderstatus, count(*) AS n FROM {o} WHERE o_totalprice > :least GROUP BY 1", args={"least": 1000}, o=table(spark, sf_dir, "orders"))
+
+
+@query("SELECT 'INSERT INTO nations (n_nationkey, n_name) VALUES (' || n_nationkey || ', ''' || replace(n_name, '''', '''''') || ''');' AS sql FROM nation")
+def insert_statements(spark, sf_dir):
+    return sinks.insert_sql(table(spark, sf_dir, "nation"), "nations", ["n_nationkey", "n_name", "unknown"])
+
+
+@query("SELECT 'orders.' || o_orderstatus || ':' || count(*) || '|c|@0.5' AS line FROM orders GROUP BY o_orderstatus")
+def metric_lines(spark, sf_dir):
+    n = table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    return n.select(sinks.metric_line(F.concat(F.lit("orders."), "o_orderstatus"), F.col("n"), "c", 0.5).alias("line"))
+
+
+@query("SELECT o_orderkey, CAST(ntile(7) OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS block FROM orders")
+def row_blocks(spark, sf_dir):
+    return flow.row_blocks(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 7)
+
+
+@query("SELECT c_custkey, 'China' AS country, CASE c_nationkey % 2 WHEN 0 THEN 'Hubei' ELSE 'Hunan' END AS province, CASE c_nationkey % 2 WHEN 0 THEN 'Wuhan' END AS city FROM customer")
+def place_scan(spark, sf_dir):
+    places = pd.DataFrame([("China", "Hubei", "Wuhan"), ("China", "Hunan", "Changsha"), ("Japan", "", "")], columns=["country", "province", "city"])
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_nationkey") % 2 == 0, "1 Road, Wuhan").otherwise("2 Road, Hunan").alias("address"))
+    return enrich.place_scan(rows, places).drop("address")
+
+
+def _fitted(name: str) -> None:
+    def run(spark, sf_dir):
+        s = signals_docs(spark, sf_dir)
+        return models.as_frame(s, models.train(name, features.restrict(s, features.dictionary(s).filter("not startswith(feature, 'src_')").select("feature"))))
+
+    run.__name__ = f"fit_{name}"
+    _QUERIES[run.__name__] = run
+
+
+for _name in models.MODELS:
+    _fitted(_name)
+
+
+@query()
+def fit_kmeans(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("coords"), F.lit(1.0).alias("weight"))
+    return models.kmeans(e, 4)

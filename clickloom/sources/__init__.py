@@ -1 +1 @@
-"""clickloom: a PySpark-native analytics engine."""
+"""Sources: logs, signals and dimension tables as DataFrames with declared schemas."""
