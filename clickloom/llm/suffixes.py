@@ -92,7 +92,7 @@ def spans(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray,
     whole_ones = inside[first]
     first, many = first[whole_ones], many[whole_ones]
     span = _join(windows[first], windows[first + many - 1] + many.astype(np.uint64))
-    return least[first].view(np.int64), span.view(np.int64), first, many, of[first]
+    return least[first].view(np.int64), span.view(np.int64) & -2, first, many, of[first]  # the span's last bit is kept free
 
 
 class BlindTrie:
@@ -154,32 +154,34 @@ def suffix_classes(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[n
     """Suffixes of data that begin at starts, cut at length, in order: (suffix numbers, class of each; equal ones share a class)."""
     padded = np.concatenate([data, np.zeros(SHALLOW, np.uint8)])
     order = np.arange(len(starts))
-    group = np.zeros(len(starts), np.int64)
-    for depth in range(0, min(SHALLOW, length), 8):  # multikey: a word at a time, within groups that tie so far
-        word = np.zeros(len(starts), np.uint64)
+    classes = np.zeros(len(starts), np.int64)  # while sorting: where the group of those that tie so far begins
+    tied = np.arange(len(starts))
+    for depth in range(0, min(SHALLOW, length), 8):  # multikey: a word at a time, among those that tie so far
+        at = starts[order[tied]] + depth
+        word = np.zeros(len(tied), np.uint64)
         for b in range(8):
-            word = word << np.uint64(8) | (padded[starts[order] + depth + b] if depth + b < length else np.uint64(0)).astype(np.uint64)
-        by = np.lexsort((word, group))
-        order, word, group = order[by], word[by], group[by]
-        new = np.ones(len(order), bool)
-        new[1:] = (word[1:] != word[:-1]) | (group[1:] != group[:-1])
-        group = np.cumsum(new)
-    bounds = np.flatnonzero(np.append(np.diff(group, prepend=-1) != 0, True))
-    classes = np.arange(len(order), dtype=np.int64)
-    buffer, sizes = data.tobytes(), np.diff(bounds)
-    for g in np.flatnonzero(sizes > 1).tolist():
-        a, b = int(bounds[g]), int(bounds[g + 1])
-        members = order[a:b].copy()
-        strings = [buffer[p : p + length] for p in starts[members].tolist()]
-        if b - a == 2:
-            if strings[0] == strings[1]:
-                classes[a + 1] = a
-            elif strings[0] > strings[1]:
-                order[a:b] = members[::-1]
-            continue
-        trie = BlindTrie(strings)
-        for n in range(b - a):
-            trie.insert(n)
+            word <<= np.uint64(8)
+            if depth + b < length:
+                word |= padded[at + b]
+        by = np.lexsort((word, classes[tied])) if depth else np.argsort(word, kind="stable")
+        order[tied], word = order[tied][by], word[by]
+        new = np.ones(len(tied), bool)
+        new[1:] = (word[1:] != word[:-1]) | (classes[tied][1:] != classes[tied][:-1])
+        first = np.flatnonzero(new)
+        sizes = np.diff(np.append(first, len(tied)))
+        classes[tied] = np.repeat(tied[first], sizes)
+        tied = tied[np.repeat(sizes > 1, sizes)]
+    first = np.flatnonzero(np.diff(classes[tied], prepend=-1))
+    sizes = np.diff(np.append(first, len(tied)))
+    pairs = tied[first[sizes == 2]]
+    for n in range(0, len(pairs), 1 << 16):
+        _order_pairs(data, starts, order, classes, pairs[n : n + (1 << 16)], length)
+    buffer = data.tobytes()
+    for a, n in zip(tied[first[sizes > 2]].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        members = order[a : a + n].copy()
+        trie = BlindTrie([buffer[p : p + length] for p in starts[members].tolist()])
+        for k in range(n):
+            trie.insert(k)
         at = a
         for same in trie.classes():
             order[at : at + len(same)] = members[same]
@@ -188,6 +190,21 @@ def suffix_classes(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[n
     return order, classes
 
 
+def _order_pairs(data: np.ndarray, starts: np.ndarray, order: np.ndarray, classes: np.ndarray, at: np.ndarray, length: int) -> None:
+    """Two suffixes need no trie: their first difference past the shallow depth orders them."""
+    if length <= SHALLOW:
+        return
+    rest = np.arange(SHALLOW, length)
+    left, right = order[at].copy(), order[at + 1].copy()
+    one, two = data[starts[left][:, None] + rest], data[starts[right][:, None] + rest]
+    differs = one != two
+    where, some = differs.argmax(1), differs.any(1)
+    rows = np.arange(len(at))
+    swap = some & (one[rows, where] > two[rows, where])
+    order[at], order[at + 1] = np.where(swap, right, left), np.where(swap, left, right)
+    classes[at + 1] = np.where(some, at + 1, at)
+
+
 def _first_per(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sort order by keys (the last leads), and where the keys but the first of them change."""
     order = np.lexsort(keys)
@@ -244,9 +261,8 @@ def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_
         at = np.flatnonzero(new)
         ends = np.append(at[1:], len(order)) - 1 if len(at) else at
         low, high = order[at], order[ends]
-        more = doc[high] != doc[low]  # the largest as well tells that there are several
-        rows = np.concatenate([low, high[more]])
-        return pa.table({"key": key[rows], "span": span[rows], "doc": doc[rows]})
+        more = (doc[high] != doc[low]).astype(np.int64)  # the last bit of the span hash: the bucket has several documents with it
+        return pa.table({"key": key[low], "span": span[low] | more, "doc": doc[low]})
 
     offers = plain.groupBy("b").applyInArrow(offer, "key long, span long, doc long")
 
@@ -258,21 +274,23 @@ def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_
         del parts
         key, span, doc = (_numbers(table, c) for c in ("key", "span", "doc"))
         del table
+        span, more = span & -2, (span & 1).astype(bool)
         order, new_span = _first_per(doc, span, key)
-        key, span, doc = key[order], span[order], doc[order]
+        key, span, doc, more = key[order], span[order], doc[order], more[order]
         new_key = np.append(True, key[1:] != key[:-1])
         at = np.flatnonzero(new_key)
         group = np.cumsum(new_key) - 1
-        several = np.maximum.reduceat(doc, at) != np.minimum.reduceat(doc, at)
+        several = (np.maximum.reduceat(doc, at) != np.minimum.reduceat(doc, at)) | np.logical_or.reduceat(more, at)
         mixed = np.add.reduceat(new_span.astype(np.int64), at) > 1
         first = doc[np.flatnonzero(new_span)][np.cumsum(new_span) - 1]
-        stays = several[group]
+        # the first holder's own bucket needs the row only if it has another holder, or windows to be decided
+        stays = several[group] & ((doc > first) | more | mixed[group])
         for a in range(0, len(key), 1 << 17):
             part = slice(a, a + (1 << 17))
             s = stays[part]
             yield pa.RecordBatch.from_arrays([pa.array(x[part][s]) for x in (key, span, doc, first, mixed[group])], names=["key", "span", "doc", "first", "mixed"])
 
-    found = staged(offers.repartition(n_tasks, "key").mapInArrow(shared, "key long, span long, doc long, first long, mixed boolean").withColumn("b", bucket_of("doc")).select("b", "key", "span", "first", "mixed").distinct())
+    found = staged(offers.repartition(n_tasks, "key").mapInArrow(shared, "key long, span long, doc long, first long, mixed boolean").withColumn("b", bucket_of("doc")).select("b", "key", "span", "first", (F.col("mixed") & (F.col("doc") == F.col("first"))).alias("mixed")))
     _tidy(spark)
 
     def show(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -288,7 +306,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_
                     rows.append((k, s, d, data[p : p + m - 1 + length].tobytes()))
         return pa.table({name: pa.array([r[n] for r in rows], kind) for n, (name, kind) in enumerate((("key", pa.int64()), ("span", pa.int64()), ("doc", pa.int64()), ("bytes", pa.binary())))})
 
-    requests = found.filter("mixed").select(bucket_of("first").alias("b"), "first", "key", "span").distinct()
+    requests = found.filter("mixed").select("b", "first", "key", "span")
     shown = plain.groupBy("b").cogroup(requests.groupBy("b")).applyInArrow(show, "key long, span long, doc long, bytes binary")
 
     def decide(batches):
