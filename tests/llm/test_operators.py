@@ -1,0 +1,343 @@
+"""The ten operators against brute force, with nulls, empty texts, ties, repeated rows and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from clickloom.llm import bpe, extract, graph, langid, packing, pii, quality, registry, simhash, suffixes, topk, urls
+
+WORDS = "the of and to in der die und le la les el los con lorem ipsum dolor sit amet".split()
+
+
+def texts(n, seed, longest=120):
+    r = random.Random(seed)
+    return [" ".join(r.choice(WORDS) + r.choice(["", "", ",", "x", "."]) for _ in range(r.randint(0, longest))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    t = texts(60, 1)
+    rows = [(n * 2, x, "en", "key") for n, x in enumerate(t)]
+    rows += [(500 + n, t[n], "fr", "b") for n in range(8)]  # exact copies
+    rows += [(600 + n, t[n + 8] + " tail", "fr", "b") for n in range(8)]
+    rows += [(700, None, None, None), (701, "", "en", "term"), (None, "no id " * 80, "en", "x"), (702, " \n\t ", "de", ""), (703, "word " * 5000, "de", "long"), (0, t[0], "en", "key"), (704, "中文 ÄÖ 😀", None, "u")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, key string").withColumn("span", F.lit(1)).withColumn("rank", F.lit(2)).cache()
+
+
+def rows_of(docs):
+    return [(r["doc_id"], r["text"]) for r in docs.collect()]
+
+
+def sort_key(row):
+    return tuple(map(str, row))
+
+
+def test_pii_patterns():
+    cases = {
+        "a.b@c.de, x@y @z.de a@b.c@d.ef": ["email:0:8", "email:20:25"],
+        "1.2.3.4.5.6.7.8 1.2.3.256 0001.2.3.4": ["ip:0:7", "ip:8:15", "ip:26:36"],
+        "4111 1111-1111 1111 and 4111 1111 1111 1112": ["card:0:19"],
+        "+1 (555) 123-4567 or +1 23": ["phone:0:17"],
+        "é +441234567890": ["phone:2:15"],
+        "": [],
+    }
+    for text, expected in cases.items():
+        assert pii.rendered(pii.base_spans(text)).split(",") == (expected or [""]), text
+
+
+def test_pii_patterns_like_a_scan():
+    patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", r"[0-9](?:[\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+    r = random.Random(2)
+    for _ in range(3000):
+        t = "".join(r.choice("a1.2@-+ 3(9)b0é") for _ in range(r.randint(0, 60)))
+        want = []
+        for k, p in enumerate(patterns):
+            for m in re.finditer(p, t):
+                digits = re.sub(r"\D", "", m[0])
+                if k == 1 and max(map(int, m[0].split("."))) > 255 or k == 2 and not (14 <= len(digits) <= 19 and pii.luhn(digits)) or k == 3 and not 10 <= len(digits) <= 15:
+                    continue
+                want.append((m.start(), k, m.end()))
+        assert pii.base_spans(t) == sorted(want), t
+
+
+def test_pii_discloses(spark, docs):
+    rows = [(n, f"call zorblatt {w} now bob@mail.example.com thanks {w}") for n, w in enumerate(["alpha", "beta", "gamma", "delta", "omega"])]
+    rows = [(n, t.replace("call", w).replace("now", v)) for (n, t), w, v in zip(rows, "ask see ring tell meet".split(), "then today soon here there".split(), strict=True)]
+    rows += [(100 + n, f"common words stand in line {n} with nothing else") for n in range(400)] + [(900, "zorblatt lives here")]
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.8).collect()}
+    assert got[0]["n_email"] == 1 and "term:4:12" in got[0]["spans"]
+    assert "zorblatt" not in got[900]["text"] and got[900]["n_term"] == 1
+    assert got[150]["spans"] == "" and got[150]["text"] == rows[55][1]
+    found = pii.find(docs, keep=("key",))
+    assert found.count() == docs.count() and {r["text"] for r in found.filter("doc_id = 700").collect()} == {None}
+
+
+def test_packing(spark, docs):
+    path = registry.vocabulary("word_bpe_49k.json")
+    got = packing.pack(docs, path, keep_ids=True).collect()
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    want = []
+    for d, x in rows_of(docs):
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
+        want += [(d, n, at, len(ids[at : at + 2048]), zlib.crc32(np.array(ids[at : at + 2048], "<u4").tobytes())) for n, at in enumerate(range(0, len(ids), 2048))]
+    assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got), key=sort_key) == sorted(want, key=sort_key)
+    assert_packed([(r["sequence_id"], r["offset"], r["length"]) for r in got], 2048)
+    assert packing.pack(docs.limit(0), path).count() == 0
+
+
+def assert_packed(placed, capacity):
+    bins = {}
+    for s, o, n in placed:
+        bins.setdefault(s, []).append((o, n))
+    for own in bins.values():
+        at = 0
+        for o, n in sorted(own):
+            assert o == at
+            at += n
+        assert at <= capacity
+    return len(bins)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_is_best_fit_decreasing(seed):
+    r = random.Random(seed)
+    lengths = [r.randint(1, r.choice([40, 100])) for _ in range(r.randint(0, 400))]
+    free, bins = [], 0
+    for n in sorted(lengths, reverse=True):
+        fits = [f for f in free if f >= n]
+        if fits:
+            free.remove(min(fits))
+            free.append(min(fits) - n)
+        else:
+            bins += 1
+            free.append(100 - n)
+    counts = {n: lengths.count(n) for n in set(lengths)}
+    placed = [(first + k // per, offset + k % per * n, n) for n, _, many, first, per, offset in packing.plan(counts, 100).tolist() for k in range(many)]
+    assert sorted(n for _, _, n in placed) == sorted(lengths)
+    assert assert_packed(placed, 100) == bins
+
+
+def test_quality(docs):
+    got = quality.judge(docs).collect()
+    want = []
+    for d, t in rows_of(docs):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        three = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        twice = {x for x in three if three.count(x) > 1} if len(w) < 1000 else {x for x in set(three) if three.count(x) > 1}
+        covered = {i + k for i, x in enumerate(three) if x in twice for k in range(3)}
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+        want.append((d, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(covered), failed))
+    assert sorted(((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got), key=sort_key) == sorted(want, key=sort_key)
+    assert all(not r["kept"] for r in got if r["base_failed"])
+    assert quality.judge(docs.limit(0)).count() == 0
+
+
+def test_quality_divergence(spark):
+    r = random.Random(4)
+    good = [(n, " ".join(r.choice(quality.COMMON["en"] + ["house", "river", "stone"]) + r.choice(["", ""]) for _ in range(300)), "en") for n in range(40)]
+    bad = [(100, " ".join(r.choice(["zq###", "kk$$$", "##%%", "pp***"]) + str(r.random())[2:6] for _ in range(300)), "en")]
+    got = {x["doc_id"]: x for x in quality.judge(spark.createDataFrame(good + bad, "doc_id long, text string, lang string")).collect()}
+    assert not got[100]["kept"] and not got[100]["base_failed"] and all(got[n]["kept"] for n in range(40))
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T t t</title><style>p{}</style><script>var a="</p>";</script></head><body><header>Site name</header><nav><ul><li><a href=/a>One</a><li><a>Two</a></ul></nav>
+<div class="cookie-notice">We use cookies on this site to help you</div><article><h1>A  &amp; B</h1><p>First <b>bo</b>ld para&shy;graph with several words.<br>Next line.<p>Second &lt;one&gt; &#233;.
+<aside>Related things here</aside><form>Mail <input></form><p>Last.</p><section id="comments"><p>I agree with all of this very much indeed.</p></section></article><footer>(c) us, all rights reserved for ever</footer>"""
+
+
+def test_extraction(spark):
+    rows = [(1, "u", PAGE, "t"), (2, None, None, "t"), (3, "v", "", "t"), (4, "w", "plain words only 1 < 2", "t"), (5, "x", "<div><p>unclosed <b>text", "t"), (6, "y", PAGE, "t")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = {r["page_id"]: r for r in extract.extract(df).collect()}
+    assert got[1]["text"] == "A & B First bold para\xadgraph with several words. Next line. Second <one> é. Last."
+    assert got[6]["text"] == got[1]["text"] and got[1]["n_chars"] == len(got[1]["text"])
+    assert (got[2]["text"], got[3]["text"], got[4]["text"], got[5]["text"]) == ("", "", "plain words only 1 < 2", "unclosed text")
+    assert extract.extract(df.limit(0)).count() == 0
+
+
+def test_best_run():
+    r = random.Random(5)
+    for _ in range(300):
+        s = [r.randint(-4, 4) for _ in range(r.randint(0, 12))]
+        a, b = extract.best_run(s)
+        assert sum(s[a:b]) == max([0, *(sum(s[i:j]) for i in range(len(s)) for j in range(i, len(s) + 1))])
+
+
+def test_urls(spark):
+    rows = [(1, "http://A.example.org/x?q", None), (2, "https://spam.net/a#f", '<link rel="canonical" href="http://good.org/de/1">'), (3, "http://good.org/de/1", None), (4, "http://far.org/2", '<META http-equiv="refresh" content="0; URL=/3">'), (5, "http://far.org/3", '<link href="http://good.org/de/1" rel=canonical>'), (6, None, None), (7, "nohost", None), (8, "http://www.example.net/en/1", None), (9, "http://ok.org/fr/9", '<link rel=canonical href=http://tie.org/1>'), (10, "http://tie.org/1", '<link rel=canonical href=http://bad.net/>'), (1, "http://A.example.org/x?q", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(df, registry.RULES, urls.page_edges(df)).collect()}
+    assert got[1] == ("a.example.org", "/x", None, "allow")
+    assert got[2] == ("spam.net", "/a", "net/", "block")
+    assert got[3][2:] == (None, "block") and got[4][2:] == (None, "block") and got[5][2:] == (None, "block")
+    assert got[6] == got[7] == ("", "", None, "allow")
+    assert got[8][2:] == ("example.net/en/", "allow")
+    assert got[9][2:] == ("org/fr/", "allow") and got[10][2:] == (None, "allow")  # an explicit allow among the aliases wins
+    assert urls.judge(df.limit(0), registry.RULES, urls.page_edges(df.limit(0))).count() == 0
+
+
+def test_components(spark):
+    r = random.Random(6)
+    edges = [(r.randint(0, 80), r.randint(0, 80)) for _ in range(60)] + [(n, n + 1) for n in range(100, 160)] + [(200, n) for n in range(201, 260)] + [(None, 1), (5, 5)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = {x["node"]: x["root"] for x in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {n: find(n) for n in root}
+
+
+def test_bpe(docs):
+    import tiktoken
+
+    path, pattern = registry.vocabulary("byte_bpe_multi_50k.tiktoken"), registry.pattern()
+    ref = tiktoken.Encoding("ref", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    r = random.Random(7)
+    codec = bpe.codec(path, pattern)
+    odd = ["", "a  b\n\n c \t", "　 a b", "aaaa" * 200, "''s don't I'LL", "<|endoftext|>", "\x1c a\x1e"] + ["".join(r.choice("ab \n\t'sé1.! 中") for _ in range(r.randint(0, 50))) for _ in range(800)]
+    for t, (n, d, back) in zip(odd, codec.slice(odd), strict=True):
+        ids = ref.encode_ordinary(t)
+        assert (n, bytes(d), bytes(back)) == (len(ids), b"".join(b"%d," % i for i in ids), t.encode()), t
+    got = bpe.digests(docs, path, pattern).collect()
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = [(d, len(i := ref.encode_ordinary(t or "")), sha(",".join(map(str, i)).encode()), sha((t or "").encode())) for d, t in rows_of(docs)]
+    assert sorted(map(tuple, got), key=sort_key) == sorted(want, key=sort_key)
+    assert bpe.encode(docs.filter("doc_id = 704"), path, pattern).first()["decoded"] == "中文 ÄÖ 😀"
+
+
+def test_bpe_takes_the_lowest_rank_first():
+    ranks = {bytes([b]): b for b in range(256)} | {b"bc": 300, b"abc": 299, b"ab": 301, b"aa": 302}
+    replay = bpe.Replay(ranks)
+
+    def alone(word):
+        parts = [bytes([b]) for b in word]
+        while True:
+            best = min(((ranks[parts[n] + parts[n + 1]], n) for n in range(len(parts) - 1) if parts[n] + parts[n + 1] in ranks), default=None)
+            if best is None:
+                return [ranks[p] for p in parts]
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+
+    r = random.Random(8)
+    words = [bytes(r.choice(b"abcx") for _ in range(r.randint(1, 14))) for _ in range(400)]
+    assert replay.encode(words) == [[ranks[w]] if w in ranks else alone(w) for w in words]
+
+
+def brute_cut(rows, n=50):
+    last = (1 << 63) - 1
+    rows = [(last if d is None else d, d, (t or "").encode()) for d, t in rows]
+    first = {}
+    for d, _, t in rows:
+        for p in range(len(t) - n + 1):
+            first[t[p : p + n]] = min(first.get(t[p : p + n], d), d)
+    out = []
+    for d, own, t in rows:
+        gone = bytearray(len(t))
+        for p in range(len(t) - n + 1):
+            if first[t[p : p + n]] < d:
+                gone[p : p + n] = b"\1" * n
+        runs = sum(1 for i in range(len(t)) if gone[i] and not (i and gone[i - 1]))
+        out.append((own, len(t), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(t, gone, strict=True) if not g)).hexdigest()))
+    return sorted(out, key=sort_key)
+
+
+def test_suffixes(spark, docs):
+    r = random.Random(3)
+    base = ["".join(r.choice("ab c") for _ in range(r.randint(0, 300))) for _ in range(20)]
+    rows = [(n * 3, "".join(r.choice(base)[r.randint(0, 100) :][: r.randint(0, 200)] + r.choice(["é", "x", "yz "]) for _ in range(r.randint(0, 4)))) for n in range(120)]
+    rows += [(7, "a" * 400), (8, "ba" * 200), (5, "a" * 60), (9, None), (None, rows[3][1]), (11, "a" * 49)]
+    for df, own in ((spark.createDataFrame(rows, "doc_id long, text string"), rows), (docs, rows_of(docs))):
+        got = suffixes.cut_repeats(df).drop("text").collect()
+        assert sorted(map(tuple, got), key=sort_key) == brute_cut(own)
+    assert suffixes.cut_repeats(docs.limit(0), keep=("key",)).count() == 0
+
+
+def test_suffix_order():
+    r = random.Random(9)
+    for _ in range(100):
+        data = np.frombuffer(b"".join(bytes(r.choice(b"ab") for _ in range(r.choice([0, 14, 20, 50]))) + b"c" * r.randint(0, 50) + b"d" * 60 for _ in range(r.randint(1, 40))), np.uint8)
+        starts = np.array(sorted(r.sample(range(len(data) - 50), min(60, len(data) - 50))), np.int64)
+        order, classes = suffixes.suffix_classes(data, starts, 50)
+        got = [bytes(data[starts[n] : starts[n] + 50]) for n in order]
+        assert got == sorted(got) and all((got[i] == got[i - 1]) == (classes[i] == classes[i - 1]) for i in range(1, len(got)))
+
+
+def test_langid(spark):
+    r = random.Random(10)
+    rows = [(n, " ".join(r.choice(quality.COMMON[g]) for _ in range(40)), g) for n, g in enumerate(["en", "fr", "de", "es"] * 60)]
+    rows += [(1000, None, "en"), (1001, "123 !!", "en"), (1002, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
+    model = langid.trained(df)
+    got = {x["doc_id"]: x for x in langid.identify(df, *model, keep=("doc_id",)).collect()}
+    right = [got[n]["lang_pred"] == g for n, _, g in rows[:240]]
+    assert np.mean(right) > 0.97 and all(0 <= x["score"] <= 1 for x in got.values())
+    assert {got[n]["lang_pred"] for n in (1000, 1001, 1002)} == {"und"}
+    both = rows[0][1] * 3 + " " + rows[1][1] * 3
+    shares = langid.identify(spark.createDataFrame([(both,)], "text string"), *model).first()["shares"]
+    assert {"en", "fr"} <= set(shares) and abs(sum(shares.values()) - 1) < 1e-6
+    assert langid.identify(df, *langid.learn(df.limit(0).select("text", "lang"))).filter("lang_pred <> 'und'").count() == 0
+    assert all((zlib.crc32(str(n).encode()) % 4 == 2) == x["h"] for n, x in ((x["doc_id"], x) for x in df.select("doc_id", langid.held_out(F.col("doc_id")).alias("h")).collect()))
+
+
+def brute_fingerprint(text, k):
+    words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] or [" ".join(words)]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(spark, docs):
+    got = simhash.near_duplicates(docs).collect()
+    rows = rows_of(docs)
+    fps = {n: brute_fingerprint(t, 3) for n, (_, t) in enumerate(rows)}
+    root = list(range(len(rows)))
+    for _ in rows:
+        for a in fps:
+            for b in fps:
+                if (fps[a] ^ fps[b]).bit_count() <= 3:
+                    root[a] = root[b] = min(root[a], root[b])
+    least = {x: min((rows[n][0] for n in range(len(rows)) if root[n] == x and rows[n][0] is not None), default=None) for x in root}
+    assert sorted(((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got), key=sort_key) == sorted(((rows[n][0], fps[n], least[root[n]]) for n in fps), key=sort_key)
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_golay_links_all(spark):
+    r = random.Random(11)
+    base = [r.getrandbits(64) for _ in range(150)]
+    fps = base + [b ^ sum(1 << x for x in r.sample(range(64), r.randint(0, 4))) for b in base for _ in range(4)]
+    signed = sorted({f - (1 << 64) if f >> 63 else f for f in fps})
+    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 3}
+    got = {(x["u"], x["v"]) for x in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
+    assert got == want and want
+
+
+def test_topk(spark):
+    r = np.random.default_rng(12)
+    rows = [(n, [float(x) for x in np.round(r.normal(size=6), 2)]) for n in range(300)] + [(n, [1.0] * 6) for n in range(300, 340)]
+    rows += [(350, None), (400, [float("nan")] * 6), (401, [1.0, None] * 3), (None, [1.0] * 6), (450, [0.0] * 6)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")), F.col("vec_id") % 50 == 0).collect()
+    ok = [(n, np.floor(256 * np.float32(v).astype(float)).astype(int)) for n, v in rows if n is not None and v and None not in v and np.isfinite(v).all()]
+    want = []
+    for q, x in ok:
+        if q % 50 == 0:
+            best = sorted((-int(x @ y), n) for n, y in ok if n != q)[:5]
+            want += [(q, k, n, -s) for k, (s, n) in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
