@@ -40,14 +40,17 @@ def threshold_walk(query: np.ndarray, values: np.ndarray, ids: np.ndarray, order
     depth, step = 0, 16
     while depth < n:
         upto = min(n, depth + step)
-        new = np.unique(lists[depth:upto]) if len(dims) else np.arange(n)
-        new = new[~seen[new]]
-        seen[new] = True
-        score = np.concatenate([best_score, values[new] @ query])
+        met = seen.copy()
+        met[lists[depth:upto].ravel() if len(dims) else slice(None)] = True
+        new = np.flatnonzero(met & ~seen)
+        seen = met
+        score = np.concatenate([best_score, (values[new] @ query).astype(np.int64)])
         who = np.concatenate([best_id, ids[new]])
         top = np.lexsort((who, -score))[:k]
         best_score, best_id = score[top], who[top]
         depth, step = upto, step * 2
+        if seen.all():
+            break
         if depth < n and len(best_score) == k:
             bound = int(values[lists[depth - 1], dims] @ query[dims]) if len(dims) else 0
             if bound < best_score[-1]:  # an equal score of a smaller id would still count
@@ -77,8 +80,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
             values = np.stack(candidates["v"].to_numpy()).astype(np.int64).reshape(len(candidates), -1)
             ids = candidates["id"].to_numpy()
             order = np.argsort(values, axis=0, kind="stable")
+            largest = max(int(np.abs(values).max(initial=0)), *(int(np.abs(np.asarray(q)).max(initial=0)) for q in queries["v"]))
+            if largest * largest * max(1, values.shape[1]) < 1 << 53:  # sums of products are exact in doubles, which multiply faster
+                values = values.astype(float)
             for own, query in zip(queries["id"], queries["v"], strict=True):
-                query = np.asarray(query, np.int64)
+                query = np.asarray(query, np.int64).astype(values.dtype)
                 out.extend((own, i, s) for s, i in threshold_walk(query, values, ids, order, k, own))
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
