@@ -14,10 +14,21 @@ codeword indices of each pair of segments (24 bits) hence misses no link. One
 side of the join carries the plain pair of indices, the other up to 36 pairs,
 and the join's condition verifies the Hamming distance, so only true links
 leave it. Copies never meet: the join is over distinct fingerprints.
+
+Near copies by similarity (0.8 of five-word shingles) lie 5 to 14 of 64 bits
+apart, further than Golay keys reach at a bearable number of keys. For them
+`near_copies_left` proposes by another key, equal samples of shingles: the
+SAMPLED least under each of SAMPLES permutations. What meets is verified on a
+wide SimHash, one 64-bit fingerprint for each of PARTS parts of the shingles.
+Within a key documents are united, not paired: each leader is compared with
+those it isn't united with yet, so a group of copies costs its size; keys of
+more than BLOCK documents are salted, and of each set joined in a block its least and
+its best linked documents go on to the next round.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -28,12 +39,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import documents, settled
+from clickloom.llm.common import documents, settled, staged
 from clickloom.llm.graph import components
 
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the code.
 GENERATOR = 0b101011100011
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
+#: Keys of a document, shingles in each; parts of a wide fingerprint.
+SAMPLES, SAMPLED, PARTS = 16, 4, 16
+#: Sets of similarity s have the cosine 2s / (1 + s), and so this share of differing bits: 0.151 at 0.8. The wide
+#: fingerprint's estimate has a standard error of 0.011, by which the limit is wider.
+LIMIT = math.acos(2 * 0.8 / 1.8) / math.pi + 0.011
+#: Documents of a key that are united in one go; of each set united, how many go on if there are more.
+BLOCK, GO_ON = 2000, 8
+_ODD = np.random.default_rng(9).integers(0, 1 << 63, SAMPLES, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _remainder(words: np.ndarray) -> np.ndarray:
@@ -72,23 +92,92 @@ def segment_keys(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; of the whole sequence if it is shorter; none without words."""
     words = text.lower().split()  # of bytes: A-Z only, and the six ASCII spaces
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+        return np.array([digest(joined, 42)], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes set each bit."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):  # a very long text in bounded memory
-        part = np.array(hashes[at : at + (1 << 16)], dtype="<u8").view(np.uint8).reshape(-1, 8)
+        part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return ones
+
+
+def majority(hashes: np.ndarray) -> int:
+    return int(np.packbits(_ones(hashes) * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
+def wide_fingerprint(distinct: np.ndarray) -> np.ndarray:
+    """PARTS fingerprints of distinct shingle hashes, dealt into parts by another hash of theirs; 0 for an empty part."""
+    part = (distinct * _MIX) >> np.uint64(64 - PARTS.bit_length() + 1)
+    order = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[order], np.arange(PARTS + 1))
+    dealt = distinct[order]
+    return np.array([majority(dealt[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], np.uint64)
+
+
+def sample_keys(distinct: np.ndarray) -> np.ndarray:
+    """A hash of each sample of distinct shingle hashes; no samples of nothing."""
+    if not len(distinct):
+        return np.zeros(0, np.int64)
+    least = np.zeros((SAMPLES, 0), np.uint64)
+    for at in range(0, len(distinct), 1 << 14):
+        x = distinct[None, at : at + (1 << 14)] * _ODD[:, None]
+        x ^= x >> np.uint64(32)
+        x *= _MIX
+        x = np.concatenate([least, x], axis=1)
+        least = np.partition(x, SAMPLED - 1, axis=1)[:, :SAMPLED] if x.shape[1] > SAMPLED else x
+    least.sort(axis=1)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), n) for n, row in enumerate(least)], np.uint64).view(np.int64)
+
+
+def alike(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which wide fingerprints differ from one in a share of LIMIT of their bits at most; parts that both lack don't count."""
+    differ = np.bitwise_count(one ^ others).sum(-1, dtype=np.int64)
+    return differ <= LIMIT * 64 * ((one | others) != 0).sum(-1)
+
+
+def united(wide: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
+    """Links that join all that alike() joins, directly or by others, and of each set joined its first and its GO_ON best linked.
+
+    The best linked document leads next. It is compared with all that aren't
+    joined with it yet, so no link between two sets is lost.
+    """
+    n = len(wide)
+    label, degree, waiting = np.arange(n), np.zeros(n, np.int64), np.ones(n, bool)
+    found: list[tuple[int, int]] = []
+    while waiting.any() and (label != label[0]).any():
+        leader = int(np.where(waiting, degree, -1).argmax())
+        waiting[leader] = False
+        others = np.flatnonzero(label != label[leader])
+        hits = others[alike(wide[leader], wide[others])]
+        if len(hits):
+            degree[hits] += 1
+            degree[leader] += len(hits)
+            for other in np.unique(label[hits]).tolist():
+                found.append((leader, int(hits[label[hits] == other][0])))
+            joined = np.isin(label, np.append(label[hits], label[leader]))
+            label[joined] = label[joined].min()
+    best = np.lexsort((np.arange(n), -degree, label))
+    begins = np.flatnonzero(np.diff(label[best], prepend=-1))
+    rank = np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))
+    return found, sorted({*np.unique(label).tolist(), *best[rank < GO_ON].tolist()})
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -153,7 +242,97 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(classes, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id", "n_links")
 
 
+def _described(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(doc_id, fp, wide binary, keys array<long>) of each row with an id."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, wide, keys = [], [], []
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                hashes = shingle_hashes(text or b"", shingle)
+                distinct = np.unique(hashes)
+                fps.append(majority(hashes))
+                wide.append(wide_fingerprint(distinct).tobytes())
+                keys.append(sample_keys(distinct))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "wide", "keys"])
+
+    return documents(docs, id_col, text_col).filter("doc_id is not null").mapInArrow(of, "doc_id long, fp long, wide binary, keys array<long>")
+
+
+def _unite(rows: DataFrame, n_tasks: int) -> DataFrame:
+    """(key, salt, node, wide) -> (u, v) of each link, and (key, u) with null v of those that go on, in salted keys."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        key, salt, node = (table.column(c).to_numpy() for c in ("key", "salt", "node"))
+        wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(-1, PARTS)
+        order = np.lexsort((node, salt, key))
+        key, salt, node, wide = key[order], salt[order], node[order], wide[order]
+        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])))
+        sizes = np.diff(np.append(first, len(key)))
+        two = first[(sizes == 2) & (salt[first] < 0)]
+        two = two[alike(wide[two], wide[two + 1])]
+        us, vs, ks = [node[two]], [node[two + 1]], [key[two]]
+        gone_on: list[np.ndarray] = []
+        for a, n in zip(first.tolist(), sizes.tolist(), strict=True):
+            if n > 2 or n == 2 and salt[a] >= 0:
+                pairs, on = united(wide[a : a + n])
+                if pairs:
+                    u, v = np.array(pairs).T + a
+                    us.append(node[u]), vs.append(node[v]), ks.append(key[u])
+                if salt[a] >= 0:
+                    gone_on.append(np.array(on) + a)
+            elif n == 1 and salt[a] >= 0:
+                gone_on.append(np.array([a]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ks, us, vs)], names=["key", "u", "v"])
+        if gone_on:
+            at = np.concatenate(gone_on)
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(node[at]), pa.nulls(len(at), pa.int64())], names=["key", "u", "v"])
+
+    return rows.repartition(n_tasks, "key", "salt").mapInArrow(of, "key long, u long, v long")
+
+
+def similar(classes: DataFrame) -> DataFrame:
+    """(u, v): links of nodes whose wide fingerprints are alike and that share a sample. classes: (node, wide, keys)."""
+    spark = classes.sparkSession
+    wide = classes.select("node", "wide")
+    rows = classes.select("node", F.explode("keys").alias("key"))
+    before, found = math.inf, None
+    while True:
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        sizes = settled(sizes)
+        total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
+        if not total:
+            return found if found is not None else spark.createDataFrame([], "u long, v long")
+        blocks = F.ceil(F.col("n") / (BLOCK if total < 0.9 * before else largest))  # blocks that unite nothing don't shrink: all at once
+        salt = F.when(blocks > 1, F.pmod(F.xxhash64("node", "key", F.lit(total)), blocks)).otherwise(F.lit(-1)).cast("long")
+        met = rows.join(sizes, "key").withColumn("salt", salt).drop("n").join(wide, "node")
+        n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 100_000))
+        out = staged(_unite(met.select("key", "salt", "node", "wide"), n_tasks))
+        new = out.filter("v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        found = new if found is None else found.unionByName(new)
+        if largest <= BLOCK or total >= 0.9 * before:
+            return found
+        rows, before = out.filter("v is null").select(F.col("u").alias("node"), "key"), total
+
+
 def near_copies_left(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 3) -> DataFrame:
-    """(doc_id): the documents that stay when one of each group does, that with the least id; rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col, shingle, bits)
-    return found.filter("doc_id is null or doc_id = component_id").select("doc_id").distinct()
+    """(doc_id): the documents that stay when one of each group does, that with the least id; rows without an id stay.
+
+    Linked are texts whose fingerprints differ in at most bits bits, and texts
+    of a similarity of 0.8 or more, as the wide fingerprint estimates it. Rows
+    of one id are one document; null and wordless texts are one group.
+    """
+    described = settled(_described(docs, id_col, text_col, shingle))
+    classes = settled(described.groupBy("fp", "wide").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")))
+    by_fp = classes.groupBy("fp").agg(F.min("node").alias("node"))
+    equal = classes.join(by_fp.withColumnRenamed("node", "u"), "fp").select("u", F.col("node").alias("v"))
+    near = links(by_fp, bits)
+    near = near.join(by_fp.select(F.col("fp").alias("u"), F.col("node").alias("a")), "u").join(by_fp.select(F.col("fp").alias("v"), F.col("node").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    found = equal.unionByName(near).unionByName(similar(classes.select("node", "wide", "keys")))
+    later = components(found.filter("u <> v")).filter("node <> root").select("node")
+    kept = classes.select("node").distinct().join(later, "node", "left_anti").select(F.col("node").alias("doc_id"))
+    return kept.unionByName(documents(docs, id_col, text_col).filter("doc_id is null").select("doc_id").distinct())

@@ -319,6 +319,55 @@ def test_simhash(spark, docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def similarity(a, b):
+    return len(a & b) / max(1, len(a | b))
+
+
+def left_of(spark, rows):
+    kept = simhash.near_copies_left(spark.createDataFrame(rows, "doc_id long, text string, u string").repartition(5))
+    assert kept.columns == ["doc_id"]
+    return [r["doc_id"] for r in kept.collect()]
+
+
+def assert_one_of_each_group(rows, left):
+    """No two that stay are alike; what goes is alike to another text. Between lies what an estimate may decide."""
+    shingles = {d: set(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for d, t, *_ in rows if d is not None}
+    fps = {d: simhash.fingerprint((t or "").encode(), 5) for d, t, *_ in rows if d is not None}
+    stay = sorted({d for d in left if d is not None})
+    for n, a in enumerate(stay):
+        for b in stay[:n]:
+            assert similarity(shingles[a], shingles[b]) < 0.85 and (fps[a] ^ fps[b]).bit_count() > 3
+    for a in set(shingles) - set(stay):
+        assert any(similarity(shingles[a], shingles[b]) > 0.5 or (fps[a] ^ fps[b]).bit_count() <= 3 for b in shingles if b != a)
+
+
+def edited(words, share, r):
+    return [f"new{r.randrange(10**9)}" if r.random() < share else w for w in words]
+
+
+@pytest.mark.parametrize("block", [2000, 20])
+def test_near_copies_left(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    r = random.Random(block)
+    rows, groups = [], []
+    for n, copies in enumerate((0, 1, 2, 5, 90)):
+        words = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        ids = [1000 * n + k for k in range(copies + 1)]
+        groups.append(ids)
+        middle = len(ids) // 2  # the original is neither first nor last
+        rows += [(d, " ".join(words if k == middle else edited(words, 0.012, r)), "x") for k, d in enumerate(ids)]
+    rows += [(9001, None, "x"), (9002, "", None), (None, "no id", "x"), (9003, "one two", "x"), (9004, "one two", "x"), (9004, "one two", "x")]
+    left = left_of(spark, rows)
+    assert sorted(d for d in left if d is not None) == sorted([*(g[0] for g in groups), 9001, 9003]) and left.count(None) == 1
+    assert_one_of_each_group(rows, left)
+    assert left_of(spark, []) == []
+
+
+def test_near_copies_left_of_documents(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect()]
+    assert_one_of_each_group(rows, left_of(spark, rows))
+
+
 def test_golay_links_all(spark):
     r = random.Random(11)
     base = [r.getrandbits(64) for _ in range(150)]
