@@ -31,9 +31,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least id."""
+    """One document of each group of near copies, the one with the least id; documents without an id stay."""
     kept = simhash.near_copies_left(docs)
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    with_id = docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return with_id.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

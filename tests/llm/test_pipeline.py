@@ -28,3 +28,15 @@ def test_pipeline(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_documents_without_id_stay(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    clean = "Seven lanterns hung above the quiet harbour while the ferry turned towards the northern shore."
+    texts = [clean, clean.replace("Seven", "Eleven").replace("ferry", "old barge")]
+    docs = docs.unionByName(spark.createDataFrame([(None, t, "en", "s", len(t)) for t in texts], docs.schema))
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, None)
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.filter("doc_id is null").count() == len(texts), name
