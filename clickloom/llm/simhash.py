@@ -22,8 +22,8 @@ SAMPLED least under each of SAMPLES permutations. What meets is verified on a
 wide SimHash, one 64-bit fingerprint for each of PARTS parts of the shingles.
 Within a key documents are united, not paired: each leader is compared with
 those it isn't united with yet, so a group of copies costs its size; keys of
-more than BLOCK documents are salted, and of each set joined in a block its least and
-its best linked documents go on to the next round.
+more than BLOCK documents are united in random blocks first, and then all members
+that this leaves apart meet, each pair of blocks in a task of its own.
 """
 
 from __future__ import annotations
@@ -50,8 +50,8 @@ SAMPLES, SAMPLED, PARTS = 16, 4, 16
 #: Sets of similarity s have the cosine 2s / (1 + s), and so this share of differing bits: 0.151 at 0.8. The wide
 #: fingerprint's estimate has a standard error of 0.011, by which the limit is wider.
 LIMIT = math.acos(2 * 0.8 / 1.8) / math.pi + 0.011
-#: Documents of a key that are united in one go; of each set united, how many go on if there are more.
-BLOCK, GO_ON = 2000, 8
+#: Documents of a key that are united in one go.
+BLOCK = 2000
 _ODD = np.random.default_rng(9).integers(0, 1 << 63, SAMPLES, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -153,19 +153,22 @@ def alike(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return differ <= LIMIT * 64 * ((one | others) != 0).sum(-1)
 
 
-def united(wide: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links that join all that alike() joins, directly or by others, and of each set joined its first and its GO_ON best linked.
+def united(wide: np.ndarray, label: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join all that alike() joins, directly or by others, given what equal labels say is joined already.
 
     The best linked document leads next. It is compared with all that aren't
-    joined with it yet, so no link between two sets is lost.
+    joined with it yet, so no link between two sets is lost. With sides 0 and
+    1 only links from one side to the other are looked for.
     """
     n = len(wide)
-    label, degree, waiting = np.arange(n), np.zeros(n, np.int64), np.ones(n, bool)
+    label = np.arange(n) if label is None else np.unique(label, return_inverse=True)[1]
+    degree, waiting = np.zeros(n, np.int64), np.ones(n, bool) if side is None else side == 0
     found: list[tuple[int, int]] = []
     while waiting.any() and (label != label[0]).any():
         leader = int(np.where(waiting, degree, -1).argmax())
         waiting[leader] = False
-        others = np.flatnonzero(label != label[leader])
+        apart = label != label[leader]
+        others = np.flatnonzero(apart if side is None else apart & (side == 1))
         hits = others[alike(wide[leader], wide[others])]
         if len(hits):
             degree[hits] += 1
@@ -174,10 +177,7 @@ def united(wide: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
                 found.append((leader, int(hits[label[hits] == other][0])))
             joined = np.isin(label, np.append(label[hits], label[leader]))
             label[joined] = label[joined].min()
-    best = np.lexsort((np.arange(n), -degree, label))
-    begins = np.flatnonzero(np.diff(label[best], prepend=-1))
-    rank = np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))
-    return found, sorted({*np.unique(label).tolist(), *best[rank < GO_ON].tolist()})
+    return found
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -259,64 +259,85 @@ def _described(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
     return documents(docs, id_col, text_col).filter("doc_id is not null").mapInArrow(of, "doc_id long, fp long, wide binary, keys array<long>")
 
 
-def _unite(rows: DataFrame, n_tasks: int) -> DataFrame:
-    """(key, salt, node, wide) -> (u, v) of each link, and (key, u) with null v of those that go on, in salted keys."""
+def _unite(rows: DataFrame, total: int) -> DataFrame:
+    """(key, part, side, node, root, wide), about total rows -> (u, v), u < v: links that unite each part of a key.
+
+    Equal roots are joined already; null: nothing is. Sides are as united() has them, null: none.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         table = pa.Table.from_batches(parts)
-        key, salt, node = (table.column(c).to_numpy() for c in ("key", "salt", "node"))
+        key, part, node = (table.column(c).to_numpy() for c in ("key", "part", "node"))
+        root = table.column("root").to_numpy() if not table.column("root").null_count else None
+        side = table.column("side").fill_null(-1).to_numpy()
         wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(-1, PARTS)
-        order = np.lexsort((node, salt, key))
-        key, salt, node, wide = key[order], salt[order], node[order], wide[order]
-        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])))
+        order = np.lexsort((node, part, key))
+        key, part, node, side, wide = key[order], part[order], node[order], side[order], wide[order]
+        root = None if root is None else root[order]
+        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
         sizes = np.diff(np.append(first, len(key)))
-        two = first[(sizes == 2) & (salt[first] < 0)]
+        two = first[sizes == 2] if root is None else first[:0]
         two = two[alike(wide[two], wide[two + 1])]
-        us, vs, ks = [node[two]], [node[two + 1]], [key[two]]
-        gone_on: list[np.ndarray] = []
+        us, vs = [node[two]], [node[two + 1]]
         for a, n in zip(first.tolist(), sizes.tolist(), strict=True):
-            if n > 2 or n == 2 and salt[a] >= 0:
-                pairs, on = united(wide[a : a + n])
+            if n > 2 or n == 2 and root is not None:
+                pairs = united(wide[a : a + n], None if root is None else root[a : a + n], None if side[a] < 0 else side[a : a + n])
                 if pairs:
                     u, v = np.array(pairs).T + a
-                    us.append(node[u]), vs.append(node[v]), ks.append(key[u])
-                if salt[a] >= 0:
-                    gone_on.append(np.array(on) + a)
-            elif n == 1 and salt[a] >= 0:
-                gone_on.append(np.array([a]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ks, us, vs)], names=["key", "u", "v"])
-        if gone_on:
-            at = np.concatenate(gone_on)
-            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(node[at]), pa.nulls(len(at), pa.int64())], names=["key", "u", "v"])
+                    us.append(node[u]), vs.append(node[v])
+        u, v = np.concatenate(us), np.concatenate(vs)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    n_tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 100_000))
+    met = rows.select("key", "part", F.col("side").cast("int").alias("side"), "node", F.col("root").cast("long").alias("root"), "wide")
+    return staged(met.repartition(n_tasks, "key", "part").mapInArrow(of, "u long, v long").filter("u <> v").distinct())
 
-    return rows.repartition(n_tasks, "key", "salt").mapInArrow(of, "key long, u long, v long")
+
+def _across(rows: DataFrame, wide: DataFrame, joined: DataFrame) -> DataFrame:
+    """(u, v): all links of members of a key that joined doesn't join. rows: (key, node) of keys of any size; joined: (node, root).
+
+    What is joined lies in one set. A set of more than BLOCK has blocks of its
+    own, smaller ones share blocks; each block meets each other one of its key,
+    but none of the same set, and a shared one itself.
+    """
+    named = staged(rows.join(joined, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    sets = named.groupBy("key", "root").agg(F.count("*").alias("n"))
+    many = sets.groupBy("key").agg(F.count("*").alias("n_sets"), F.sum(F.when(F.col("n") <= BLOCK, F.col("n"))).alias("small")).filter("n_sets > 1")
+    own = F.when(F.col("n") > BLOCK, F.col("root"))
+    sets = sets.join(many, "key").select("key", "root", own.alias("own"), F.ceil(F.when(F.col("n") > BLOCK, F.col("n")).otherwise(F.col("small")) / BLOCK).alias("n_blocks"))
+    block = F.struct(F.col("own").isNotNull().alias("alone"), F.coalesce("own", F.lit(0)).alias("own"), F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("root")).otherwise(F.col("node"))), F.col("n_blocks")).alias("n"))
+    members = staged(named.join(sets, ["key", "root"]).select("key", "node", "root", block.alias("block")))
+    blocks = settled(members.groupBy("key", "block").agg(F.count("*").alias("n")))
+    a, b = blocks.select("key", F.col("block").alias("a"), F.col("n").alias("n_a")), blocks.select("key", F.col("block").alias("b"), F.col("n").alias("n_b"))
+    one_set = F.col("a.alone") & F.col("b.alone") & (F.col("a.own") == F.col("b.own"))
+    pairs = settled(a.join(b, "key").filter((F.col("a") <= F.col("b")) & ~one_set).withColumn("part", F.xxhash64("a", "b")))
+    total = pairs.agg(F.sum(F.col("n_a") + F.col("n_b"))).first()[0] or 0
+    itself = F.array(F.struct(F.col("a").alias("block"), F.lit(None).cast("int").alias("side")))
+    both = F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side")))
+    halves = pairs.select("key", "part", F.explode(F.when(F.col("a") == F.col("b"), itself).otherwise(both)).alias("x")).select("key", "part", "x.block", "x.side")
+    return _unite(members.join(wide, "node").join(halves, ["key", "block"]), total)
 
 
 def similar(classes: DataFrame) -> DataFrame:
-    """(u, v): links of nodes whose wide fingerprints are alike and that share a sample. classes: (node, wide, keys)."""
+    """(u, v): links that join all nodes whose wide fingerprints are alike and that share a sample. classes: (node, wide, keys)."""
     spark = classes.sparkSession
     wide = classes.select("node", "wide")
     rows = classes.select("node", F.explode("keys").alias("key"))
-    before, found = math.inf, None
-    while True:
-        sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        sizes = settled(sizes)
-        total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
-        if not total:
-            return found if found is not None else spark.createDataFrame([], "u long, v long")
-        blocks = F.ceil(F.col("n") / (BLOCK if total < 0.9 * before else largest))  # blocks that unite nothing don't shrink: all at once
-        salt = F.when(blocks > 1, F.pmod(F.xxhash64("node", "key", F.lit(total)), blocks)).otherwise(F.lit(-1)).cast("long")
-        met = rows.join(sizes, "key").withColumn("salt", salt).drop("n").join(wide, "node")
-        n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 100_000))
-        out = staged(_unite(met.select("key", "salt", "node", "wide"), n_tasks))
-        new = out.filter("v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        found = new if found is None else found.unionByName(new)
-        if largest <= BLOCK or total >= 0.9 * before:
-            return found
-        rows, before = out.filter("v is null").select(F.col("u").alias("node"), "key"), total
+    sizes = settled(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
+    if not total:
+        return spark.createDataFrame([], "u long, v long")
+    part = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / BLOCK)).alias("part")
+    no = F.lit(None)
+    met = rows.join(sizes, "key").join(wide, "node").select("key", part, no.alias("side"), "node", no.alias("root"), "wide")
+    found = _unite(met, total)
+    if largest <= BLOCK:
+        return found
+    large = rows.join(sizes.filter(F.col("n") > BLOCK), "key").select("key", "node").distinct()
+    return found.unionByName(_across(large, wide, components(found)))
 
 
 def near_copies_left(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 3) -> DataFrame:

@@ -363,6 +363,44 @@ def test_near_copies_left(spark, monkeypatch, block):
     assert left_of(spark, []) == []
 
 
+@pytest.mark.parametrize("block", [1000, 50])
+def test_similar_across_blocks(spark, monkeypatch, block):
+    """The groups are those of comparing all pairs of a key, whatever its size: strangers, a chain, and families joined by one link of two outliers."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    r = np.random.default_rng(13)
+
+    def changed(wide, share):
+        bits = np.unpackbits(wide.view(np.uint8))
+        bits[r.choice(1024, int(1024 * share), replace=False)] ^= 1
+        return np.packbits(bits).view(np.uint64)
+
+    made = []
+    for key in range(4):
+        one = r.integers(0, 1 << 63, simhash.PARTS, dtype=np.uint64)
+        out = changed(one, 0.1)
+        other_out = changed(out, 0.15)
+        two = changed(other_out, 0.1)
+        made += [(w, key) for w in (one, out, other_out, two, *(changed(w, 0.07) for w in (one, two) for _ in range(100)))]
+    chain = [two]
+    for _ in range(120):
+        chain.append(changed(chain[-1], 0.14))
+    made += [(w, 4) for w in chain[1:]] + [(r.integers(0, 1 << 63, simhash.PARTS, dtype=np.uint64), 4) for _ in range(30)]
+    rows = [(int(d), w, k) for d, (w, k) in zip(r.permutation(len(made)), made, strict=True)]
+    found = simhash.similar(spark.createDataFrame([(d, w.tobytes(), [k]) for d, w, k in rows], "node long, wide binary, keys array<long>"))
+    got = {r["node"]: r["root"] for r in graph.components(found).collect()}
+    want = {d: d for d, _, _ in rows}
+    for key in range(5):
+        ids = sorted(((d, w) for d, w, k in rows if k == key), key=lambda x: x[0])
+        wides = np.array([w for _, w in ids])
+        near = np.array([simhash.alike(w, wides) for w in wides])
+        label = np.arange(len(ids))
+        while (least := np.where(near, label, len(ids)).min(1)).tolist() != label.tolist():
+            label = least
+        want |= {d: ids[n][0] for (d, _), n in zip(ids, label.tolist(), strict=True)}
+    assert len(set(want.values())) == 4 + 1 + 30
+    assert {d: got.get(d, d) for d in want} == want
+
+
 def test_near_copies_left_of_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect()]
     assert_one_of_each_group(rows, left_of(spark, rows))
