@@ -3,8 +3,9 @@
 All of it is DataFrame expressions. Two histograms are compared with those of
 the reference languages by Jensen-Shannon distance: character classes, and
 common words. References are pooled over all rows of a language, weighting each
-by its length. Short texts are guarded: a histogram of too few characters or
-common words is not judged.
+by its length. Short texts are guarded: a histogram of too few characters is
+not judged, and the limit for common words is wider the fewer words there are,
+as the distance that sampling alone makes is.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Classes in the order in which they are taken out of a text; what is left is "other".
 CLASSES = {"space": BLANKS, "lower": "abcdefghijklmnopqrstuvwxyz", "symbol": SYMBOLS, "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": "0123456789", "punctuation": "!\"'()+,-./:;=?@[\\]^_`{}~"}
-#: Largest Jensen-Shannon distances to the nearest reference that a text may have, and the least it must hold to be judged.
-MAX_CHARS, MAX_WORDS, MIN_CHARS, MIN_WORDS = 0.28, 0.325, 400, 150
+#: Largest Jensen-Shannon distance of character classes to the nearest reference that a text may have; the characters and words it must hold to be judged.
+MAX_CHARS, MIN_CHARS, MIN_WORDS = 0.28, 400, 50
+#: Of n words from a reference itself, 1 / distance^2 grows in proportion to n, from a start: (a, b) allow common words a distance of 1 / sqrt(a + b n).
+WORDS_LIMIT = (6.5, 0.03)
 
 
 def common_words() -> list[str]:
@@ -124,12 +127,13 @@ def _word_distances(words: dict[str, dict[str, float]]) -> Column:
     return F.transform(summed, lambda s: F.sqrt(F.greatest(F.lit(0.0), s + 0.5)))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_chars: float = MAX_CHARS, max_words: float = MAX_WORDS, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_chars: float = MAX_CHARS, words_limit: tuple[float, float] = WORDS_LIMIT, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, chars_distance, words_distance): a row for each row.
 
     base_failed: under 50 words, or over half of them in repeated three-word
     windows. kept: not base_failed, and no judged histogram lies further from
-    every reference than its limit. Distances are null where not judged: the
+    every reference than its limit, which for words depends on how many there
+    are. Distances are null where not judged: the
     text is short, or its language has no reference. Null texts have no words.
     """
     counted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"))
@@ -144,5 +148,5 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     out = counted.withColumn("base_failed", failed)
     out = out.withColumn("chars_distance", F.when(here & (F.col("word_chars") >= min_chars), far_chars).otherwise(no))
     out = out.withColumn("words_distance", F.when(here & enough, far_words).otherwise(no))
-    near = (F.coalesce("chars_distance", F.lit(0.0)) <= max_chars) & (F.coalesce("words_distance", F.lit(0.0)) <= max_words)
+    near = (F.coalesce("chars_distance", F.lit(0.0)) <= max_chars) & (F.coalesce("words_distance", F.lit(0.0)) <= 1 / F.sqrt(words_limit[0] + words_limit[1] * F.col("n_words")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), "chars_distance", "words_distance")

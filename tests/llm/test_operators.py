@@ -363,6 +363,18 @@ def test_near_copies_left(spark, monkeypatch, block):
     assert left_of(spark, []) == []
 
 
+def test_quality_of_short_texts(spark):
+    """Common words are judged from 50 words on, by a limit that narrows as texts grow."""
+    r = random.Random(5)
+    others = [f"stone{n}" for n in range(500)]
+    said = lambda n, share: " ".join(r.choice(quality.COMMON["en"][:6] if r.random() < share else others) for _ in range(n))
+    good = [(n, said(size, 0.4), "en") for n, size in enumerate([60, 90, 120, 140, 200, 400] * 30)]
+    bad = [(1000 + n, said(size, 0.0), "en") for n, size in enumerate([110, 130, 149, 200, 300])]
+    got = {x["doc_id"]: x for x in quality.judge(spark.createDataFrame(good + bad, "doc_id long, text string, lang string")).collect()}
+    assert not any(x["base_failed"] for x in got.values())
+    assert all(got[d]["kept"] for d, *_ in good) and not any(got[d]["kept"] for d, *_ in bad)
+
+
 @pytest.mark.parametrize("block", [1000, 50])
 def test_similar_across_blocks(spark, monkeypatch, block):
     """The groups are those of comparing all pairs of a key, whatever its size: strangers, a chain, and families joined by one link of two outliers."""
