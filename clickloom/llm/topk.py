@@ -1,11 +1,18 @@
 """Exact top-k inner products by Fagin's threshold algorithm.
 
-Candidates and queries are dealt into blocks of bounded size and each pair of
-blocks is one group. In a group the candidates are sorted once for each
-dimension; a query then walks down its lists in parallel, scores what it meets
-by random access, and stops at the depth where no unseen candidate can reach
-the kth score: at a depth, none scores more than the sum of query component
-times list entry. Blocks' winners (k rows for each query) are ranked at last.
+Candidates are dealt into blocks of bounded size by the signs of their leading
+components, so that like vectors share a block, and are sorted there once for
+each dimension. At a depth of these lists no unseen candidate scores more than
+the sum of query component times list entry: a query goes down only to where
+that bound is under its kth score, and scores what it meets by random access.
+
+A first pass asks each query of its own block alone. Its kth score there is the
+least that every other block has to beat, so the second pass leaves a block at
+depth 0, at some depth, or, where the bound asks for most of its rows, scores
+the block's rows in one product instead of one at a time. Winners (k rows for
+each query and block) are ranked at last. Where vectors have no neighbours to
+speak of, as random directions do, the bound stays above the kth score and all
+candidates are scored; the work is queries times candidates then.
 """
 
 from __future__ import annotations
@@ -17,7 +24,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CANDIDATES, QUERIES = 4096, 1024
+from clickloom.llm.common import settled
+
+#: Rows of a block, about; queries that are asked of it at a time; leading components whose signs deal blocks, at most.
+CANDIDATES, QUERIES, SIGNS = 8192, 4096, 12
+#: Depths at which the bound is looked at, each so many times the one before.
+STEP = 4
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -27,67 +39,130 @@ def quantised(vector: Column, scale: int = 256) -> Column:
     return F.when(fine, F.transform(x, lambda v: F.floor(v * scale).cast("long")))
 
 
-def threshold_walk(query: np.ndarray, values: np.ndarray, ids: np.ndarray, order: np.ndarray, k: int, own: int) -> list[tuple[int, int]]:
-    """The k best (score, id) of values @ query, ties to the smaller id. order: argsort of each column of values; own is left out."""
-    n = len(values)
-    dims = np.flatnonzero(query)
-    if not len(dims):
-        dims = np.arange(1) if values.shape[1] else dims
-    # a negative component wants the smallest values first
-    lists = np.where(query[dims] > 0, order[::-1, dims], order[:, dims]) if len(dims) else order
-    seen = ids == own
-    best_score, best_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    depth, step = 0, 16
-    while depth < n:
-        upto = min(n, depth + step)
-        met = seen.copy()
-        met[lists[depth:upto].ravel() if len(dims) else slice(None)] = True
-        new = np.flatnonzero(met & ~seen)
-        seen = met
-        score = np.concatenate([best_score, (values[new] @ query).astype(np.int64)])
-        who = np.concatenate([best_id, ids[new]])
-        top = np.lexsort((who, -score))[:k]
-        best_score, best_id = score[top], who[top]
-        depth, step = upto, step * 2
-        if seen.all():
-            break
-        if depth < n and len(best_score) == k:
-            bound = int(values[lists[depth - 1], dims] @ query[dims]) if len(dims) else 0
-            if bound < best_score[-1]:  # an equal score of a smaller id would still count
+class Lists:
+    """A block's candidates, their list for each dimension, and how many of them its queries scored."""
+
+    def __init__(self, values: np.ndarray, ids: np.ndarray):
+        self.values, self.ids, self.scored = values, ids, 0
+        self.order = np.argsort(values, axis=0, kind="stable")
+        n, columns = len(values), np.arange(values.shape[1])
+        self.depths = [0]
+        while self.depths[-1] < n:
+            self.depths.append(min(n, max(8, self.depths[-1] * STEP)))
+        at = np.array(self.depths[:-1])
+        self.low, self.high = values[self.order[at], columns], values[self.order[n - 1 - at], columns]
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """Depths x queries: the most that a candidate unseen at that depth can score; at the last depth none is unseen."""
+        most = self.high @ np.maximum(queries, 0).T + self.low @ np.minimum(queries, 0).T
+        if most.dtype != float:
+            most = np.nextafter(most.astype(float), np.inf)
+        return np.concatenate([most, np.full((1, len(queries)), -np.inf)])
+
+    def top(self, queries: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> list[list[tuple[int, int, int]]]:
+        """Each query's k best (score, id, row), ties to the smaller id; those under floor may be missing. Rows of the id own are left out."""
+        out: list[list[tuple[int, int, int]]] = [[] for _ in queries]
+        bound = self.bounds(queries)
+        until = (bound < floor).argmax(0)  # strictly under: an equal score of a smaller id would count
+        until[~np.isfinite(floor)] = len(self.depths)
+        depth = np.append(self.depths, len(self.values))
+        walks = depth[until] * queries.shape[1] < len(self.values) // 2
+        for q in np.flatnonzero(walks & (until > 0)).tolist():
+            out[q] = self._walk(queries[q], bound[:, q], own[q], floor[q], k)
+        dense, every = np.flatnonzero(~walks), np.arange(len(self.values))
+        for at in range(0, len(dense), 256):
+            part = dense[at : at + 256]
+            score = queries[part] @ self.values.T
+            self.scored += score.size
+            for q, row in zip(part.tolist(), score, strict=True):
+                out[q] = self._best(row, every, own[q], k)
+        return out
+
+    def _walk(self, query: np.ndarray, bound: np.ndarray, own: int, floor: float, k: int) -> list[tuple[int, int, int]]:
+        dims = np.flatnonzero(query)
+        # a negative component wants the smallest values first
+        lists = np.where(query[dims] > 0, self.order[::-1, dims], self.order[:, dims])
+        seen = np.zeros(len(self.values), bool)
+        best: list[tuple[int, int, int]] = []
+        for level, depth in enumerate(self.depths):
+            if bound[level] < floor or len(best) == k and bound[level] < best[-1][0]:
                 break
-    return list(zip(best_score.tolist(), best_id.tolist(), strict=True))
+            met = np.zeros(len(self.values), bool)
+            met[lists[depth : self.depths[level + 1]].ravel()] = True
+            new = np.flatnonzero(met & ~seen)
+            seen |= met
+            self.scored += len(new)
+            best = sorted([*best, *self._best(self.values[new] @ query, new, own, k)], key=lambda x: (-x[0], x[1]))[:k]
+        return best
+
+    def _best(self, score: np.ndarray, rows: np.ndarray, own: int, k: int) -> list[tuple[int, int, int]]:
+        if len(score) > k:
+            # rows of the query's own id may be among the best: look as much further as there are such rows
+            more = min(len(score), k + np.count_nonzero(self.ids == own))
+            at = np.flatnonzero(score >= np.partition(score, len(score) - more)[len(score) - more])
+            score, rows = score[at], rows[at]
+        other = self.ids[rows] != own
+        score, rows = score[other], rows[other]
+        ids = self.ids[rows]
+        return [(int(score[n]), int(ids[n]), int(rows[n])) for n in np.lexsort((ids, -score))[:k]]
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.int64).reshape(len(vectors), -1)
+
+
+def asked(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+    """(query_id, vec_id, score, copies) of a block: candidates (id, v, copies), queries (id, v, floor: a score that its kth is known to have, or null)."""
+    out: list[tuple] = []
+    if len(candidates) and len(queries):
+        values, wanted = _matrix(candidates["v"]), _matrix(queries["v"])
+        if int(np.abs(values).max(initial=0)) * int(np.abs(wanted).max(initial=0)) * max(1, values.shape[1]) < 1 << 52:
+            values, wanted = values.astype(float), wanted.astype(float)  # sums are exact in doubles too, which multiply faster
+        floor = queries["floor"].astype(float).fillna(-np.inf).to_numpy()
+        floor = np.where(np.abs(floor) < 1 << 52, floor, np.nextafter(floor, -np.inf))
+        ids = queries["id"].to_numpy()
+        tops = Lists(values, candidates["id"].to_numpy()).top(wanted, ids, floor, k)
+        copies = candidates["copies"].tolist()
+        out = [(own, i, s, copies[n]) for own, top in zip(ids.tolist(), tops, strict=True) for s, i, n in top]
+    return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "copies"])
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows but those of its own id.
 
     Rows without an id, or whose vector is null or holds a null or non-finite
-    component, take no part. Only vectors of one length are compared. A row
-    that repeats an id and its vector counts once. Scores are 64-bit integers.
+    component, take no part. Only vectors of one length are compared. A
+    candidate row that occurs several times is found as often; a query row that
+    does is asked once. Scores are 64-bit integers. No vectors: no rows.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"), is_query.alias("q"))
-    rows = rows.filter("id is not null and v is not null").distinct()
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    # of equal rows no more than k can be among the k best
+    rows = rows.filter("id is not null and v is not null").groupBy("id", "v").agg(F.max("q").alias("q"), F.least(F.count("*"), F.lit(k)).cast("int").alias("copies"))
+    rows = settled(rows.withColumn("d", F.size("v")))
     sizes = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("q")).first()
-    n_blocks, q_blocks = max(1, math.ceil(sizes["n"] / CANDIDATES)), max(1, math.ceil(sizes["q"] / QUERIES))
-    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.select("id", "v", F.size("v").alias("d"), dealt(n_blocks).alias("b"), every(q_blocks).alias("c"))
-    right = rows.filter("q").select("id", "v", F.size("v").alias("d"), every(n_blocks).alias("b"), dealt(q_blocks).alias("c"))
-
-    def best(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(candidates) and len(queries):
-            values = np.stack(candidates["v"].to_numpy()).astype(np.int64).reshape(len(candidates), -1)
-            ids = candidates["id"].to_numpy()
-            order = np.argsort(values, axis=0, kind="stable")
-            largest = max(int(np.abs(values).max(initial=0)), *(int(np.abs(np.asarray(q)).max(initial=0)) for q in queries["v"]))
-            if largest * largest * max(1, values.shape[1]) < 1 << 53:  # sums of products are exact in doubles, which multiply faster
-                values = values.astype(float)
-            for own, query in zip(queries["id"], queries["v"], strict=True):
-                query = np.asarray(query, np.int64).astype(values.dtype)
-                out.extend((own, i, s) for s, i in threshold_walk(query, values, ids, order, k, own))
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = left.groupBy("b", "c", "d").cogroup(right.groupBy("b", "c", "d")).applyInPandas(best, "query_id long, vec_id long, score long")
+    signs = min(SIGNS, int(math.log2(max(1, sizes["n"] / CANDIDATES))))
+    q_blocks = max(1, math.ceil(sizes["q"] / QUERIES))
+    # the leading signs as one number
+    cell = F.aggregate(F.slice("v", 1, signs), F.lit(0), lambda a, x: a * 2 + (x >= 0).cast("int")) if signs else F.lit(0)
+    rows = rows.withColumn("cell", cell).withColumn("h", F.xxhash64("id", "v"))
+    cells = settled(rows.groupBy("d", "cell").agg(F.ceil(F.count("*") / CANDIDATES).cast("int").alias("parts")))
+    rows = rows.join(cells, ["d", "cell"]).withColumn("part", F.pmod("h", "parts").cast("int")).drop("parts")
+    block, schema = ["d", "cell", "part"], "query_id long, vec_id long, score long, copies int"
+    # renamed, so that the two sides don't share columns
+    candidates = rows.select(*block, "id", "v", "copies").toDF(*block, "id", "v", "copies")
+    queries = rows.filter("q").select(*block, "h", "id", "v").toDF(*block, "h", "id", "v")
+
+    def search(some: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+        return asked(some, of, k)
+
+    no_floor = queries.withColumn("floor", F.lit(None).cast("double"))
+    at_home = settled(candidates.groupBy(*block).cogroup(no_floor.groupBy(*block)).applyInPandas(search, schema))
+    floors = at_home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
+    blocks = cells.select("d", F.col("cell").alias("to_cell"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to_part"))
+    away = queries.join(floors, F.col("id") == F.col("query_id"), "left").join(blocks, "d").filter((F.col("cell") != F.col("to_cell")) | (F.col("part") != F.col("to_part")))
+    away = away.select("d", F.col("to_cell").alias("cell"), F.col("to_part").alias("part"), F.pmod("h", F.lit(q_blocks)).cast("int").alias("c"), "id", "v", "floor")
+    met = candidates.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    elsewhere = met.groupBy(*block, "c").cogroup(away.groupBy(*block, "c")).applyInPandas(search, schema)
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = at_home.unionByName(elsewhere).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     return found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -428,15 +428,53 @@ def test_golay_links_all(spark):
     assert got == want and want
 
 
+def best_five(rows):
+    ok = [(n, np.floor(256 * np.float32(v).astype(float)).astype(int)) for n, v in rows if n is not None and v and None not in v and np.isfinite(v).all()]
+    want = []
+    for q, x in {(n, tuple(v)) for n, v in ok if n % 50 == 0}:
+        best = sorted((-int(np.array(x) @ y), n) for n, y in ok if n != q)[:5]
+        want += [(q, k, n, -s) for k, (s, n) in enumerate(best, 1)]
+    return sorted(want)
+
+
+def top_five(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
+    return sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect()))
+
+
 def test_topk(spark):
     r = np.random.default_rng(12)
     rows = [(n, [float(x) for x in np.round(r.normal(size=6), 2)]) for n in range(300)] + [(n, [1.0] * 6) for n in range(300, 340)]
     rows += [(350, None), (400, [float("nan")] * 6), (401, [1.0, None] * 3), (None, [1.0] * 6), (450, [0.0] * 6)]
-    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")), F.col("vec_id") % 50 == 0).collect()
-    ok = [(n, np.floor(256 * np.float32(v).astype(float)).astype(int)) for n, v in rows if n is not None and v and None not in v and np.isfinite(v).all()]
-    want = []
-    for q, x in ok:
-        if q % 50 == 0:
-            best = sorted((-int(x @ y), n) for n, y in ok if n != q)[:5]
-            want += [(q, k, n, -s) for k, (s, n) in enumerate(best, 1)]
-    assert sorted(map(tuple, got)) == sorted(want)
+    assert top_five(spark, rows) == best_five(rows)
+
+
+def test_topk_over_several_blocks(spark, monkeypatch):
+    """Groups of near copies, ties across blocks, repeated rows; each query block is asked of each block."""
+    monkeypatch.setattr(topk, "CANDIDATES", 60)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    r = np.random.default_rng(3)
+    middles = r.normal(size=(8, 5))
+    rows = [(n, [float(x) for x in np.round(middles[n % 8] * 3 + r.normal(size=5) * 0.02, 3)]) for n in range(600)]
+    rows += rows[7:13] * 3 + [rows[100]] * 2 + [(n, [2.0, -1.0, 0.0, 0.5, 1.0]) for n in range(600, 660)]
+    assert top_five(spark, rows) == best_five(rows)
+
+
+def test_topk_empty(spark):
+    assert top_five(spark, []) == [] and top_five(spark, [(50, [1.0])]) == []
+
+
+def test_topk_bound_spares_work():
+    """A walk stops before most candidates are scored, a block that can't hold a winner is left at once; whole numbers beyond doubles are exact."""
+    r = np.random.default_rng(5)
+    values = (r.normal(size=(4000, 2)) * 500).astype(np.int64)
+    for scale in (1, 1 << 20):
+        lists = topk.Lists(values * scale, np.arange(4000))
+        exact = (values.astype(object) * scale) @ (values[:40].astype(object) * scale).T
+        floor = np.array([sorted(exact[:, q])[-6] for q in range(40)], float)
+        got = lists.top(values[:40] * scale, np.arange(40), floor, 5)
+        for q in range(40):
+            assert [(s, i) for s, i, _ in got[q]] == [(-s, i) for s, i in sorted((-exact[i, q], i) for i in range(4000) if i != q)[:5]]
+        assert lists.scored < 0.5 * 40 * 4000
+    far = topk.Lists(np.abs(values) * -1, np.arange(4000))
+    assert far.top(np.abs(values[:40]) + 1, np.arange(40) - 100, np.ones(40), 5) == [[]] * 40 and not far.scored
