@@ -55,7 +55,8 @@ def unit_starts(data: np.ndarray, doc_starts: np.ndarray, glue: bool) -> np.ndar
 class Encoded:
     """The units of a slice: codes into distinct units, and where each document's begin."""
 
-    def __init__(self, texts: list[bytes], glue: bool):
+    def __init__(self, texts: list[bytes], glue: bool, uncut: np.ndarray | None = None):
+        """uncut: which texts are one unit each."""
         buffer = b"".join(texts)
         data = np.frombuffer(buffer, np.uint8)
         ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
@@ -64,6 +65,9 @@ class Encoded:
             at = unit_starts(data, starts[starts < len(data)], glue)
         else:
             at = np.zeros(0, np.int64)
+        if uncut is not None and uncut.any():
+            of = np.searchsorted(starts, at, side="right") - 1  # of empty texts at one place the last, which is the one with the bytes
+            at = at[~uncut[of] | (at == starts[of])]
         wide = len(data) >= 1 << 31
         offsets = np.concatenate([at, [len(data)]]).astype(np.int64 if wide else np.int32)
         kind = pa.large_binary() if wide else pa.binary()

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -211,10 +212,10 @@ def test_bpe(docs):
     ref = tiktoken.Encoding("ref", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
     r = random.Random(7)
     codec = bpe.codec(path, pattern)
-    odd = ["", "a  b\n\n c \t", "　 a b", "aaaa" * 200, "''s don't I'LL", "<|endoftext|>", "\x1c a\x1e"] + ["".join(r.choice("ab \n\t'sé1.! 中") for _ in range(r.randint(0, 50))) for _ in range(800)]
-    for t, (n, d, back) in zip(odd, codec.slice(odd), strict=True):
+    odd = ["", "a  b\n\n c \t", "　 a b", "aaaa" * 200, "''s don't I'LL", "<|endoftext|>", "\x1c a\x1e", "ab\u0558c 1\U00012550\U000323b0 x"] + ["".join(r.choice("ab \n\t'sé1.! 中") for _ in range(r.randint(0, 50))) for _ in range(800)]
+    for t, (found, d, back) in zip(odd, codec.slice(odd), strict=True):
         ids = ref.encode_ordinary(t)
-        assert (n, bytes(d), bytes(back)) == (len(ids), b"".join(b"%d," % i for i in ids), t.encode()), t
+        assert (found.tolist(), bytes(d), bytes(back)) == (ids, b"".join(b"%d," % i for i in ids), t.encode()), t
     got = bpe.digests(docs, path, pattern).collect()
     sha = lambda b: hashlib.sha256(b).hexdigest()
     want = [(d, len(i := ref.encode_ordinary(t or "")), sha(",".join(map(str, i)).encode()), sha((t or "").encode())) for d, t in rows_of(docs)]
@@ -235,8 +236,17 @@ def test_bpe_takes_the_lowest_rank_first():
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
 
     r = random.Random(8)
-    words = [bytes(r.choice(b"abcx") for _ in range(r.randint(1, 14))) for _ in range(400)]
-    assert replay.encode(words) == [[ranks[w]] if w in ranks else alone(w) for w in words]
+    words = [bytes(r.choice(b"abcx") for _ in range(r.randint(0, 14 if n % 4 else 3 * bpe.SHORT))) for n in range(400)]
+    ids, counts = replay.encode(pa.array(words, pa.large_binary()))
+    ends = np.cumsum(counts)
+    assert [ids[b - n : b].tolist() for n, b in zip(counts, ends, strict=True)] == [[ranks[w]] if w in ranks else alone(w) for w in words]
+    none, no_counts = replay.encode(pa.array([], pa.large_binary()))
+    assert not len(none) and not len(no_counts)
+
+
+def test_bpe_of_an_empty_table(spark):
+    got = bpe.digests(spark.createDataFrame([], "doc_id long, text string, ids int"), registry.vocabulary("byte_bpe_multi_50k.tiktoken"), registry.pattern())
+    assert got.collect() == [] and got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
 def brute_cut(rows, n=50):
