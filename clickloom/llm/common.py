@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,10 +44,23 @@ def staged(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, for what is too large to keep uncompressed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _tidied(spark):
+        df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+@contextmanager
+def _tidied(spark: SparkSession) -> Iterator[None]:
+    """A query in it deletes its shuffle files when it ends, as nothing reads them again once its result is written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def whole(text: Column) -> Column:
     """A null text counts as empty."""
     return F.coalesce(text.cast("string"), F.lit(""))

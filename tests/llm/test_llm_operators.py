@@ -273,11 +273,65 @@ def test_suffixes(spark, docs):
     rows = [(n * 3, "".join(r.choice(base)[r.randint(0, 100) :][: r.randint(0, 200)] + r.choice(["é", "x", "yz "]) for _ in range(r.randint(0, 4)))) for n in range(120)]
     rows += [(7, "a" * 400), (8, "ba" * 200), (5, "a" * 60), (9, None), (None, rows[3][1]), (11, "a" * 49)]
     for df, own in ((spark.createDataFrame(rows, "doc_id long, text string"), rows), (docs, rows_of(docs))):
-        got = suffixes.cut_repeats(df).drop("text").collect()
-        assert sorted(map(tuple, got), key=sort_key) == brute_cut(own)
+        for limits in ({}, {"local": 1, "crowd": 2}):
+            got = suffixes.cut_repeats(df, **limits).drop("text").collect()
+            assert sorted(map(tuple, got), key=sort_key) == brute_cut(own)
     assert suffixes.cut_repeats(docs.limit(0), keep=("key",)).count() == 0
 
 
+def cut_here(rows, n_buckets, local, crowd, length):
+    """The passes of cut_repeats without Spark: the bytes that are left of each row."""
+    tables = [pa.table({"doc_id": pa.array([d for d, _ in rows if d % n_buckets == b], pa.int64()), "text": pa.array([t for d, t in rows if d % n_buckets == b], pa.string())}) for b in range(n_buckets)]
+    offers = pa.concat_tables(suffixes.offered(suffixes._Bucket(t, length, with_near=True), local) for t in tables)
+    found = suffixes.compared(offers, crowd) if offers.num_rows else {c: np.zeros(0, np.int64) for c in ("key", "span", "doc", "first", "kind")}
+    asked = (found["kind"] == suffixes._CROWDED) | (found["kind"] == suffixes._ASKED) & (found["doc"] == found["first"])
+    at = {b: asked & (np.where(found["kind"] == suffixes._CROWDED, found["doc"], found["first"]) % n_buckets == b) for b in range(n_buckets)}
+    spans = pa.concat_tables(suffixes.shown(t, pa.table({c: found[c][at[b]] for c in ("key", "span", "first", "kind")}), length) for b, t in enumerate(tables))
+    masks = suffixes.decided(spans, length) if spans.num_rows else {c: np.zeros(0, np.int64) for c in ("key", "span", "doc", "mask")}
+    out = []
+    for b, t in enumerate(tables):
+        one, two = found["doc"] % n_buckets == b, masks["doc"] % n_buckets == b
+        n, m = int(one.sum()), int(two.sum())
+        verdicts = pa.table({
+            "key": np.concatenate([found["key"][one], masks["key"][two]]), "span": np.concatenate([found["span"][one], masks["span"][two]]),
+            "doc": np.concatenate([found["first"][one], masks["doc"][two]]), "kind": np.concatenate([found["kind"][one], np.ones(m, np.int32)]),
+            "mask": pa.array([None] * n + masks["mask"][two].tolist(), pa.int64()),
+        })
+        own = suffixes._Bucket(t, length)
+        gone = suffixes.removed(own, verdicts, length)
+        out += [(d, bytes(own.data[a : a + len(x)][~gone[a : a + len(x)]])) for d, a, x in zip(own.ids.tolist(), own.starts.tolist(), own.texts, strict=True)]
+    return sorted(out)
+
+
+def test_suffixes_crowded_minimisers():
+    """Passages that many documents hold, each with its own surroundings; periodic texts; few and many buckets, all limits, several lengths."""
+    r = random.Random(31)
+    crowds = 0
+    for turn in range(120):
+        length = r.choice([16, 17, 30, 33, 50, 50, 50, 78])
+        line = "".join(r.choice("abcdefgh ") for _ in range(r.randint(10, 120)))
+        words = ["".join(r.choice("xyz é") for _ in range(r.randint(1, 30))) for _ in range(4)]
+        part = lambda: r.choice([line, line[: r.randint(0, 120)], line[r.randint(0, 60) :], r.choice(words), "ab" * r.randint(1, 60), "=" * r.randint(0, 90), str(r.random())])  # noqa: B023, E731
+        rows = [(d, "".join(part() for _ in range(r.randint(0, 6)))) for d in r.sample(range(200), 40)]
+        rows += [(d, t) for d, t in rows[:3]]
+        local, crowd = r.choice([(0, 0), (1, 2), (3, 5), (16, 1024), (1, 1024), (1000, 3)])
+        first = {}
+        raw = [(d, t.encode()) for d, t in rows]
+        for d, t in raw:
+            for p in range(len(t) - length + 1):
+                first[t[p : p + length]] = min(first.get(t[p : p + length], d), d)
+        want = []
+        for d, t in raw:
+            gone = bytearray(len(t))
+            for p in range(len(t) - length + 1):
+                if first[t[p : p + length]] < d:
+                    gone[p : p + length] = b"\1" * length
+            want.append((d, bytes(c for c, g in zip(t, gone, strict=True) if not g)))
+            crowds += any(gone)
+        assert cut_here(rows, r.choice([1, 2, 7, 40]), local, crowd, length) == sorted(want), (turn, length, local, crowd)
+    assert crowds > 500
+
+
 def test_suffix_order():
     r = random.Random(9)
     for _ in range(100):
