@@ -40,33 +40,55 @@ from clickloom.llm.common import staged, whole
 
 GRAM = 16
 #: Different spans of a minimiser in one bucket, and in the corpus, beyond which it goes by windows.
-LOCAL, CROWD = 16, 1024
+LOCAL, CROWD = 64, 1024
 #: Bytes of text in a bucket, about; depth of the multikey quicksort.
-BUCKET, SHALLOW = 4 << 20, 16
-_TABLE = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+BUCKET, SHALLOW = 4 << 20, 32
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Places that are hashed at a time, so that intermediate results stay in a processor's cache.
+_STEP = 1 << 14
 
 
 def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    y = right * _B
+    y ^= y >> np.uint64(32)
     x = left * _A
-    x ^= right + (right << np.uint64(9))
-    x *= _B
-    x ^= x >> np.uint64(31)
+    x ^= y
+    x *= _C
+    x ^= x >> np.uint64(29)
     return x
 
 
-def window_hashes(data: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
-    """For each size, a 64-bit hash of each window of so many bytes; by doubling, so each byte costs a few operations."""
-    level, k, out = _TABLE[data], 1, {}
-    while True:
-        for n in sizes:
-            if k <= n < 2 * k:
-                shift, m = n - k, len(data) - n + 1
-                out[n] = (_join(level[:m], level[shift : shift + m]) if shift else level[:m]) if m > 0 else level[:0]
-        if 2 * k > max(sizes):
-            return [out[n] for n in sizes]
-        level = _join(level[:-k], level[k:]) if len(level) > k else level[:0]
-        k *= 2
+def hashes(data: np.ndarray, length: int, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all windows of GRAM, of GRAM + side (at most twice GRAM) and of length bytes, and the least gram of each of the last.
+
+    A window's hash joins those of two shorter ones that cover it; eight bytes are their own hash.
+    """
+    n = len(data)
+    count = lambda size: max(0, n - size + 1)
+    grams, around, windows, least = (np.empty(count(size), np.uint64) for size in (GRAM, GRAM + side, length, length))
+    eight = np.ndarray((count(8),), "<u8", data, strides=(1,)) if n >= 8 else np.zeros(0, np.uint64)
+    for a in range(0, count(GRAM), _STEP):
+        part = eight[a : a + _STEP + length].astype(np.uint64)
+        level = {GRAM: _join(part[:-8], part[8:])}
+        size = GRAM
+        while 2 * size <= length:
+            level[2 * size] = _join(level[size][:-size], level[size][size:])
+            size *= 2
+
+        def put(out: np.ndarray, size: int, base: int) -> None:
+            shift, of = size - base, level[base]  # noqa: B023
+            made = _join(of[: max(0, len(of) - shift)], of[shift:]) if shift else of
+            end = min(len(out), a + _STEP)  # noqa: B023
+            if end > a:  # noqa: B023
+                out[a:end] = made[: end - a]  # noqa: B023
+
+        put(grams, GRAM, GRAM)
+        put(around, GRAM + side, GRAM)
+        put(windows, length, size)
+        end = min(len(least), a + _STEP)
+        if end > a:
+            least[a:end] = least_of(level[GRAM], length - GRAM + 1)[: end - a]
+    return grams, around, windows, least
 
 
 def least_of(x: np.ndarray, width: int) -> np.ndarray:
@@ -89,18 +111,21 @@ class Spans:
     def __init__(self, data: np.ndarray, sizes: np.ndarray, length: int, with_near: bool = False):
         n, most = len(data) - length + 1, length - GRAM + 1
         side = most // 2  # a window reaches so far beyond its minimiser, to one side at least
-        grams, around, self.windows = window_hashes(data, (GRAM, GRAM + side if with_near else GRAM, length))
+        grams, around, self.windows, least = hashes(data, length, side if with_near else 0)
         if n <= 0:
-            self.key = self.span = self.first = self.many = self.of = self.near = np.zeros(0, np.int64)
+            self.key = self.span = self.first = self.many = self.of = np.zeros(0, np.int64)
+            self.near = np.zeros(0, np.int32)
             return
-        least = least_of(grams, most)[:n]
-        of = np.repeat(np.arange(len(sizes)), sizes)
-        inside = of[:n] == of[length - 1 : length - 1 + n]
+        starts = np.cumsum(sizes) - sizes
+        edges = np.concatenate([starts, starts + sizes - length + 1])  # where texts begin, and where windows begin to leave them
         cut = np.ones(n, bool)
-        cut[1:] = (least[1:] != least[:-1]) | (of[1:n] != of[: n - 1]) | (inside[1:] != inside[:-1])
+        cut[1:] = least[1:] != least[:-1]
+        cut[edges[(edges > 0) & (edges < n)]] = True
         first = np.flatnonzero(cut)
         many = np.diff(np.append(first, n))
-        first, many = first[inside[first]], many[inside[first]]
+        of = np.searchsorted(starts, first, side="right") - 1  # of texts that begin at one place the last, as the others are empty
+        inside = first + length <= starts[of] + sizes[of]
+        first, many, of = first[inside], many[inside], of[inside]
         place = _leftmost(grams, least, first, most)
         again = many > place - first + 1  # the gram occurs once more further right: as many spans as places
         if again.any():
@@ -108,22 +133,24 @@ class Spans:
             each = np.repeat(first[again], many[again]) + at
             places = _leftmost(grams, least, each, most)
             new = np.append(True, (places[1:] != places[:-1]) | (each[1:] != each[:-1] + 1))
-            starts = np.flatnonzero(new)
-            first, many, place = (np.concatenate([x[~again], y]) for x, y in ((first, each[starts]), (many, np.diff(np.append(starts, len(each)))), (place, places[starts])))
+            heads = np.flatnonzero(new)
+            first, many, place, of = (np.concatenate([x[~again], y]) for x, y in ((first, each[heads]), (many, np.diff(np.append(heads, len(each)))), (place, places[heads]), (of, np.repeat(of[again], many[again])[heads])))
         span = _join(self.windows[first], self.windows[first + many - 1] + many.astype(np.uint64))
         self.key, self.span = least[first].view(np.int64), span.view(np.int64) & -4  # two bits of the span are kept free
-        self.first, self.many, self.of = first, many, of[first]
+        self.first, self.many, self.of = first, many, of
         if with_near:
             left, right = around[np.maximum(place - side, 0)] >> np.uint64(48), around[np.minimum(place, len(around) - 1)] >> np.uint64(48)
-            self.near = (left << np.uint64(16) | right).astype(np.int64)
+            self.near = (left << np.uint64(16) | right).astype(np.uint32).view(np.int32)
 
 
 def _leftmost(grams: np.ndarray, least: np.ndarray, windows: np.ndarray, most: int) -> np.ndarray:
     """Where in each window its least gram first occurs."""
-    out = np.zeros(len(windows), np.int64)
-    for a in range(0, len(windows), 1 << 15):
-        w = windows[a : a + (1 << 15)]
-        out[a : a + (1 << 15)] = w + (grams[w[:, None] + np.arange(most)] == least[w][:, None]).argmax(1)
+    out = windows + most - 1
+    # less than the window before had: it has just come in at the right
+    search = np.flatnonzero((windows == 0) | (least[windows] >= least[windows - 1]))
+    for a in range(0, len(search), 1 << 12):
+        w = windows[search[a : a + (1 << 12)]]
+        out[search[a : a + (1 << 12)]] = w + (grams[w[:, None] + np.arange(most)] == least[w][:, None]).argmax(1)
     return out
 
 
@@ -185,16 +212,14 @@ def _common(a: bytes, b: bytes) -> int:
 def suffix_classes(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of data that begin at starts, cut at length, in order: (suffix numbers, class of each; equal ones share a class)."""
     padded = np.concatenate([data, np.zeros(SHALLOW, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,))
     order = np.arange(len(starts))
     classes = np.zeros(len(starts), np.int64)  # while sorting: where the group of those that tie so far begins
     tied = np.arange(len(starts))
-    for depth in range(0, min(SHALLOW, length), 8):  # multikey: a word at a time, among those that tie so far
-        at = starts[order[tied]] + depth
-        word = np.zeros(len(tied), np.uint64)
-        for b in range(8):
-            word <<= np.uint64(8)
-            if depth + b < length:
-                word |= padded[at + b]
+    for depth in range(0, min(SHALLOW, length), 8):  # multikey: eight bytes at a time, among those that tie so far
+        word = eight[starts[order[tied]] + depth].astype(np.uint64)
+        if depth + 8 > length:
+            word >>= np.uint64(8 * (depth + 8 - length))
         by = np.lexsort((word, classes[tied])) if depth else np.argsort(word, kind="stable")
         order[tied], word = order[tied][by], word[by]
         new = np.ones(len(tied), bool)
@@ -329,8 +354,9 @@ _FOUND = "key long, span long, doc long, first long, kind int"
 def offered(bucket: _Bucket, local: int) -> pa.Table:
     """(key, span, doc, near): each span of the bucket once, with its least document; of a crowded minimiser one row."""
     s, doc = bucket.spans, bucket.doc
-    order, new = _sorted_by(doc, s.span, s.key)
-    at = np.flatnonzero(new)
+    alone, rest = _by_number(s.key)
+    order, new = _sorted_by(doc[rest], s.span[rest], s.key[rest])
+    order, at = rest[order], np.flatnonzero(new)
     low, high = order[at], order[np.append(at[1:], len(order)) - 1] if len(at) else at
     key, span = s.key[low], s.span[low] | np.where(doc[high] != doc[low], _MORE, 0)
     new_key = np.append(True, key[1:] != key[:-1])[: len(key)]
@@ -338,12 +364,26 @@ def offered(bucket: _Bucket, local: int) -> pa.Table:
     crowded = np.repeat(crowd > local, crowd)
     span = np.where(crowded, _HOT, span)
     sent = ~crowded | new_key
-    return pa.table({"key": key[sent], "span": span[sent], "doc": doc[low][sent], "near": s.near[low][sent]})
+    row = np.concatenate([alone, low[sent]])
+    return pa.table({"key": s.key[row], "span": np.concatenate([s.span[alone], span[sent]]), "doc": doc[row], "near": s.near[row]})
+
+
+def _by_number(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the keys that occur once, and of those that occur more often."""
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    more = np.append(same, False) | np.append(False, same) if len(key) else np.zeros(0, bool)
+    return order[~more], order[more]
 
 
 def compared(table: pa.Table, crowd: int) -> dict[str, np.ndarray]:
     """Offers of whole minimisers -> what buckets have to know of them, columns as _FOUND has them."""
     key, sent, doc, near = (_numbers(table, c) for c in ("key", "span", "doc", "near"))
+    alone, several = _by_number(key)
+    matter = np.concatenate([alone[(sent[alone] & (_MORE | _HOT)) > 0], several])
+    if not len(matter):
+        return {"key": matter, "span": matter, "doc": matter, "first": matter, "kind": matter.astype(np.int32)}
+    key, sent, doc, near = key[matter], sent[matter], doc[matter], near[matter]
     span = sent & ~_MORE
     order, new_span = _sorted_by(doc, span, key)
     key, span, doc, near, more = key[order], span[order], doc[order], near[order], (sent[order] & _MORE) > 0
@@ -357,7 +397,7 @@ def compared(table: pa.Table, crowd: int) -> dict[str, np.ndarray]:
     # first holders of spans that agree with another one of their minimiser on the left or the right
     some = heads[(several & ~crowded & (spans > 1))[group[heads]]]
     asked = np.zeros(len(key), bool)
-    for half in (near[some] >> 16, near[some] & 0xFFFF):
+    for half in (near[some] >> 16 & 0xFFFF, near[some] & 0xFFFF):
         by = np.lexsort((half, key[some]))
         same = (key[some][by][1:] == key[some][by][:-1]) & (half[by][1:] == half[by][:-1])
         asked[some[by]] |= np.append(same, False) | np.append(False, same)
@@ -478,7 +518,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_
     def offer(table: pa.Table) -> pa.Table:
         return offered(_Bucket(table, length, with_near=True), local)
 
-    offers = plain.groupBy("b").applyInArrow(offer, "key long, span long, doc long, near long")
+    offers = plain.groupBy("b").applyInArrow(offer, "key long, span long, doc long, near int")
     found = offers.repartition(n_tasks, "key").mapInArrow(_whole_keys(lambda t: compared(t, crowd)), _FOUND)
     found = staged(found.withColumn("b", bucket_of("doc")))
 
