@@ -103,7 +103,7 @@ def least_of(x: np.ndarray, width: int) -> np.ndarray:
 class Spans:
     """Of texts of these sizes, one after the other: arrays of each span's minimiser, hash, first window, number of windows and text number.
 
-    windows: the hash of each window of `length` bytes. near: two 16-bit hashes
+    windows: the hash of each window of `length` bytes. near: two 8-bit hashes
     of the minimiser with what stands to its left and to its right, as one
     number; spans that have a window in common agree in one half at least.
     """
@@ -114,7 +114,7 @@ class Spans:
         grams, around, self.windows, least = hashes(data, length, side if with_near else 0)
         if n <= 0:
             self.key = self.span = self.first = self.many = self.of = np.zeros(0, np.int64)
-            self.near = np.zeros(0, np.int32)
+            self.near = np.zeros(0, np.int16)
             return
         starts = np.cumsum(sizes) - sizes
         edges = np.concatenate([starts, starts + sizes - length + 1])  # where texts begin, and where windows begin to leave them
@@ -139,8 +139,8 @@ class Spans:
         self.key, self.span = least[first].view(np.int64), span.view(np.int64) & -4  # two bits of the span are kept free
         self.first, self.many, self.of = first, many, of
         if with_near:
-            left, right = around[np.maximum(place - side, 0)] >> np.uint64(48), around[np.minimum(place, len(around) - 1)] >> np.uint64(48)
-            self.near = (left << np.uint64(16) | right).astype(np.uint32).view(np.int32)
+            left, right = around[np.maximum(place - side, 0)] >> np.uint64(56), around[np.minimum(place, len(around) - 1)] >> np.uint64(56)
+            self.near = (left << np.uint64(8) | right).astype(np.uint16).view(np.int16)
 
 
 def _leftmost(grams: np.ndarray, least: np.ndarray, windows: np.ndarray, most: int) -> np.ndarray:
@@ -364,8 +364,10 @@ def offered(bucket: _Bucket, local: int) -> pa.Table:
     crowded = np.repeat(crowd > local, crowd)
     span = np.where(crowded, _HOT, span)
     sent = ~crowded | new_key
-    row = np.concatenate([alone, low[sent]])
-    return pa.table({"key": s.key[row], "span": np.concatenate([s.span[alone], span[sent]]), "doc": doc[row], "near": s.near[row]})
+    row, shown_span = np.concatenate([alone, low[sent]]), np.concatenate([s.span[alone], span[sent]])
+    by = np.argsort(row)  # by document, whose number then repeats from row to row and takes little room
+    row, shown_span = row[by], shown_span[by]
+    return pa.table({"key": s.key[row], "span": shown_span, "doc": doc[row], "near": s.near[row]})
 
 
 def _by_number(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -397,7 +399,7 @@ def compared(table: pa.Table, crowd: int) -> dict[str, np.ndarray]:
     # first holders of spans that agree with another one of their minimiser on the left or the right
     some = heads[(several & ~crowded & (spans > 1))[group[heads]]]
     asked = np.zeros(len(key), bool)
-    for half in (near[some] >> 16 & 0xFFFF, near[some] & 0xFFFF):
+    for half in (near[some] >> 8 & 0xFF, near[some] & 0xFF):
         by = np.lexsort((half, key[some]))
         same = (key[some][by][1:] == key[some][by][:-1]) & (half[by][1:] == half[by][:-1])
         asked[some[by]] |= np.append(same, False) | np.append(False, same)
@@ -518,7 +520,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_
     def offer(table: pa.Table) -> pa.Table:
         return offered(_Bucket(table, length, with_near=True), local)
 
-    offers = plain.groupBy("b").applyInArrow(offer, "key long, span long, doc long, near int")
+    offers = plain.groupBy("b").applyInArrow(offer, "key long, span long, doc long, near short")
     found = offers.repartition(n_tasks, "key").mapInArrow(_whole_keys(lambda t: compared(t, crowd)), _FOUND)
     found = staged(found.withColumn("b", bucket_of("doc")))
 
