@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from clickloom.llm.common import documents
+from clickloom.llm.common import documents, lean
 from clickloom.llm.units import Encoded, slices
 
 #: Unicode's White_Space, which is what \s means to the encoder's own engine.
@@ -249,7 +249,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 rows = [(ids, bytes(back).decode()) for ids, _, back in own.slice(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return documents(docs, id_col, text_col).mapInArrow(of, "doc_id long, ids array<int>, decoded string")
+    return documents(docs, id_col, text_col).mapInArrow(lean(of), "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,4 +268,4 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
                 rows = [(len(ids), hashlib.sha256(d[:-1] if len(d) else b"").hexdigest(), hashlib.sha256(back).hexdigest()) for ids, d, back in own.slice(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string())))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents(docs, id_col, text_col).mapInArrow(of, SCHEMA)
+    return documents(docs, id_col, text_col).mapInArrow(lean(of), SCHEMA)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clickloom.llm.common import lean
+
 BUCKETS = 1 << 15
 #: Labelled documents of a language that are learned from, about: with more, so many are drawn by a hash of their text.
 SAMPLE = 4000
@@ -99,7 +101,7 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
         lang, cell = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(sums[lang, cell])], names=["lang", "cell", "n"])
 
-    rows = drawn.select("text", "lang").mapInArrow(of, "lang int, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = drawn.select("text", "lang").mapInArrow(lean(of), "lang int, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((BUCKETS, len(languages)))
     counts[rows["cell"].to_numpy(np.int64), rows["lang"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
     smooth = counts + 0.2
@@ -114,11 +116,12 @@ def identify(docs: DataFrame, languages: list[str], model: np.ndarray, text_col:
     is that of the longest one.
     """
     kept_schema = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    own = text_col if text_col in keep else "__text"
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for text in batch.column("__text").to_pylist():
+            for text in batch.column(own).to_pylist():
                 if not languages or not text or not any(map(str.isalpha, text)):
                     out.append(("und", 0.0, []))
                     continue
@@ -129,7 +132,9 @@ def identify(docs: DataFrame, languages: list[str], model: np.ndarray, text_col:
             made = [pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.float64()), pa.array([r[2] for r in out], pa.map_(pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*made, *(batch.column(c) for c in keep)], names=["lang_pred", "score", "shares", *keep])
 
-    return docs.select(F.col(text_col).cast("string").alias("__text"), *keep).mapInArrow(of, "lang_pred string, score double, shares map<string,double>" + kept_schema)
+    sent = keep if text_col in keep else (*keep, text_col)  # the text once
+    columns = [F.col(c).cast("string").alias(own) if c == text_col and c not in keep else F.col(c) for c in sent]
+    return docs.select(*columns).mapInArrow(lean(of), "lang_pred string, score double, shares map<string,double>" + kept_schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import documents, settled
+from clickloom.llm.common import documents, lean, settled
 from clickloom.llm.units import Encoded, slices
 
 #: How the word vocabulary cuts a text that is composed (NFC) and in lower case.
@@ -180,7 +180,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, ke
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return documents(docs, id_col, text_col).mapInArrow(of, PIECES + (", ids array<int>" if keep_ids else ""))
+    return documents(docs, id_col, text_col).mapInArrow(lean(of), PIECES + (", ids array<int>" if keep_ids else ""))
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,4 +219,4 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, keep
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *extra], names=[*columns, "sequence_id", "offset"])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids array<int>, " * keep_ids + "sequence_id long, offset long"
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(lean(place), schema)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import documents, settled, staged
+from clickloom.llm.common import documents, lean, settled, staged
 from clickloom.llm.graph import components
 
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the code.
@@ -188,7 +188,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = [fingerprint(t or b"", shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return documents(docs, id_col, text_col).mapInArrow(of, "doc_id long, fp long")
+    return documents(docs, id_col, text_col).mapInArrow(lean(of), "doc_id long, fp long")
 
 
 def links(fps: DataFrame, bits: int = 3) -> DataFrame:
@@ -213,7 +213,7 @@ def links(fps: DataFrame, bits: int = 3) -> DataFrame:
                         who.append(fps[row])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(who))], names=["key", "fp"])
 
-        return of
+        return lean(of)
 
     distinct = fps.select("fp").distinct()
     probe = distinct.mapInArrow(keyed(True), "key int, fp long").withColumnRenamed("fp", "u")
@@ -256,7 +256,7 @@ def _described(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
                 keys.append(sample_keys(distinct))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "wide", "keys"])
 
-    return documents(docs, id_col, text_col).filter("doc_id is not null").mapInArrow(of, "doc_id long, fp long, wide binary, keys array<long>")
+    return documents(docs, id_col, text_col).filter("doc_id is not null").mapInArrow(lean(of), "doc_id long, fp long, wide binary, keys array<long>")
 
 
 def _unite(rows: DataFrame, total: int) -> DataFrame:
@@ -293,7 +293,7 @@ def _unite(rows: DataFrame, total: int) -> DataFrame:
 
     n_tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 100_000))
     met = rows.select("key", "part", F.col("side").cast("int").alias("side"), "node", F.col("root").cast("long").alias("root"), "wide")
-    return staged(met.repartition(n_tasks, "key", "part").mapInArrow(of, "u long, v long").filter("u <> v").distinct())
+    return staged(met.repartition(n_tasks, "key", "part").mapInArrow(lean(of), "u long, v long").filter("u <> v").distinct())
 
 
 def _across(rows: DataFrame, wide: DataFrame, joined: DataFrame) -> DataFrame:

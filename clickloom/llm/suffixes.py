@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import staged, whole
+from clickloom.llm.common import lean, release, staged, whole
 
 GRAM = 16
 #: Different spans of a minimiser in one bucket, and in the corpus, beyond which it goes by windows.
@@ -490,7 +490,7 @@ def _whole_keys(of: Callable[[pa.Table], dict[str, np.ndarray]]):
         for a in range(0, len(out["key"]), 1 << 17):
             yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 17)]) for x in out.values()], names=list(out))
 
-    return run
+    return lean(run)
 
 
 def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), local: int = LOCAL, crowd: int = CROWD) -> DataFrame:
@@ -518,6 +518,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_
     plain = plain.withColumn("b", bucket_of("doc_id"))
 
     def offer(table: pa.Table) -> pa.Table:
+        release()
         return offered(_Bucket(table, length, with_near=True), local)
 
     offers = plain.groupBy("b").applyInArrow(offer, "key long, span long, doc long, near short")
@@ -525,6 +526,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_
     found = staged(found.withColumn("b", bucket_of("doc")))
 
     def show(table: pa.Table, requests: pa.Table) -> pa.Table:
+        release()
         return shown(table, requests, length)
 
     requests = found.filter((F.col("kind") == _CROWDED) | (F.col("kind") == _ASKED) & (F.col("doc") == F.col("first"))).select("b", "key", "span", "first", "kind")
@@ -535,6 +537,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("doc_id"), whole(F.col(text_col)).alias("text"), F.col(id_col).cast("long").alias("own_id"), F.col(text_col).isNull().alias("was_null"), *keep).withColumn("b", bucket_of("doc_id"))
 
     def cut(table: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         own = _Bucket(table, length)
         gone = removed(own, right, length)
         out = []

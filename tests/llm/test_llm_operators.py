@@ -1,8 +1,10 @@
 """The ten operators against brute force, with nulls, empty texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -79,6 +81,85 @@ def test_pii_discloses(spark, docs):
     assert found.count() == docs.count() and {r["text"] for r in found.filter("doc_id = 700").collect()} == {None}
 
 
+def brute_terms(texts, threshold, support):
+    """Disclosing words and cues by the definitions, over distinct lines (short ones, so each is a unit)."""
+    units = {line for t in texts for line in t.split("\n")}
+    n, holders, of_entity, of_word, both = len(units), {}, {}, {}, {}
+    for u in units:
+        base = pii.base_spans(u)
+        free = lambda a, b: not any(x < b and a < y for x, _, y in base)  # noqa: B023, E731
+        for m in re.finditer(r"(?<![\w-])[\w-]{16,}", u):
+            cue = re.search(r"([^\W\d_]{2,})(\W{0,6})$", u[: m.start()])
+            if cue and free(*m.span()) and re.search(r"\d", m[0]) and re.search(r"[^\W\d_]", m[0]):
+                holders.setdefault(cue[1].lower() + "".join(cue[2].split()), {}).setdefault(m[0], set()).add(u)
+        words = [(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W\d_]{3,}", u)]
+        for w, *_ in words:
+            of_word.setdefault(w, set()).add(u)
+        for a, k, b in base:
+            e = (k, u[a:b].lower())
+            of_entity.setdefault(e, set()).add(u)
+            for i, (w, x, y) in enumerate(words):
+                if free(x, y):
+                    beside = (words[i - 1][0] if i else "", words[i + 1][0] if i + 1 < len(words) else "")
+                    pair = both.setdefault((e, w), (set(), set()))
+                    pair[0].add(u), pair[1].add(beside)
+    out = set()
+    for (e, w), (at, beside) in both.items():
+        if min(len(at), len(beside), len(of_entity[e])) >= support:
+            pmi = math.log2(n * len(at) / len(of_entity[e]) / len(of_word[w]))
+            if pmi / math.log2(n / len(of_entity[e])) >= threshold:
+                out.add((w, False))
+    for cue, values in holders.items():
+        m = [len(x) for x in values.values()]
+        if sum(m) >= support and 1 - sum(x * math.log2(x) for x in m) / sum(m) / math.log2(sum(m)) >= threshold:
+            out.add((cue, True))
+    return out
+
+
+def secret_texts():
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 6)))
+    texts = [f"{word()} {word()} token = \"{r.randbytes(20).hex()}\" {word()}" for _ in range(12)]
+    texts += [f"{word()} build {'0123abcd' * 3} {word()}" for _ in range(12)]  # one identifier of all: gives nothing away
+    texts += [f"{word()} {word()} bob{n % 3}@mail.example.com zorblatt{'xyz'[n % 3]} {word()} {word()} the" for n in range(15)]
+    texts += [f"{word()} the {word()} {word()}" for _ in range(400)]
+    return ["\n".join(texts[n : n + 2]) for n in range(0, len(texts), 2)]
+
+
+def test_pii_terms_by_brute_force(spark):
+    texts = secret_texts()
+    for threshold, support in ((0.8, 3), (0.9, 3), (0.9, 20), (0.5, 2)):
+        got = pii.disclosing_terms(spark.createDataFrame([(t,) for t in texts], "text string"), threshold, support)
+        assert {(x["term"], x["cue"]) for x in got.collect()} == brute_terms(texts, threshold, support)
+    assert {('token="', True), ("zorblattx", False)} <= brute_terms(texts, 0.8, 3)
+
+
+def test_pii_copies_disclose_nothing(spark):
+    texts = secret_texts()
+    more = texts + ["a filler line that says nothing"] * 5000 + texts[3:9] * 50
+    terms = [{tuple(x) for x in pii.disclosing_terms(spark.createDataFrame([(t,) for t in x], "text string")).collect()} for x in (texts + ["a filler line that says nothing"], more)]
+    assert terms[0] == terms[1] and terms[0]
+
+
+def test_pii_secrets_go(spark, monkeypatch):
+    rows = [(n, t, "clash") for n, t in enumerate(secret_texts())] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = sorted(map(tuple, pii.find(df).collect()), key=repr)
+    assert len(got) == len(rows) and not any(re.search("[0-9a-f]{40}", x[1]) for x in got) and sum(x[6] for x in got) >= 24
+    assert all("0123abcd" in x[1] for x in got if " build " in x[1])
+    monkeypatch.setattr(pii, "MOST_TERMS", 0)  # texts and terms joined
+    assert sorted(map(tuple, pii.find(df).collect()), key=repr) == got
+    assert pii.find(df.limit(0)).collect() == []
+
+
+def test_pii_of_very_many_spans():
+    text = " ".join(f"user{n}@mail.example.com" for n in range(60_000))
+    started = time.perf_counter()
+    base = pii.base_spans(text)
+    assert len(base) == 60_000 and pii._term_spans(text, {"user": False, "mail": False}, {}, base) == []
+    assert time.perf_counter() - started < 10
+
+
 def test_packing(spark, docs):
     path = registry.vocabulary("word_bpe_49k.json")
     got = packing.pack(docs, path, keep_ids=True).collect()
