@@ -46,17 +46,42 @@ def click_key(query: Column) -> tuple[Column, Column]:
     return key, (first == "") & (plain != "")
 
 
+def hop_key(referer: Column) -> Column:
+    """The click hash that a hop's referer carries; null if it carries none."""
+    arguments = query_part(referer)
+    return F.coalesce(*[F.nullif(query_arg(arguments, k), F.lit("")) for k in ("uctrac_clk_1", "uctrac_clk")])
+
+
+def all_true(values: Column) -> Column:
+    """Whether all of an array's values are true; true for none."""
+    return F.forall(values, lambda v: F.coalesce(v, F.lit(False)))
+
+
+def first_truthy(values: Column) -> Column:
+    """The first element of an array of strings that isn't null or empty; null if there is none."""
+    return F.get(F.filter(values, lambda v: F.coalesce(v != "", F.lit(False))), F.lit(0))
+
+
 def cookie(cookies: Column, name: str, trim: int = 0) -> Column:
     """A cookie's value, less `trim` characters at its end."""
     value = F.regexp_extract(cookies, r"(?:^|[;\s])" + _quoted(name) + r"=([^;\s]*)", 1)
     return F.substring(value, F.lit(1), F.greatest(F.lit(0), F.length(value) - trim)) if trim else value
 
 
+def _scraped(text: Column, key: str, value: str) -> Column:
+    # key and value each with an optional quote, which may be escaped; the pair begins and ends at a word boundary
+    quote = r"(?:\\?['\"])?"
+    return F.nullif(F.regexp_extract(text, r"(?s)\b" + quote + _quoted(key) + quote + r"\s*[:=]\s*" + quote + "(" + value + ")" + quote + r"\b", 1), F.lit(""))
+
+
 def scrape(text: Column, key: str) -> Column:
-    """The value of key in a=b or 'a':'b' notation; null if there is none."""
-    found = F.regexp_extract(text, "['\"]?" + _quoted(key) + r"['\"]?\s*[=:]\s*(?:\\?['\"]([^'\"\\]*)\\?['\"]|([^\s,;&}\"']+))", 0)
-    value = F.regexp_replace(found, "^['\"]?" + _quoted(key) + r"['\"]?\s*[=:]\s*\\?['\"]?|\\?['\"]$", "")
-    return F.nullif(value, F.lit(""))
+    """The value of key in a=b, 'a':'b' or \\"a\\":\\"b\\" notation, up to a quote, blank or semicolon; null if there is none."""
+    return _scraped(text, key, "[^'\"; ]+")
+
+
+def scrape_number(text: Column, key: str) -> Column:
+    """The same of digits and points only, as text."""
+    return _scraped(text, key, "[0-9.]+")
 
 
 def jsonp(payload: Column) -> Column:
@@ -64,14 +89,28 @@ def jsonp(payload: Column) -> Column:
     return F.regexp_extract(payload, r"(?s)^[^(]*\((.*)\)[^)]*$", 1)
 
 
-def ngrams(text: Column, longest: int = 4) -> Column:
-    """Character n-grams of blank-separated tokens: tokens of up to 2 characters whole, of others all of 2 to longest."""
+def jsonp_after(page: Column, lead: str) -> Column:
+    """What stands in the first parentheses after lead, up to the first closing one; null if there is none."""
+    rest = F.when(F.instr(page, lead) > 0, F.substring(page, F.instr(page, lead), F.length(page)))
+    return F.nullif(F.regexp_extract(rest, r"(?s)^[^(]+\(([^)]*)\)", 1), F.lit(""))
+
+
+def relaxed_json(text: Column, schema: str) -> Column:
+    """JSON whose object keys may go without quotes; null if malformed."""
+    return F.from_json(text, schema, {"allowUnquotedFieldNames": "true"})
+
+
+def ngrams(text: Column, longest: int = 0) -> Column:
+    """Character n-grams of blank-separated tokens: tokens of up to 2 characters whole, of others all of 2 to longest (0: any length).
+
+    Without a limit a token of n characters has n(n-1)/2 of them.
+    """
 
     def of(token: Column) -> Column:
-        upto = F.least(F.lit(longest), F.length(token))
+        upto = F.least(F.lit(longest), F.length(token)) if longest else F.length(token)
         sizes = F.sequence(F.lit(2), upto)
         grams = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length(token) - n + 1), lambda i: F.substring(token, i, n))))
-        return F.when(F.length(token) <= 2, F.array(token)).otherwise(grams)
+        return F.when(F.length(token) <= 2, F.array(token)).otherwise(F.when(upto >= 2, grams).otherwise(F.array().cast("array<string>")))
 
     tokens = F.filter(F.split(text, "\\s+"), lambda t: t != "")
     return F.flatten(F.transform(tokens, of))
@@ -87,11 +126,25 @@ def safe_int(text: Column, default: int = -1) -> Column:
 
 
 def ip_to_int(ip: Column, failed: int = 0) -> Column:
-    """A dotted quad as an unsigned number; `failed` for anything else."""
-    parts = F.split(ip, "\\.")
-    value = F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a * 256 + F.coalesce(p.try_cast("bigint"), F.lit(0)))
-    good = ip.rlike("^[0-9]{1,3}(\\.[0-9]{1,3}){3}$") & F.forall(parts, lambda p: F.coalesce(p.try_cast("bigint"), F.lit(999)) <= 255)
-    return F.when(good, value).otherwise(F.lit(failed).cast("long"))
+    """An IPv4 address as an unsigned number; `failed` for anything else.
+
+    One to four parts, the last of which fills the bytes that are left; each is
+    decimal, octal with a leading 0, or hexadecimal with a leading 0x.
+    """
+
+    def number(p: Column) -> Column:
+        hexadecimal, octal = p.rlike("^0[xX][0-9a-fA-F]{1,8}$"), p.rlike("^0[0-7]{1,11}$")
+        return F.when(hexadecimal, F.conv(F.substring(p, 3, 8), 16, 10)).when(octal, F.conv(p, 8, 10)).when(p.rlike("^(0|[1-9][0-9]{0,9})$"), p).try_cast("bigint")
+
+    parts = F.transform(F.split(ip, "\\."), number)
+    n = F.size(parts)
+    last = F.element_at(parts, -1)
+    leading = F.slice(parts, F.lit(1), n - 1)
+    good = ip.isNotNull() & n.between(1, 4) & F.forall(parts, lambda p: p.isNotNull())
+    high = F.aggregate(leading, F.lit(0).cast("long"), lambda a, p: a * 256 + p)
+    room = F.element_at(F.array(*[F.lit(1 << 8 * k) for k in (4, 3, 2, 1)]), F.least(n, F.lit(4)))
+    fits = F.forall(leading, lambda p: p <= 255) & (last < room)
+    return F.when(good, F.when(fits, high * room + last).otherwise(F.lit(failed).cast("long"))).otherwise(F.lit(failed).cast("long"))
 
 
 def java_hash(text: Column) -> Column:

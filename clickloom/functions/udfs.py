@@ -126,27 +126,95 @@ def to_url_base64(data: bytes) -> str:
     return base64.urlsafe_b64encode(data).decode().rstrip("=")
 
 
-def smart_decode(data: Column, popularity: dict[str, float], default: float = 1.0, charsets: tuple[str, ...] = ("utf-8", "gbk", "big5")) -> Column:
-    """Bytes as text in the charset whose characters are the most popular in all; undecodable bytes count against it."""
+def tolerant(data: bytes, charset: str) -> tuple[float, str]:
+    """(share of bytes that don't decode, the rest as text)."""
+    wrong, at, parts = 0, 0, []
+    while at < len(data):
+        try:
+            parts.append(data[at:].decode(charset))
+            break
+        except UnicodeDecodeError as e:
+            parts.append(data[at : at + e.start].decode(charset))
+            wrong += e.end - e.start
+            at += e.end
+    return (wrong / len(data) if data else 0.0), "".join(parts)
 
-    @F.pandas_udf("string")
+
+def tolerant_decode(data: Column, charset: str) -> Column:
+    """struct<errors double, text string>: bytes that don't decode are left out and counted."""
+
+    @F.pandas_udf("errors double, text string")
+    def run(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if v is None else tolerant(bytes(v), charset) for v in values], columns=["errors", "text"])
+
+    return run(data)
+
+
+def tolerant_encode(text: Column, charset: str) -> Column:
+    """The bytes of a text in a charset, less the characters that it lacks."""
+
+    @F.pandas_udf("binary")
     def run(values: pd.Series) -> pd.Series:
-        def one(v: bytes | None) -> str | None:
-            if v is None:
-                return None
-            best, found = -math.inf, ""
-            for name in charsets:
-                text = bytes(v).decode(name, errors="replace")
-                score = sum(math.log(popularity.get(c, default)) - (20 if c == "�" else 0) for c in text) / max(1, len(text))
-                if score > best:
-                    best, found = score, text
-            return found
+        return values.map(lambda v: None if v is None else v.encode(charset, errors="ignore"))
 
-        return values.map(one)
+    return run(text)
+
+
+#: Fixed value: the log of all characters counted in the samples that popularity comes from.
+_LOG_TOTAL = 20.39
+
+
+def guessed(data: bytes, popularity: dict[str, float]) -> tuple[str, str]:
+    """(text, charset): Latin if all bytes are ASCII; of GBK and UTF-8 that which decodes; if both do, the one whose characters' log-shares sum higher.
+
+    If neither does, Big5 if that decodes, else whichever of the two has fewer undecodable bytes, without them.
+    """
+    if data and all(0 < b < 127 for b in data):
+        return data.decode("latin-1"), "latin"
+    found = {}
+    for name in ("gbk", "utf-8"):
+        try:
+            found[name] = data.decode(name)
+        except UnicodeDecodeError:
+            continue
+    if len(found) == 2 and found["gbk"] != found["utf-8"]:
+        score = {name: sum(math.log(popularity.get(c, 1)) - _LOG_TOTAL for c in text) for name, text in found.items()}
+        return (found["utf-8"], "utf-8") if score["gbk"] < score["utf-8"] else (found["gbk"], "gbk")
+    if found:
+        name = "utf-8" if "utf-8" in found else "gbk"
+        return found[name], name
+    try:
+        return data.decode("big5"), "big5"
+    except UnicodeDecodeError:
+        (_, text), name = min((tolerant(data, name), name) for name in ("gbk", "utf-8"))
+        return text, name
+
+
+def smart_decode(data: Column, popularity: dict[str, float]) -> Column:
+    """struct<text, charset> of bytes in an unknown charset; popularity: how often each character occurs, a bounded table."""
+
+    @F.pandas_udf("text string, charset string")
+    def run(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if v is None else guessed(bytes(v), popularity) for v in values], columns=["text", "charset"])
 
     return run(data)
 
 
+#: How punctuation is written.
+PUNCTUATION = {"、": "-", "，": "-", "？": "", "。": "-", "《": "", "》": ""}
+
+
+def transliterate(text: Column, readings: dict[str, str]) -> Column:
+    """Each character's reading, punctuation as hyphens or nothing; others pass through. readings: a bounded table of some thousand characters."""
+    table = str.maketrans(readings | PUNCTUATION)
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else v.translate(table))
+
+    return run(text)
+
+
 def unescape(text: Column) -> Column:
     """Character references decoded."""
 

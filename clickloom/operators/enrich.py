@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,40 +19,43 @@ def route(media_id: Column, hop_media: int) -> Column:
     return F.when(media_id == hop_media, "HOP").otherwise("CLICK")
 
 
-def ip_lookup(probes: DataFrame, blocks: DataFrame, ip_col: str = "ip", strict_end: bool = True, slot_bits: int = 16) -> DataFrame:
-    """probes with code: of the block with the greatest start at or below the ip; null outside.
+def ip_lookup(probes: DataFrame, blocks: DataFrame, ip_col: str = "ip", strict_end: bool = True, exclusive_start: bool = False, slot_bits: int = 16) -> DataFrame:
+    """probes with code: of the block with the greatest start at or below the ip; null outside. One row for each probe row, repeated ones and null ips too.
 
     strict_end: the ip must lie within that block; else (compat) within the
-    first start and last end. An equi join on 2^slot_bits address slots: blocks
-    are listed in each slot that they touch, and a slot without a start of its
-    own inherits the last block before it through a running maximum over slots.
+    first start and last end. exclusive_start (compat): an ip that is a block's
+    start belongs to the block before, but for the first one's. Blocks are a
+    dimension of a few million rows at most: a block answers for the addresses
+    up to the next start, and is listed under each slot of 2^slot_bits
+    addresses that it answers in. Probes join on the slot and match one block.
     """
-    size = 1 << slot_bits
-    slot = lambda c: F.floor(F.col(c) / size).cast("long")
-    spread = blocks.select("ip_start", "ip_end", "code", F.explode(F.sequence(slot("ip_start"), slot("ip_end"))).alias("slot"))
-    inside = probes.withColumn("slot", slot(ip_col))
-    hit = inside.join(spread, (inside["slot"] == spread["slot"]) & (F.col(ip_col) >= F.col("ip_start")) & (F.col(ip_col) <= F.col("ip_end")), "left").drop(spread["slot"])
-    keys = probes.columns
-    if strict_end:
-        best = hit.groupBy(*keys).agg(F.max_by("code", "ip_start").alias("code"))
-        return best
-    bounds = F.broadcast(blocks.agg(F.min("ip_start").alias("first"), F.max("ip_end").alias("last")))
-    from pyspark.sql import Window
-
-    # the greatest block start of each slot, carried over empty slots that a probe asks for
-    starts = blocks.groupBy(slot("ip_start").alias("slot")).agg(F.max(F.struct("ip_start", "code")).alias("top"))
-    asked = inside.select("slot").distinct().join(starts, "slot", "full")
-    group = (F.col("slot") / 4096).cast("long")
-    asked = asked.withColumn("g", group)
-    per_group = asked.groupBy("g").agg(F.max("top").alias("gtop")).select("g", F.max("gtop").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)).alias("before_group"))
-    within = Window.partitionBy("g").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    before = asked.join(F.broadcast(per_group), "g").select("slot", F.coalesce(F.max("top").over(within), F.col("before_group")).alias("before"))
-    own = blocks.select("ip_start", "code", slot("ip_start").alias("bslot"))
-    cand = inside.join(own, (F.col("slot") == F.col("bslot")) & (F.col("ip_start") <= F.col(ip_col)), "left").groupBy(*keys, "slot").agg(F.max(F.struct("ip_start", "code")).alias("here"))
-    cand = cand.withColumn("here", F.when(F.col("here.ip_start").isNotNull(), F.col("here")))
-    found = cand.join(before, "slot").crossJoin(bounds)
-    code = F.when(F.col(ip_col).between(F.col("first"), F.col("last")), F.coalesce(F.col("here.code"), F.col("before.code")))
-    return found.select(*keys, code.alias("code"))
+    slot = lambda c: F.floor(c / (1 << slot_bits)).cast("long")
+    ordered = Window.orderBy("ip_start")
+    own = blocks.groupBy("ip_start").agg(F.max_by(F.struct("ip_end", "code"), F.struct("ip_end", "code")).alias("b")).select("ip_start", "b.*")
+    until = F.coalesce(F.lead("ip_start").over(ordered) - 1, F.greatest(F.max("ip_end").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.col("ip_start")))
+    last = F.max("ip_end").over(Window.orderBy("ip_start").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = F.min("ip_start").over(Window.orderBy("ip_start").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ranges = own.select(F.col("ip_start").alias("_from"), until.alias("_to"), F.col("ip_end").alias("_end"), F.col("code").alias("_code"), first.alias("_first"), last.alias("_last"))
+    if exclusive_start:
+        ranges = ranges.withColumn("_to", F.col("_to") + (F.col("_to") < F.col("_last")).cast("int")).withColumn("_from", F.col("_from") + (F.col("_from") > F.col("_first")).cast("int"))
+    spread = ranges.withColumn("_slot", F.explode(F.sequence(slot(F.col("_from")), slot(F.col("_to")))))
+    ip = F.col(ip_col)
+    rows = probes.withColumn("_probe_slot", slot(ip))
+    hit = rows.join(spread, (F.col("_probe_slot") == F.col("_slot")) & (ip >= F.col("_from")) & (ip <= F.col("_to")), "left")
+    code = F.when(ip <= F.col("_end"), F.col("_code")) if strict_end else F.when(ip <= F.col("_last"), F.col("_code"))
+    return hit.select(*probes.columns, code.alias("code"))
+
+
+def region_names(rows: DataFrame, areas: DataFrame, code_col: str = "code") -> DataFrame:
+    """rows with area and province: the names of the code and of its province, null if unknown. areas: (code, name), codes as strings."""
+    a = areas.select(F.col("code").alias("_c"), F.col("name").alias("area"))
+    b = areas.select(F.col("code").alias("_p"), F.col("name").alias("province"))
+    return rows.join(a, F.col(code_col) == F.col("_c"), "left").join(b, province(F.col(code_col)) == F.col("_p"), "left").drop("_c", "_p")
+
+
+def ip_region(probes: DataFrame, blocks: DataFrame, areas: DataFrame, ip_col: str = "ip", **how) -> DataFrame:
+    """probes with code, area and province: the address to its block, and the block's code to names."""
+    return region_names(ip_lookup(probes, blocks, ip_col, **how), areas)
 
 
 def province(code: Column) -> Column:
@@ -87,7 +90,7 @@ def overlay(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def place_scan(rows: DataFrame, places: pd.DataFrame, text_col: str = "address", aliases: dict[str, str] | None = None) -> DataFrame:
     """rows with country, province and city found in a text; places: (country, province, city), a bounded dictionary. Longest names first."""
-    home = places.loc[0, "country"] if len(places) else None
+    home = places.set_index("province")["country"].to_dict()
     cities = sorted({(c, p, k) for k, p, c in places[["country", "province", "city"]].itertuples(index=False) if c}, key=lambda x: (-len(x[0]), x[0]))
     provinces = sorted({(p, k) for k, p in places[["country", "province"]].itertuples(index=False) if p}, key=lambda x: (-len(x[0]), x[0]))
     countries = sorted({k for k in places["country"] if k}, key=lambda x: (-len(x), x))
@@ -97,5 +100,6 @@ def place_scan(rows: DataFrame, places: pd.DataFrame, text_col: str = "address",
     out = rows.withColumn("_t", text)
     pick = lambda entries, n: F.coalesce(*[F.when(F.col("_t").contains(e[0]), F.lit(e[n])) for e in entries]) if entries else F.lit(None).cast("string")
     city, by_city, by_name = pick(cities, 0), pick(cities, 1), pick(provinces, 0)
-    country = F.coalesce(F.when(city.isNotNull() | by_name.isNotNull(), F.lit(home)), pick([(k,) for k in countries], 0))
+    of_province = lambda p: F.coalesce(*[F.when(p == name, F.lit(k)) for name, k in sorted(home.items()) if name]) if any(home) else F.lit(None).cast("string")
+    country = F.coalesce(of_province(F.coalesce(by_city, by_name)), pick([(k,) for k in countries], 0))
     return out.withColumn("country", country).withColumn("province", F.coalesce(by_city, by_name)).withColumn("city", city).drop("_t")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickloom.functions.vectors import budget, entropy
+from clickloom.functions.vectors import MOST_BUDGET, budget, entropy
+from clickloom.operators.flow import numbered
 
 
 def exploded(samples: DataFrame, *keys: str) -> DataFrame:
@@ -38,10 +39,10 @@ def lifts(samples: DataFrame) -> DataFrame:
     return scored.withColumn("weight", F.col("n") * F.abs(1 - F.col("lift"))).drop("mean")
 
 
-def top_features(samples: DataFrame) -> DataFrame:
+def top_features(samples: DataFrame, amplify: float = 1) -> DataFrame:
     """The features that the tiered budget of the sample count allows, by weight, ties by name descending."""
-    size = samples.agg(budget(F.count("*")).alias("most"))
-    ranked = lifts(samples).orderBy(F.desc("weight"), F.desc("feature")).limit(3000)  # the budget's own ceiling is 2545
+    size = samples.agg(budget(F.count("*"), amplify).alias("most"))
+    ranked = lifts(samples).orderBy(F.desc("weight"), F.desc("feature")).limit(int(MOST_BUDGET * amplify))  # no budget is larger
     place = Window.orderBy(F.desc("weight"), F.desc("feature"))
     return ranked.withColumn("place", F.row_number().over(place)).crossJoin(F.broadcast(size)).filter("place <= most").drop("most")
 
@@ -100,17 +101,19 @@ def univariate_screen(samples: DataFrame, p_max: float = 0.5, top: int = 400, fa
         r = r.filter("p1 > 1e-12 and p0 > 1e-12")
         slope, var = F.log(F.col("p1") / F.col("p0")), 1 / (10 * F.col("n1") * F.col("p1")) + 1 / (10 * F.col("n0") * F.col("p0"))
     out = r.select("feature", (slope / F.sqrt(var)).alias("z")).filter(F.abs("z") >= NormalDist().inv_cdf(1 - p_max / 2))
-    # average rank of ties; only the best few hundred rows are ranked
-    best = out.orderBy(F.desc(F.abs("z")), "feature").limit(4 * top)
-    order = Window.orderBy(F.desc(F.round(F.abs("z"), 9)))
-    ties = Window.partitionBy(F.round(F.abs("z"), 9))
-    return best.withColumn("place", F.rank().over(order) + (F.count("*").over(ties) - 1) / 2).filter(F.col("place") < top)
+    # average rank of ties: all features of one statistic are one row, so those of a rank below top are among the best top rows
+    out = out.withColumn("at", F.round(F.abs("z"), 9))
+    levels = out.groupBy("at").agg(F.count("*").alias("n")).orderBy(F.desc("at")).limit(top)
+    before = Window.orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    place = F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2
+    levels = levels.select("at", place.cast("double").alias("place")).filter(F.col("place") < top)
+    return out.join(F.broadcast(levels), "at").select("feature", "z", "place")
 
 
 def dictionary(samples: DataFrame) -> DataFrame:
-    """(idx, feature): distinct names, numbered from 0 in name order. Names are counted by thousands, not rows."""
+    """(idx, feature): distinct names, numbered from 0 in name order."""
     names = samples.select(F.explode(F.map_keys("features")).alias("feature")).distinct()
-    return names.select((F.row_number().over(Window.orderBy("feature")) - 1).alias("idx"), "feature")
+    return numbered(names, "feature", "idx").select(F.col("idx").cast("int").alias("idx"), "feature")
 
 
 def split_labels(samples: DataFrame) -> DataFrame:
@@ -120,6 +123,16 @@ def split_labels(samples: DataFrame) -> DataFrame:
     return samples.select("*", F.explode(rows).alias("r")).select("*", "r.label", "r.weight").drop("r")
 
 
+def weighted_lines(samples: DataFrame, key: str, names: DataFrame, scale: float = 1e8) -> DataFrame:
+    """(line, weight): libsvm rows `label index:value ...` (indices from 1) of split_labels() with weights times scale, and the seed row of label 1 and a tiny weight that fixes the order of classes."""
+    long = samples.select(key, F.explode("features").alias("feature", "value")).join(names, "feature").filter("value <> 0")
+    cells = long.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((F.col("idx") + 1).alias("i"), "value"))).alias("cells"))
+    rows = split_labels(samples.select(key, "result")).join(cells, key, "left")
+    text = F.transform(F.coalesce("cells", F.array().cast("array<struct<i:int,value:double>>")), lambda c: F.format_string("%d:%s", c["i"], c["value"].cast("string")))
+    lines = rows.select(F.concat_ws(" ", F.col("label").cast("string"), F.array_join(text, " ")).alias("line"), (F.col("weight") * scale).alias("weight"))
+    return samples.sparkSession.createDataFrame([("1", 1e-7)], "line string, weight double").unionByName(lines)
+
+
 def capped(samples: DataFrame, treat_as_one: float = 1.0) -> DataFrame:
     return samples.withColumn("result", F.least(F.col("result") / treat_as_one, F.lit(1.0)))
 

@@ -1,14 +1,19 @@
 """Fitting: logistic, Poisson, Gaussian, PCA, SVD, L2 and k-means models, on MLlib.
 
-A model is (weights, intercept) over feature names. Design matrices are sparse
-vectors in name order; what reaches the driver is p x p at most.
+A model is (weights, intercept) over feature names. Rows are arrays of values in
+name order, built and multiplied a batch at a time; what reaches the driver is a
+fixed number of p x p matrices.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -25,29 +30,74 @@ def feature_names(samples: DataFrame) -> list[str]:
 
 def design(samples: DataFrame, names: list[str]) -> DataFrame:
     """samples with x: values in name order, 0 where absent."""
-    return samples.withColumn("x", F.array(*[F.coalesce(F.try_element_at("features", F.lit(n)), F.lit(0.0)) for n in names]))
+
+    @F.arrow_udf("array<double>")
+    def run(features: pa.Array) -> pa.Array:
+        out = np.zeros((len(features), len(names)))
+        column = pc.index_in(features.keys, value_set=pa.array(names, pa.string()))
+        known = column.is_valid().to_numpy(zero_copy_only=False)
+        offsets = features.offsets.to_numpy() - features.offsets[0].as_py()
+        row = np.repeat(np.arange(len(features)), np.diff(offsets))
+        out[row[known], column.drop_null().to_numpy()] = features.items.to_numpy(zero_copy_only=False)[known]
+        ends = pa.array(np.arange(len(features) + 1, dtype=np.int32) * len(names))
+        return pa.ListArray.from_arrays(ends, pa.array(np.nan_to_num(out).ravel()))
+
+    no_features = F.create_map().cast("map<string,double>")
+    return samples.withColumn("x", run(F.coalesce("features", no_features)))
+
+
+def _rows(x: pa.Array, p: int) -> np.ndarray:
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), p)
+
+
+#: Partial sums that the driver adds up.
+PARTIAL = 16
 
 
 def gram(rows: DataFrame, p: int) -> tuple[np.ndarray, float]:
-    """[X, 1]' [X, 1] in one aggregate, p x p numbers, and the number of rows."""
-    with_one = rows.select(F.concat("x", F.array(F.lit(1.0))).alias("z"))
-    sums = [F.sum(F.get("z", F.lit(i)) * F.get("z", F.lit(j))).alias(f"g{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)]
-    row = with_one.agg(*sums).first()
-    g = np.zeros((p + 1, p + 1))
-    for i in range(p + 1):
-        for j in range(i, p + 1):
-            g[i, j] = g[j, i] = row[f"g{i}_{j}"]
+    """[X, 1]' [X, 1], and the number of rows. A task gives one matrix, PARTIAL tasks add them up, the driver adds the rest."""
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((p + 1, p + 1))
+        for batch in batches:
+            if batch.num_rows:
+                x = np.hstack([_rows(batch.column(0), p), np.ones((batch.num_rows, 1))])
+                total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % PARTIAL], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "m"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros((p + 1) ** 2)
+        for m in table.column("m"):
+            total += np.frombuffer(m.as_buffer())
+        return pa.table({"m": pa.array([total.tobytes()], pa.binary())})
+
+    sums = rows.select("x").mapInArrow(one, "part int, m binary").groupBy("part").applyInArrow(add, "m binary").collect()
+    g = np.zeros((p + 1, p + 1)) + sum(np.frombuffer(r["m"]).reshape(p + 1, p + 1) for r in sums)
     return g, g[p, p]
 
 
+def multiplied(rows: DataFrame, matrix: np.ndarray, shift: np.ndarray) -> DataFrame:
+    """rows with z = x times matrix, less shift."""
+
+    @F.arrow_udf("array<double>")
+    def run(x: pa.Array) -> pa.Array:
+        z = _rows(x, len(matrix)) @ matrix - shift
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1, dtype=np.int32) * matrix.shape[1]), pa.array(z.ravel()))
+
+    return rows.withColumn("z", run("x"))
+
+
 def independent(g: np.ndarray) -> list[int]:
-    """Columns, in order, that add rank to the intercept and those before."""
+    """Columns, in order, that add rank to the intercept and those before: what is left of each beside those kept, by a growing inverse Cholesky factor."""
     p = len(g) - 1
-    kept = [p]
+    kept, inverse = [p], np.array([[1 / math.sqrt(g[p, p])]])
     for j in range(p):
-        trial = [*kept, j]
-        if np.linalg.matrix_rank(g[np.ix_(trial, trial)], tol=1e-8 * max(1.0, g.max())) == len(trial):
-            kept = trial
+        y = inverse @ g[kept, j]
+        left = g[j, j] - y @ y
+        if left > 1e-8 * max(1.0, g[j, j]):
+            row = np.append(-(y @ inverse), 1.0) / math.sqrt(left)
+            inverse = np.vstack([np.hstack([inverse, np.zeros((len(kept), 1))]), row])
+            kept.append(j)
     return kept[1:]
 
 
@@ -76,8 +126,9 @@ def fit_pca(samples: DataFrame, share: float = 0.9, family: str = "binomial") ->
     k = max(1, int((np.cumsum(dev) <= share * dev.sum() + 1e-12).sum()))
     back = vectors[:, :k] / sd[:, None]  # from own scale to component scores
     shift = mean[varies] @ back
-    z = F.array(*[sum((F.get("x", F.lit(int(v))) * float(back[i, c]) for i, v in enumerate(varies)), F.lit(-float(shift[c]))) for c in range(k)])
-    ready = rows.select(array_to_vector(z).alias("features"), "result")
+    wide = np.zeros((len(names), k))
+    wide[varies] = back
+    ready = multiplied(rows, wide, shift).select(array_to_vector("z").alias("features"), "result")
     fitted = GeneralizedLinearRegression(family=family, labelCol="result", maxIter=100, tol=1e-10).fit(ready)
     b = fitted.coefficients.toArray()
     own = back @ b
@@ -106,8 +157,7 @@ def fit_svd(samples: DataFrame, share: float = 0.9, full: int = 1000) -> dict[st
     s = s[s > 1e-6]
     k = len(s) if len(s) <= full else int((np.cumsum(s) <= share * s.sum()).sum())
     v = v[:, :k]
-    z = F.array(*[sum((F.get("x", F.lit(i)) * float(v[i, c]) for i in range(len(names))), F.lit(0.0)) for c in range(k)])
-    rows = fs.split_labels(design(samples, names).withColumn("z", z))
+    rows = fs.split_labels(multiplied(design(samples, names), v, np.zeros(k)))
     fitted = LogisticRegression(weightCol="weight", labelCol="label", standardization=False, tol=1e-12, maxIter=500).fit(rows.select(array_to_vector("z").alias("features"), F.col("label").cast("double"), "weight"))
     return dict(zip(names, (v @ fitted.coefficients.toArray()).tolist(), strict=True)) | {"(Intercept)": fitted.intercept}
 

@@ -33,9 +33,10 @@ def linear_term_joined(samples: DataFrame, weights: DataFrame, key: str, interce
 
 def score(samples: DataFrame, weights: dict[str, float], family: str = "logit") -> DataFrame:
     e = linear_term(weights, F.col("features"))
-    if family not in ("logit", "poisson"):
+    links = {"logit": sigmoid(e), "poisson": F.exp(e), "log": F.when(e < -100, 0.0).otherwise(F.exp(e))}
+    if family not in links:
         raise ValueError(family)
-    return samples.withColumn("predicted", sigmoid(e) if family == "logit" else F.exp(e))
+    return samples.withColumn("predicted", links[family])
 
 
 def explanation(weights: dict[str, float], features: Column) -> Column:
@@ -45,15 +46,17 @@ def explanation(weights: dict[str, float], features: Column) -> Column:
     return F.array_join(F.transform(known, lambda e: F.format_string("%s:%.2f*%.2f", e["key"], F.try_element_at(table, e["key"]), e["value"])), " + ")
 
 
-def roc(pairs: DataFrame, id_col: str = "id", bins: int = 1024) -> DataFrame:
+def roc(pairs: DataFrame, id_col: str = "id", bins: int = 256) -> DataFrame:
     """(id, predicted, x, y): the curve over (id, actual, predicted), by prediction descending, then id.
 
-    Running sums in two steps: sums of equal-width bins of the prediction (so
-    many rows in all), and within a bin. No task holds more than a bin.
+    Running sums in two steps: sums of bins of the prediction between its
+    percentiles (so many rows in all), and within a bin. A task holds a bin:
+    about an equal share of the rows, or all rows of one prediction.
     """
-    span = pairs.agg(F.min("predicted").alias("low"), F.max("predicted").alias("high"), F.sum("actual").alias("pos"), F.sum(F.greatest(F.lit(0.0), 1 - F.col("actual"))).alias("neg"))
-    at = F.least(F.lit(bins - 1), F.floor((F.col("predicted") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * bins))
-    rows = pairs.crossJoin(F.broadcast(span)).withColumn("bin", F.coalesce(at, F.lit(0))).withColumn("miss", F.greatest(F.lit(0.0), 1 - F.col("actual")))
+    bounds = F.percentile_approx("predicted", [k / bins for k in range(1, bins)], 10 * bins)
+    span = pairs.agg(bounds.alias("bounds"), F.sum("actual").alias("pos"), F.sum(F.greatest(F.lit(0.0), 1 - F.col("actual"))).alias("neg"))
+    at = F.size(F.filter("bounds", lambda b: b < F.col("predicted")))
+    rows = pairs.crossJoin(F.broadcast(span)).withColumn("bin", F.coalesce(at, F.lit(0))).drop("bounds").withColumn("miss", F.greatest(F.lit(0.0), 1 - F.col("actual")))
     above = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("bin").agg(F.sum("actual").alias("t"), F.sum("miss").alias("f"))
     base = sums.select("bin", F.coalesce(F.sum("t").over(above), F.lit(0.0)).alias("t0"), F.coalesce(F.sum("f").over(above), F.lit(0.0)).alias("f0"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions import dates, text, udfs, vectors
 from clickloom.operators import enrich, features, flow, models, scoring
-from clickloom.sources import sinks
+from clickloom.sources import logs, records, sinks
 from clickloom.sources.tables import signals_docs, signals_events, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,11 +87,11 @@ def signal_lift_topk(spark, sf_dir):
     return features.lifts(_samples(spark, sf_dir)).orderBy(F.desc("lift"), F.desc("feature")).limit(10).select("feature", "n", _r("lift"))
 
 
-@query("""SELECT user_id, n, CAST(least(n, 1000) // 100 + greatest(0, least(n - 1000, 5000)) // 200 + greatest(0, least(n - 6000, 30000)) // 300 + greatest(0, least(n - 36000, 1000000)) // 400 AS BIGINT) AS budget
-FROM (SELECT user_id, count(*) * 977 AS n FROM events GROUP BY 1)""")
+@query("""SELECT user_id, n, CAST(b AS BIGINT) AS budget, CAST(floor(b * 2.5) AS BIGINT) AS amplified
+FROM (SELECT *, least(n, 1000) // 100 + greatest(0, least(n - 1000, 5000)) // 200 + greatest(0, least(n - 6000, 30000)) // 300 + greatest(0, least(n - 36000, 1000000)) // 400 AS b FROM (SELECT user_id, count(*) * 977 AS n FROM events GROUP BY 1))""")
 def feature_budget(spark, sf_dir):
     n = table(spark, sf_dir, "events").groupBy("user_id").agg((F.count("*") * 977).alias("n"))
-    return n.withColumn("budget", vectors.budget(F.col("n")))
+    return n.withColumn("budget", vectors.budget(F.col("n"))).withColumn("amplified", vectors.budget(F.col("n"), 2.5))
 
 
 @query(f"""WITH {EVENTS_CTE}, l AS (SELECT feature, count(*) AS n, sum(result) / count(*) / (SELECT avg(result) FROM base) AS lift FROM longs GROUP BY 1),
@@ -245,6 +245,30 @@ def ip_asof_strict(spark, sf_dir):
     return enrich.ip_lookup(*_ip_sides(spark, sf_dir), slot_bits=10)
 
 
+@query(f"WITH {_IP_CTE}, p AS (SELECT CASE WHEN event_id % 10 <> 0 THEN ip END AS ip FROM probe) SELECT ip, code FROM (SELECT * FROM p UNION ALL SELECT * FROM p) LEFT JOIN blk ON ip BETWEEN ip_start AND ip_end")
+def ip_repeated_probes(spark, sf_dir):
+    """Probes without a key of their own, each twice, every tenth null: all of them stay."""
+    probes, blocks = _ip_sides(spark, sf_dir)
+    rows = probes.select(F.when(F.col("event_id") % 10 != 0, F.col("ip")).alias("ip"))
+    return enrich.ip_lookup(rows.unionAll(rows), blocks, slot_bits=10)
+
+
+@query(f"WITH {_IP_CTE} SELECT event_id, ip, code FROM (SELECT event_id, ip * 10 AS ip FROM probe) LEFT JOIN blk ON ip BETWEEN ip_start + 1 AND ip_end OR ip_start = (SELECT min(ip_start) FROM blk) AND ip = ip_start")
+def ip_exclusive_start(spark, sf_dir):
+    """A block's first address isn't looked for in the block itself, but in the one before, whose end lies below; the first block has none before."""
+    probes, blocks = _ip_sides(spark, sf_dir)
+    return enrich.ip_lookup(probes.withColumn("ip", F.col("ip") * 10), blocks, exclusive_start=True, slot_bits=10)
+
+
+@query(f"""WITH {_IP_CTE}, a AS (SELECT DISTINCT code, 'area ' || code AS name FROM blk UNION SELECT DISTINCT substr(code, 1, 4) || '00', 'province ' || substr(code, 1, 4) FROM blk WHERE substr(code, 5) <> '00')
+SELECT event_id, ip, blk.code, x.name AS area, y.name AS province FROM probe LEFT JOIN blk ON ip BETWEEN ip_start AND ip_end LEFT JOIN a x ON x.code = blk.code LEFT JOIN a y ON y.code = substr(blk.code, 1, 4) || '00'""")
+def ip_region(spark, sf_dir):
+    probes, blocks = _ip_sides(spark, sf_dir)
+    own = blocks.select("code", F.concat(F.lit("area "), "code").alias("name"))
+    above = blocks.filter("substr(code, 5) <> '00'").select(enrich.province(F.col("code")).alias("code"), F.concat(F.lit("province "), F.substring("code", 1, 4)).alias("name"))
+    return enrich.ip_region(probes, blocks, own.union(above).distinct(), slot_bits=10)
+
+
 @query(f"WITH {_IP_CTE} SELECT event_id, ip, CASE WHEN ip BETWEEN (SELECT min(ip_start) FROM blk) AND (SELECT max(ip_end) FROM blk) THEN code END AS code FROM probe ASOF LEFT JOIN blk ON ip >= ip_start")
 def ip_asof_compat(spark, sf_dir):
     return enrich.ip_lookup(*_ip_sides(spark, sf_dir), strict_end=False, slot_bits=10)
@@ -328,23 +352,62 @@ def jsonp_item(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object(text.jsonp(wrapped), "$.k").alias("item"))
 
 
-@query("SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS cust, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS status FROM orders")
+@query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) || ',x' AS cust, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS status, CAST(o_custkey AS VARCHAR) AS digits FROM orders")
 def kv_scrape(spark, sf_dir):
-    line = F.concat(F.lit("id=7, cust="), "o_custkey", F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("; 'status':'"), "o_orderstatus", F.lit("'"))).otherwise(""))
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.scrape(line, "cust").alias("cust"), text.scrape(line, "status").alias("status"))
+    line = F.concat(F.lit("bid=3, id="), "o_orderkey", F.lit(", cust="), "o_custkey", F.lit(",x"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("; 'status':'"), "o_orderstatus", F.lit("'"))).otherwise(""))
+    return table(spark, sf_dir, "orders").select("o_orderkey", *[text.scrape(line, k).alias(k) for k in ("id", "cust", "status")], text.scrape_number(line, "cust").alias("digits"))
+
+
+@query("SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS inside, o_orderstatus AS quoted, CAST(o_custkey AS VARCHAR) AS plain FROM orders")
+def relaxed_json(spark, sf_dir):
+    page = F.concat(F.lit("<b>(no)</b> lead cb("), "o_custkey", F.lit(") and (more)"))
+    json = F.concat(F.lit('{1:"'), "o_orderstatus", F.lit('", "2": '), "o_custkey", F.lit(", 33 : [1, 2]}"))
+    m = text.relaxed_json(json, "map<string,string>")
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.jsonp_after(page, "lead").alias("inside"), m["1"].alias("quoted"), m["2"].alias("plain"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a' || event_id WHEN 1 THEN 'b' || event_id WHEN 2 THEN 'c' || event_id END AS key FROM events")
+def hop_key(spark, sf_dir):
+    i = F.col("event_id")
+    referer = F.when(i % 4 == 0, F.concat(F.lit("http://h/p?uctrac_clk=z&uctrac_clk_1=a"), i)).when(i % 4 == 1, F.concat(F.lit("http://h/p?uctrac_clk=b"), i)).when(i % 4 == 2, F.concat(F.lit("uctrac_clk_1=&uctrac_clk=c"), i)).otherwise("http://h/p?q=1")
+    return table(spark, sf_dir, "events").select("event_id", text.hop_key(referer).alias("key"))
+
 
+@query("SELECT o_orderkey, o_orderkey % 6 IN (0, 1, 2, 3) AS every, CASE WHEN o_orderkey % 3 < 2 THEN o_orderstatus END AS first FROM orders")
+def predicates(spark, sf_dir):
+    k = F.col("o_orderkey")
+    flags = F.when(k % 6 == 0, F.array().cast("array<boolean>")).when(k % 6 < 4, F.array(F.lit(True), k >= 0)).when(k % 6 == 4, F.array(F.lit(True), F.lit(None))).otherwise(F.array(F.lit(False)))
+    texts = F.when(k % 3 < 2, F.array(F.lit(None), F.lit(""), "o_orderstatus", F.lit("z"))).otherwise(F.array(F.lit("")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.all_true(flags).alias("every"), text.first_truthy(texts).alias("first"))
 
-@query("""WITH w AS (SELECT unnest(string_split_regex(p_name, '\\s+')) AS t FROM part), t AS (SELECT t, length(t) AS n FROM w WHERE t <> ''),
-g AS (SELECT t AS gram FROM t WHERE n <= 2 UNION ALL SELECT substr(t, i::INTEGER, k::INTEGER) FROM t, range(2, 5) r(k), range(1, 40) s(i) WHERE n > 2 AND i + k - 1 <= n)
-SELECT gram, count(*) AS n FROM g GROUP BY 1""")
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'ma')")
+def grep(spark, sf_dir):
+    return flow.piped(table(spark, sf_dir, "part").select("p_partkey", "p_name"), lambda rows: flow.grep(rows, "p_name", "ma"))
+
+
+_GRAMS = """WITH w AS (SELECT unnest(string_split_regex({column}, '\\s+')) AS t FROM {table}), t AS (SELECT t, length(t) AS n, count(*) AS k FROM w WHERE t <> '' GROUP BY 1, 2),
+g AS (SELECT t AS gram, k FROM t WHERE n <= 2 UNION ALL SELECT substr(t, i, m), k FROM (SELECT t, n, k, i, unnest(range(2, least({longest}, n - i + 1) + 1)) AS m FROM (SELECT t, n, k, unnest(range(1, n)) AS i FROM t WHERE n > 2)))
+SELECT gram, sum(k)::BIGINT AS n FROM g GROUP BY 1"""
+
+
+@query(_GRAMS.format(column="p_name", table="part", longest=1000))
 def ngram_count(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.explode(text.ngrams(F.col("p_name"), 4)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    """All lengths."""
+    return table(spark, sf_dir, "part").select(F.explode(text.ngrams(F.col("p_name"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
 
+@query(_GRAMS.format(column="text", table="documents", longest=3))
+def ngram_count_limited(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.explode(text.ngrams(F.col("text"), 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
-@query(r"""WITH w AS (SELECT unnest(string_split_regex(lower(translate(text, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', '                                ')), '\s+')) AS word FROM documents)
-SELECT word, count(*) AS n FROM w WHERE regexp_full_match(word, '[a-z]+') AND word NOT IN ('a', 'an', 'and', 'are', 'as', 'be', 'by', 'for', 'if', 'in', 'is', 'it', 'of', 'or', 'py', 'rst', 'that', 'the', 'to', 'with') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
+
+@query(r"""WITH w AS (SELECT unnest(string_split_regex(lower(translate(text, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', '                                ')), '\s+')) AS word FROM (SELECT unnest(string_split(CASE WHEN doc_id % 3 = 0 THEN ' .. ' || text ELSE text END, chr(10))) AS text FROM documents) WHERE NOT starts_with(ltrim(text), '..'))
+SELECT word, count(*) AS n FROM w WHERE regexp_full_match(word, '[a-z]+') AND word NOT IN ('a', 'an', 'and', 'are', 'as', 'be', 'for', 'if', 'in', 'is', 'it', 'of', 'or', 'py', 'rst', 'the', 'to', 'with') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
 def word_count_top20(spark, sf_dir):
-    return flow.top_words(table(spark, sf_dir, "documents"), "text")
+    """Every third document's first line is made a comment, which doesn't count."""
+    marked = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" .. "), "text")).otherwise(F.col("text"))
+    return flow.top_words(table(spark, sf_dir, "documents").withColumn("text", marked), "text")
 
 
 @query("""WITH d AS (SELECT p_brand AS word, count(*) AS freq FROM part GROUP BY 1 HAVING count(*) > 1) SELECT word, round(length(word) * ln(freq) - ln((SELECT sum(freq) FROM d)), 6)::DOUBLE AS logp FROM d""")
@@ -371,6 +434,17 @@ def java_hash(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", text.java_hash(F.col("c_name")).alias("h"))
 
 
+@query("SELECT event_id, CASE WHEN event_id % 8 < 5 THEN 10 * 16777216 + event_id % 256 WHEN event_id % 8 = 5 THEN event_id ELSE 0 END AS ip FROM events")
+def ip_to_int_forms(spark, sf_dir):
+    """Four parts, hexadecimal and octal ones, three, two, one; then none of those."""
+    i, low = F.col("event_id"), (F.col("event_id") % 256).cast("string")
+    forms = [F.concat(F.lit("10.0.0."), low), F.concat(F.lit("0xa.0.0.0x"), F.lower(F.hex(i % 256))), F.concat(F.lit("012.0.00.0"), F.conv(low, 10, 8)), F.concat(F.lit("10.0."), low), F.concat(F.lit("10."), low), i.cast("string")]
+    raw = F.when(i % 8 == 6, F.concat(F.lit("10.256.0."), low)).when(i % 8 == 7, F.lit("1.2.3.4.5"))
+    for n, form in enumerate(forms):
+        raw = F.when(i % 8 == n, form).otherwise(raw)
+    return table(spark, sf_dir, "events").select("event_id", text.ip_to_int(raw).alias("ip"))
+
+
 @query("SELECT event_id, CASE WHEN event_id % 300 > 255 THEN -1 ELSE 10 * 16777216 + (event_id % 300) * 65536 + (event_id % 256) * 256 + 7 END AS ip FROM events")
 def ip_to_int(spark, sf_dir):
     i = F.col("event_id")
@@ -382,14 +456,21 @@ def hex_key(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", text.hex_key(F.col("o_orderkey") * 7919).alias("key"))
 
 
-@query("SELECT l_orderkey, l_linenumber, list_transform([l_tax, l_discount, l_quantity], lambda x: round(x, 2)) AS v FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, round(l_tax, 1) AS a, round(l_discount / 3, 1) AS b, round(l_quantity / 7, 1) AS c, l_suppkey AS d FROM lineitem")
 def round_nested(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", vectors.rounded(F.array("l_tax", "l_discount", "l_quantity")).alias("v"))
+    """A struct that holds a map, an array of arrays and a whole number."""
+    nested = F.struct(F.create_map(F.lit("x"), "l_tax").alias("m"), F.array(F.array(F.col("l_discount") / 3), F.array(F.col("l_quantity") / 7)).alias("a"), F.col("l_suppkey").alias("n"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", nested.alias("v"))
+    rows = rows.withColumn("v", vectors.rounded(F.col("v"), 1, rows.schema["v"].dataType))
+    return rows.select("l_orderkey", "l_linenumber", F.col("v.m")["x"].alias("a"), F.col("v.a")[0][0].alias("b"), F.col("v.a")[1][0].alias("c"), F.col("v.n").alias("d"))
 
 
-@query("SELECT c_custkey, replace(replace(c_name, '#', '-'), 'C', 'k') AS v FROM customer")
+@query("SELECT c_custkey, 'ri-zhong' || replace(c_name, 'C', 'k') || '-' AS v FROM customer")
 def pinyin(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", text.transliterated(F.col("c_name"), {"#": "-", "C": "k"}).alias("v"))
+    """A table read from lines, first readings only, and fixed punctuation."""
+    lines = spark.createDataFrame([("日 ri mi",), ("中 zhong",), ("C k",)], "value string")
+    readings = {r["ch"]: r["reading"] for r in logs.readings(lines).collect()}  # a bounded table
+    return table(spark, sf_dir, "customer").select("c_custkey", udfs.transliterate(F.concat(F.lit("日，《中》"), "c_name", F.lit("。？")), readings).alias("v"))
 
 
 @query()
@@ -397,23 +478,238 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", udfs.html_text(F.col("html")).alias("text"))
 
 
-@query("SELECT doc_id, text FROM documents")
+_MIXED = "CASE c_custkey % 3 WHEN 2 THEN 'plain ' || c_custkey ELSE '中文客户' || c_custkey END"
+
+
+def _mixed(spark, sf_dir):
+    """Names in Chinese or English; their bytes in GBK, UTF-8 or ASCII."""
+    k = F.col("c_custkey")
+    name = F.when(k % 3 == 2, F.concat(F.lit("plain "), k)).otherwise(F.concat(F.lit("中文客户"), k))
+    data = F.when(k % 3 == 0, udfs.tolerant_encode(name, "gbk")).otherwise(F.encode(name, "UTF-8"))
+    return table(spark, sf_dir, "customer").select("c_custkey", name.alias("name"), data.alias("data"))
+
+
+@query(f"SELECT c_custkey, {_MIXED} AS text, CASE c_custkey % 3 WHEN 0 THEN 'gbk' WHEN 1 THEN 'utf-8' ELSE 'latin' END AS charset FROM customer")
 def smart_decode(spark, sf_dir):
-    popular = dict.fromkeys("abcdefghijklmnopqrstuvwxyz ,.\n", 3.0)
-    return table(spark, sf_dir, "documents").select("doc_id", udfs.smart_decode(F.encode("text", "UTF-8"), popular, charsets=("utf-8",)).alias("text"))
+    """The charset is chosen by how popular the characters are, as counted in the names themselves."""
+    rows = _mixed(spark, sf_dir)
+    popular = {r["ch"]: float(r["n"]) for r in flow.popularity(rows, "name").collect()}  # characters, a bounded table
+    return rows.select("c_custkey", udfs.smart_decode(F.col("data"), popular).alias("d")).select("c_custkey", "d.text", "d.charset")
+
+
+@query("SELECT c_custkey, '中' || c_custkey || '文' AS text, round(1.0 / (7 + length(CAST(c_custkey AS VARCHAR))), 6)::DOUBLE AS errors, 'ab' || c_custkey AS kept FROM customer")
+def tolerant_decode(spark, sf_dir):
+    k = F.col("c_custkey")
+    data = F.concat(F.encode(F.concat(F.lit("中"), k), "UTF-8"), F.unhex(F.lit("FF")), F.encode(F.lit("文"), "UTF-8"))
+    d = udfs.tolerant_decode(data, "utf-8")
+    kept = udfs.tolerant_encode(F.concat(F.lit("a日b"), k), "latin-1").cast("string")
+    return table(spark, sf_dir, "customer").select("c_custkey", d.alias("d"), kept.alias("kept")).select("c_custkey", "d.text", F.round("d.errors", 6).alias("errors"), "kept")
+
 
+@query("SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY 1")
+def popularity(spark, sf_dir):
+    return flow.popularity(table(spark, sf_dir, "documents"), "text")
 
-@query("SELECT p_partkey, replace(p_name, ' ', '') AS joined FROM part")
+
+@query("SELECT p_partkey, string_split('red green ' || CASE p_partkey % 3 WHEN 0 THEN 'redden' WHEN 1 THEN 'red' ELSE 'x y' END, ' ') AS words FROM part")
 def segment(spark, sf_dir):
-    words = dict.fromkeys("almond antique aquamarine azure beige bisque black blue red green small large".split(), -3.0)
-    p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", F.array_join(udfs.segment(F.replace(F.col("p_name"), F.lit(" "), F.lit("")), words), "").alias("joined"))
+    """Where several cuts are possible the likelier words win; characters of no word stand alone."""
+    words = {"red": -3.0, "green": -3.0, "redden": -4.0, "den": -5.0, "gree": -2.9, "nred": -9.0}
+    k = F.col("p_partkey") % 3
+    joined = F.concat(F.lit("redgreen"), F.when(k == 0, "redden").when(k == 1, "red").otherwise("xy"))
+    return table(spark, sf_dir, "part").select("p_partkey", udfs.segment(joined, words).alias("words"))
 
 
-@query("SELECT c_custkey, c_name FROM customer")
+@query("SELECT c_custkey, c_name, CASE c_custkey % 2 WHEN 0 THEN 'BBF316E8D940AF0AD3' ELSE '1021BF0420' END AS fixed FROM customer")
 def rc4_roundtrip(spark, sf_dir):
+    """There and back again, and two published vectors."""
     key = b"a key for tests"
-    return table(spark, sf_dir, "customer").select("c_custkey", udfs.rc4_column(udfs.rc4_column(F.encode("c_name", "UTF-8"), key), key).cast("string").alias("c_name"))
+    fixed = F.when(F.col("c_custkey") % 2 == 0, udfs.rc4_column(F.encode(F.lit("Plaintext"), "UTF-8"), b"Key")).otherwise(udfs.rc4_column(F.encode(F.lit("pedia"), "UTF-8"), b"Wiki"))
+    return table(spark, sf_dir, "customer").select("c_custkey", udfs.rc4_column(udfs.rc4_column(F.encode("c_name", "UTF-8"), key), key).cast("string").alias("c_name"), F.hex(fixed).alias("fixed"))
+
+
+_KEY = b"a key for tests"
+
+
+def _clicks(spark, sf_dir):
+    """Encoded click messages of customers: (c_custkey, clkex, clkobj, pv, trac)."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    user = F.struct(F.encode(F.lit("x"), "UTF-8").alias("xxid"), F.lit("m").alias("muid"), F.concat(F.lit("http://r/?q="), k).alias("referer"), F.lit(None).cast("string").alias("user_agent"), F.lit(None).cast("string").alias("original_referer"))
+    ex = F.struct(user.alias("user_info"), (k + 1000).alias("click_time"), k.alias("click_ip"), name.alias("click_url"), (-k).alias("click_hash"))
+    shown = F.struct((k % 7).alias("media_id"), k.alias("display_ip"), (k * 3).alias("display_time"), F.lit(None).cast("long").alias("event_id"), (k % 2 == 0).alias("is_fallback"), F.lit(None).cast("long").alias("channel_id"))
+    obj = F.struct(shown.alias("display_info"), F.lit(1).cast("long").alias("frontend_spent"), k.alias("crc32"), F.array(k, k + 1).alias("user_attr_list"), F.lit(False).alias("is_debug"), name.alias("uctrac_clk"))
+    pv = F.struct(shown.alias("display_info"), user.alias("user_info"), (k * 2).alias("render_time"))
+    trac = F.struct(*[(F.concat(F.lit(f"{n}"), k) if kind == "string" else k % 2 == 1 if kind == "bool" else k + 5).alias(n) for n, (_, kind) in records.TRACKING.items()])
+    texts = (records.packed(ex, records.CLICK_EX).alias("clkex"), records.packed(obj, records.CLICK, _KEY).alias("clkobj"), records.packed(pv, records.PAGE_VIEW).alias("pv"), records.tracking_text(trac).alias("trac"))
+    return table(spark, sf_dir, "customer").select("c_custkey", *texts)
+
+
+@query("SELECT c_custkey, -c_custkey AS click_hash, 'http://r/?q=' || c_custkey AS referer, c_custkey % 7 AS media_id, [c_custkey, c_custkey + 1] AS attrs, c_name AS clk, c_custkey * 2 AS render_time, c_custkey % 2 = 0 AS is_fallback, TRUE AS broken FROM customer")
+def click_messages(spark, sf_dir):
+    """Page views, and both parts of clicks, one of them enciphered; a text that is cut short gives null."""
+    m = _clicks(spark, sf_dir).select("c_custkey", records.click_ex(F.col("clkex")).alias("x"), records.click(F.col("clkobj"), _KEY).alias("o"), records.page_view(F.col("pv")).alias("p"), records.click_ex(F.substring("clkex", 1, 9)).alias("bad"))
+    return m.select("c_custkey", "x.click_hash", "x.user_info.referer", "o.display_info.media_id", F.col("o.user_attr_list").alias("attrs"), F.col("o.uctrac_clk").alias("clk"), "p.render_time", "p.display_info.is_fallback", F.col("bad").isNull().alias("broken"))
+
+
+@query("SELECT c_custkey, 'click_id' || c_custkey AS click_id, c_custkey + 5 AS utrac_eid, c_custkey % 2 = 1 AS is_landing, c_custkey + 5 AS ip, 'page_path' || c_custkey AS page_path, 'click_hash' || c_custkey AS click_hash FROM customer")
+def tracking_roundtrip(spark, sf_dir):
+    return _clicks(spark, sf_dir).select("c_custkey", records.tracking_record(F.col("trac")).alias("t")).select("c_custkey", *[f"t.{c}" for c in ("click_id", "utrac_eid", "is_landing", "ip", "page_path", "click_hash")])
+
+
+@query("SELECT c_custkey, 3 AS n_steps, c_custkey + 1000 AS click_time, c_custkey % 7 AS media_id, TRUE AS others_null FROM customer")
+def session_paths(spark, sf_dir):
+    """Sessions as arrays of steps; only clicks carry messages."""
+    none = F.lit(None).cast("string")
+    step = lambda cate, a, b: F.struct(F.lit(cate).alias("cate"), a.alias("clkex"), b.alias("clkobj"))
+    rows = _clicks(spark, sf_dir).select("c_custkey", F.array(step("pv", none, none), step("click", F.col("clkex"), F.col("clkobj")), step("pv", F.col("clkex"), none)).alias("paths"))
+    p = rows.select("c_custkey", records.session_paths(F.col("paths"), _KEY).alias("p"))
+    others = F.col("p")[0]["clkex"].isNull() & F.col("p")[2]["clkex"].isNull()
+    return p.select("c_custkey", F.size("p").alias("n_steps"), F.col("p")[1]["clkex"]["click_time"].alias("click_time"), F.col("p")[1]["clkobj"]["display_info"]["media_id"].alias("media_id"), others.alias("others_null"))
+
+
+# text logs, written out as lines and read again
+
+
+@query("SELECT event_id, 'm' || user_id AS machine, CAST(event_id % 100 AS INTEGER) AS score FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0")
+def click_log_lines(spark, sf_dir):
+    """Lines with too few fields or no number for a score are left out."""
+    i = F.col("event_id")
+    line = F.when(i % 5 == 0, F.concat(F.lit("short "), i)).otherwise(F.concat(F.lit("m"), "user_id", F.lit(" e"), i, F.lit(" c "), F.when(i % 7 == 0, F.lit("x")).otherwise((i % 100).cast("string")), F.lit(" why more")))
+    rows = logs.click_lines(table(spark, sf_dir, "events").select(line.alias("value")))
+    return rows.select(F.substring("click_ex", 2, 20).cast("long").alias("event_id"), "machine", "score")
+
+
+@query("SELECT event_id, '10.0.0.' || event_id % 256 AS ip, ts - INTERVAL (microsecond(ts)) MICROSECOND + INTERVAL (second(ts)) SECOND AS ts, 'h' || event_id AS uh, 'é ' || user_id AS up, 'M' || user_id AS muid FROM events WHERE event_id % 9 <> 0")
+def tracking_lines(spark, sf_dir):
+    i = F.col("event_id")
+    stamp = F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss")
+    request = F.concat(F.lit("GET /t?uh=x&uv=1&uh=h"), i, F.lit("&up=%C3%A9%20"), "user_id", F.lit(" HTTP/1.1"))
+    line = F.concat(F.lit("10.0.0."), i % 256, F.lit(" - - ["), stamp, F.lit(' +0800] "'), request, F.lit('" 200 1 "http://ref/" "agent" "-" "'), F.lit("a=1; MUID=M"), "user_id", F.lit('; YYID=y"'))
+    rows = logs.tracking_log(table(spark, sf_dir, "events").select(F.when(i % 9 != 0, line).otherwise("cut short").alias("value")))
+    return rows.select(F.substring("uh", 2, 20).cast("long").alias("event_id"), "ip", "ts", "uh", "up", "muid")
+
+
+@query("SELECT event_type AS series, event_id AS ts, CASE WHEN event_id % 5 <> 0 THEN round(value, 3) END AS value FROM events")
+def time_series_json(spark, sf_dir):
+    """Of JSON documents, one for each event."""
+    shown = F.when(F.col("event_id") % 5 != 0, F.round("value", 3).cast("string")).otherwise("null")
+    doc = F.concat(F.lit('[{"target": "'), "event_type", F.lit('", "datapoints": [['), shown, F.lit(", "), "event_id", F.lit("]]}]"))
+    return logs.time_series(table(spark, sf_dir, "events").select(doc.alias("value")))
+
+
+@query("SELECT '/d/' || p_partkey AS path, p_partkey % 2 = 0 AS is_file, p_size::BIGINT AS length FROM part")
+def listing_lines(spark, sf_dir):
+    k = F.col("p_partkey")
+    line = F.concat(F.lit("-rw-r--r--   "), F.when(k % 2 == 0, "3").otherwise("-"), F.lit(" user  group "), "p_size", F.lit(" 2012-01-01 00:00 /d/"), k)
+    return logs.listing(table(spark, sf_dir, "part").select(line.alias("value")))
+
+
+@query("SELECT lpad(CAST(n_nationkey AS VARCHAR), 6, '0') AS code, n_regionkey * 1.5::DOUBLE AS income FROM nation")
+def income_lines(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("x\t"), F.lpad(F.col("n_nationkey").cast("string"), 6, "0"), F.lit("\ta\t"), F.col("n_regionkey") * 1.5, F.lit("\tz")).alias("value"))
+    return logs.income_dimension(rows.union(spark.createDataFrame([("HEADER\tcode\ta\tincome\tz",)], "value string")))
+
+
+@query("SELECT n_name AS feature, round(n_regionkey * 0.25, 2)::DOUBLE AS weight FROM nation UNION ALL SELECT '(Intercept)', -1.5")
+def model_lines(spark, sf_dir):
+    """A coefficient table and its dictionary, joined on the column's number."""
+    n = table(spark, sf_dir, "nation")
+    coef = n.select(F.concat(F.lit('"input_'), "n_nationkey", F.lit('" '), F.col("n_regionkey") * 0.25).alias("value")).union(spark.createDataFrame([('"x"',), ('"(Intercept)" -1.5',), ('"input_99" NA',)], "value string"))
+    return logs.model(coef, n.select(F.concat(F.col("n_nationkey") + 1, F.lit(" "), "n_name").alias("value")))
+
+
+@query("SELECT label, CAST(n_nationkey AS INTEGER) AS idx, CASE label WHEN 3 THEN n_regionkey * 0.5 ELSE n_nationkey * -0.25 END::DOUBLE AS weight FROM nation, (VALUES (3), (1)) t(label)")
+def linear_model_lines(spark, sf_dir):
+    """A model of several labels, as one text."""
+    row = F.concat((F.col("n_regionkey") * 0.5).cast("string"), F.lit(" "), (F.col("n_nationkey") * -0.25).cast("string"), F.lit(" "))
+    body = table(spark, sf_dir, "nation").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("w")))).alias("rows"))
+    text_of = F.concat(F.lit("solver_type X\nnr_class 2\nlabel 3 1\nnr_feature 25\nbias -1\nw\n"), F.array_join(F.col("rows.w"), "\n"), F.lit("\n"))
+    return logs.linear_model(body.select(text_of.alias("value")))
+
+
+@query(f"""WITH {DOCS_CTE}, names AS (SELECT row_number() OVER (ORDER BY feature) AS idx, feature FROM (SELECT DISTINCT feature FROM longs)),
+filled AS (SELECT sample_id, string_agg(idx || ':1.0', ' ' ORDER BY idx) AS line FROM longs JOIN names USING (feature) GROUP BY 1)
+SELECT '1' AS line, 1e-7::DOUBLE AS weight UNION ALL SELECT CASE WHEN result > 0 THEN '1 ' ELSE '0 ' END || line, 1e8::DOUBLE FROM sample JOIN filled USING (sample_id)""")
+def weighted_libsvm(spark, sf_dir):
+    samples = signals_docs(spark, sf_dir)
+    return features.weighted_lines(samples, "sample_id", features.dictionary(samples))
+
+
+# small relational pieces
+
+
+@query(f"WITH {DOCS_CTE}, names AS (SELECT CAST(row_number() OVER (ORDER BY feature) - 1 AS INTEGER) AS idx, feature FROM (SELECT DISTINCT feature FROM longs)) SELECT idx AS row, sample_id AS col, 1.0::DOUBLE AS value FROM longs JOIN names USING (feature)")
+def transposed(spark, sf_dir):
+    s = signals_docs(spark, sf_dir)
+    return sinks.transposed(sinks.sparse_entries(s, "sample_id", features.dictionary(s)))
+
+
+@query("SELECT CAST(n_nationkey AS INTEGER) AS idx, n_name AS feature, (SELECT max(b) FROM range(0, 6) t(b) WHERE floor(25 * b / 6.0) <= n_nationkey)::INTEGER AS block FROM nation")
+def column_blocks(spark, sf_dir):
+    k = F.col("n_nationkey").cast("int")
+    names = table(spark, sf_dir, "nation").select(k.alias("idx"), F.col("n_name").alias("feature"))
+    return flow.column_blocks(names, 6)
+
+
+@query("SELECT p_partkey AS id, p_size + p_retailprice AS total FROM part")
+def joined_by_key(spark, sf_dir):
+    """Two files of one matrix, put side by side by the sample's key and not by place."""
+    x, y = sinks.split_target(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"))
+    y = table(spark, sf_dir, "part").select("p_partkey", *y.columns)
+    return x.select("p_partkey", "p_size").join(y, "p_partkey").select(F.col("p_partkey").alias("id"), (F.col("p_size") + F.col("p_retailprice")).alias("total"))
+
+
+@query("SELECT p_type AS word FROM part UNION ALL SELECT p_brand FROM part")
+def rows_bound(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_type").alias("word")).unionByName(p.select(F.col("p_brand").alias("word")))
+
+
+@query("SELECT n_name AS name FROM nation UNION SELECT s_name FROM supplier")
+def names_united(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")).union(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"))).distinct()
+
+
+@query("SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1 AS place FROM supplier")
+def sorted_numbers(spark, sf_dir):
+    """Numbered in the order of two columns made one."""
+    key = F.col("s_acctbal") * 1e6 + F.col("s_suppkey") / 1e4
+    return flow.numbered(table(spark, sf_dir, "supplier").select("s_suppkey", key.alias("k")), "k", "place").drop("k")
+
+
+@query("SELECT user_id, arg_min(event_id, event_id) AS event_id FROM events GROUP BY 1")
+def first_events(spark, sf_dir):
+    return flow.first_value(table(spark, sf_dir, "events"), "user_id", "event_id", "event_id")
+
+
+@query("SELECT p_brand, median(p_size)::DOUBLE AS middle FROM part GROUP BY 1")
+def reduced_groups(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_size")
+    return flow.group_reduce(rows, "p_brand", lambda g: pd.DataFrame({"p_brand": g["p_brand"].iloc[:1], "middle": [float(g["p_size"].median())]}), "p_brand string, middle double")
+
+
+@query("SELECT p_partkey, b.word FROM part JOIN (SELECT DISTINCT p_brand AS word FROM part) b ON substr(p_brand, 1, 2) = substr(b.word, 1, 2) AND starts_with(p_brand || ' x', b.word)")
+def prefix_joined(spark, sf_dir):
+    """Dictionary words that a text begins with, by a join on their first two characters."""
+    p = table(spark, sf_dir, "part")
+    words = flow.prefix_index(p.groupBy(F.col("p_brand").alias("word")).agg(F.count("*").alias("freq")))
+    rows = p.select("p_partkey", F.concat("p_brand", F.lit(" x")).alias("text"), F.substring("p_brand", 1, 2).alias("prefix"))
+    return rows.join(words, "prefix").filter(F.col("text").startswith(F.col("word"))).select("p_partkey", "word")
+
+
+@query("SELECT lower(column_name) AS name, ordinal_position - 1 AS place FROM information_schema.columns WHERE table_name = 'supplier'")
+def column_names(spark, sf_dir):
+    return sinks.columns(table(spark, sf_dir, "supplier")).select("name", F.col("place").cast("long").alias("place"))
+
+
+@query(_SCORED + " SELECT user_id, day, round(CASE WHEN e < -100 THEN 0 ELSE exp(e) END, 6)::DOUBLE AS predicted FROM lin")
+def glm_score_log(spark, sf_dir):
+    return scoring.score(_samples(spark, sf_dir), WEIGHTS, "log").select("user_id", "day", _r("predicted"))
+
+
+@query()
+def waiting_bucket(spark, sf_dir):
+    return flow.waiting_bucket(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 2, 86400)
 
 
 @query("SELECT c_custkey, CAST(c_custkey % 128 AS BIGINT) AS id, c_name AS name FROM customer")
@@ -548,7 +844,7 @@ def place_scan(spark, sf_dir):
 def _fitted(name: str) -> None:
     def run(spark, sf_dir):
         s = signals_docs(spark, sf_dir)
-        return models.as_frame(s, models.train(name, features.restrict(s, features.dictionary(s).filter("not startswith(feature, 'src_')").select("feature"))))
+        return models.as_frame(s, models.train(name, s))
 
     run.__name__ = f"fit_{name}"
     _QUERIES[run.__name__] = run

@@ -9,9 +9,14 @@ from clickloom.functions import text
 
 
 def click_log(spark: SparkSession, path: str) -> DataFrame:
-    """machine, click_ex, click, score, reason: blank-separated lines; malformed ones are left out. path may be a day's glob."""
+    """click_lines() of text files. path may be a day's glob."""
+    return click_lines(spark.read.text(path))
+
+
+def click_lines(lines: DataFrame) -> DataFrame:
+    """machine, click_ex, click, score, reason of blank-separated lines (column value); malformed ones are left out."""
     p = F.split("value", " ", -1)
-    return spark.read.text(path).filter(F.size(p) >= 5).select(p[0].alias("machine"), p[1].alias("click_ex"), p[2].alias("click"), p[3].try_cast("int").alias("score"), p[4].alias("reason")).filter("score is not null")
+    return lines.filter(F.size(p) >= 5).select(p[0].alias("machine"), p[1].alias("click_ex"), p[2].alias("click"), p[3].try_cast("int").alias("score"), p[4].alias("reason")).filter("score is not null")
 
 
 def tracking_log(lines: DataFrame) -> DataFrame:
@@ -40,6 +45,38 @@ def coefficients(lines: DataFrame) -> DataFrame:
     return lines.filter(F.size(p) >= 2).select(p[0].alias("feature"), F.element_at(p, 2).try_cast("double").alias("weight")).filter("weight is not null")
 
 
+def feature_names(lines: DataFrame) -> DataFrame:
+    """(input, feature) of a dictionary's lines `number name` (column value), numbers from 1, inputs from 0."""
+    p = F.split("value", " ", 2)
+    number = p[0].try_cast("int")
+    return lines.select(F.concat(F.lit("input_"), (number - 1).cast("string")).alias("input"), p[1].alias("feature")).filter("input is not null and feature is not null")
+
+
+def model(coefficient_lines: DataFrame, name_lines: DataFrame) -> DataFrame:
+    """(feature, weight): a coefficient table with its columns' names; the intercept keeps its own."""
+    named = coefficients(coefficient_lines).withColumnRenamed("feature", "input").join(feature_names(name_lines), "input", "left")
+    return named.select(F.coalesce("feature", "input").alias("feature"), "weight")
+
+
+def linear_model(text: DataFrame) -> DataFrame:
+    """(label int, idx int, weight double) of linear-model files (column value: a whole file): after the line `w` a row for each feature with a weight for each label.
+
+    A model of two labels has one weight a row; it is the first label's.
+    """
+    lines = F.transform(F.split(F.trim("value"), "\\r?\\n"), lambda x: F.trim(x))
+    labels = F.split(F.element_at(F.filter("lines", lambda x: x.startswith("label ")), 1), " +")
+    rows = F.slice("lines", F.array_position("lines", "w").cast("int") + 1, F.size("lines"))
+    each = text.select(lines.alias("lines")).select(labels.alias("labels"), F.posexplode(rows).alias("idx", "row"))
+    cells = each.select("labels", "idx", F.posexplode(F.split("row", " +")).alias("k", "weight"))
+    return cells.select(F.get("labels", F.col("k") + 1).cast("int").alias("label"), "idx", F.col("weight").try_cast("double").alias("weight")).filter("weight is not null")
+
+
+def readings(lines: DataFrame) -> DataFrame:
+    """(ch, reading): the first reading of each character, of lines `character reading ...` (column value)."""
+    p = F.split("value", "\\s+")
+    return lines.filter(F.length(p[0]) == 1).select(p[0].alias("ch"), p[1].alias("reading"))
+
+
 def listing(lines: DataFrame) -> DataFrame:
     """(path, is_file, length) of `ls -l`-like lines (column value)."""
     p = F.split(F.trim("value"), " +")

@@ -22,6 +22,22 @@ def sparse_entries(rows: DataFrame, key: str, names: DataFrame, ones: bool = Fal
     return out.unionByName(rows.select(F.col(key).alias("row"), F.lit(-1).alias("col"), F.lit(1.0).alias("value"))) if ones else out
 
 
+def transposed(entries: DataFrame) -> DataFrame:
+    """(row, col, value) entries of the transposed matrix."""
+    return entries.select(F.col("col").alias("row"), F.col("row").alias("col"), "value")
+
+
+def split_target(rows: DataFrame, target: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(inputs, target): the other columns, and the target (the last column if none is named)."""
+    target = target or rows.columns[-1]
+    return rows.drop(target), rows.select(target)
+
+
+def columns(rows: DataFrame) -> DataFrame:
+    """(place, name, kind) of the columns, names in lower case."""
+    return rows.sparkSession.createDataFrame([(n, name.lower(), kind) for n, (name, kind) in enumerate(rows.dtypes)], "place int, name string, kind string")
+
+
 def write_libsvm(rows: DataFrame, path: str, label: str = "label", x: str = "x") -> None:
     rows.select(F.col(label).cast("double").alias("label"), array_to_vector(x).alias("features")).write.mode("overwrite").format("libsvm").save(path)
 

@@ -15,7 +15,7 @@ def test_bucketise(spark, v, expected):
     assert one(spark, vectors.bucketise(F.lit(v).cast("double"), [50, 200])) == expected
 
 
-@pytest.mark.parametrize(("n", "expected"), [(10, 0), (101, 1), (2001, 15), (6001, 35), (60221, 195), (1000002, 2545)])
+@pytest.mark.parametrize(("n", "expected"), [(10, 0), (101, 1), (2001, 15), (6001, 35), (60221, 195), (1000002, 2545), (5000000, 2635)])
 def test_budget(spark, n, expected):
     # below the last tier's cap the tiers' own sums hold
     assert one(spark, vectors.budget(F.lit(n))) == expected
@@ -29,7 +29,15 @@ def test_budget(spark, n, expected):
         (lambda: text.query_arg(F.lit("a=1"), "b"), ""),
         (lambda: F.get_json_object(text.jsonp(F.lit('cb({"item":3})')), "$.item"), "3"),
         (lambda: text.ip_to_int(F.lit("218.247.22.34")), 3673626146),
-        (lambda: text.ip_to_int(F.lit("1.2.3"), -1), -1),
+        (lambda: text.ip_to_int(F.lit("1.2.3"), -1), 16908291),
+        (lambda: text.ip_to_int(F.lit("0x7f.1"), -1), 2130706433),
+        (lambda: text.ip_to_int(F.lit("010.0.0.1"), -1), 134217729),
+        (lambda: text.ip_to_int(F.lit("4294967295"), -1), 4294967295),
+        (lambda: text.ip_to_int(F.lit("4294967296"), -1), -1),
+        (lambda: text.ip_to_int(F.lit("256.1.1.1"), -1), -1),
+        (lambda: text.ip_to_int(F.lit("1.2.3.4.5")), 0),
+        (lambda: text.ip_to_int(F.lit("")), 0),
+        (lambda: text.ip_to_int(F.lit(None).cast("string"), -1), -1),
         (lambda: text.java_hash(F.lit("hello")), 99162322),
         (lambda: text.safe_int(F.lit("3.5")), -1),
         (lambda: text.safe_int(F.lit(" 42 ")), 42),
@@ -38,6 +46,21 @@ def test_budget(spark, n, expected):
         (lambda: text.cookie(F.lit("a=1; MUID=xyz12; b=2"), "MUID"), "xyz12"),
         (lambda: text.cookie(F.lit("a=1; MUID=xyz12; b=2"), "MUID", trim=2), "xyz"),
         (lambda: text.scrape(F.lit("'a':'b'"), "a"), "b"),
+        (lambda: text.scrape(F.lit("bid=3, id=7"), "id"), "7"),
+        (lambda: text.scrape(F.lit("a=1,2;b=3"), "a"), "1,2"),
+        (lambda: text.scrape(F.lit('x {\\"a\\":\\"b\\"}'), "a"), "b"),
+        (lambda: text.scrape(F.lit("ab = c d"), "ab"), "c"),
+        (lambda: text.scrape(F.lit("a=b"), "c"), None),
+        (lambda: text.scrape_number(F.lit("price: '1.50', n=2"), "price"), "1.50"),
+        (lambda: text.scrape_number(F.lit("price: x"), "price"), None),
+        (lambda: text.jsonp_after(F.lit('(a) TOP.lead.f({"item":3}) (b)'), "lead"), '{"item":3}'),
+        (lambda: text.jsonp_after(F.lit("f(1)"), "lead"), None),
+        (lambda: text.relaxed_json(F.lit('{1:{"2": 3}, 44 :"x"}'), "map<string,string>"), {"1": '{"2":3}', "44": "x"}),
+        (lambda: text.hop_key(F.lit("http://h/?uctrac_clk=a&uctrac_clk_1=b")), "b"),
+        (lambda: text.hop_key(F.lit("http://h/")), None),
+        (lambda: text.all_true(F.array().cast("array<boolean>")), True),
+        (lambda: text.first_truthy(F.array(F.lit(""), F.lit("b"), F.lit("c"))), "b"),
+        (lambda: vectors.rounded(F.array(F.lit(0.2399), F.lit(1.0))), [0.24, 1.0]),
         (lambda: text.elapsed_seconds(F.lit("1-02:03:04")), 93784),
         (lambda: text.elapsed_seconds(F.lit("03:04")), 184),
         (lambda: text.parent_path(F.lit("/a/b/c/")), "/a/b"),
@@ -52,7 +75,9 @@ def test_text(spark, column, expected):
 
 
 def test_ngrams(spark):
-    grams = one(spark, text.ngrams(F.lit("abcde abc"), 5))
+    grams = one(spark, text.ngrams(F.lit("abcde abc")))
+    assert one(spark, text.ngrams(F.lit("abcde abc"), 3)) == [g for g in grams if len(g) < 4]
+    assert one(spark, text.ngrams(F.lit("a bc "))) == ["a", "bc"]
     assert sorted(set(grams)) == ["ab", "abc", "abcd", "abcde", "bc", "bcd", "bcde", "cd", "cde", "de"]
     assert {g for g in grams if grams.count(g) == 2} == {"ab", "bc", "abc"}
 
@@ -91,4 +116,21 @@ def test_udfs(spark):
     assert one(spark, udfs.html_text(F.lit("<p>a&amp;b<script>x</script><b>c"))) == "a&b c"
     assert one(spark, udfs.unescape(F.lit("&#20013;"))) == "中"
     assert one(spark, udfs.segment(F.lit("redgreenx"), {"red": -1.0, "green": -1.0})) == ["red", "green", "x"]
-    assert one(spark, udfs.smart_decode(F.lit("中文".encode("gbk")), {"中": 50.0, "文": 50.0})) == "中文"
+
+
+@pytest.mark.parametrize(
+    ("data", "expected"),
+    [
+        (b"plain", ("plain", "latin")), ("中文".encode("gbk"), ("中文", "gbk")), ("中文字".encode(), ("中文字", "utf-8")), ("中文".encode() + b"\xff", None), (b"", ("", "utf-8")),
+    ],
+)
+def test_charsets(data, expected):
+    got = udfs.guessed(data, {"中": 5e6, "文": 5e6, "字": 5e6})
+    assert got == expected if expected else got[0]
+
+
+def test_tolerant(spark):
+    assert udfs.tolerant(b"a\xffb\xfe\xfd", "utf-8") == (0.6, "ab")
+    assert udfs.tolerant(b"", "gbk") == (0.0, "")
+    assert one(spark, udfs.tolerant_encode(F.lit("a中b"), "latin-1")) == b"ab"
+    assert one(spark, udfs.transliterate(F.lit("日照，x？"), {"日": "ri", "照": "zhao"})) == "rizhao-x"

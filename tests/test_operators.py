@@ -1,11 +1,13 @@
+import time
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from clickloom.operators import enrich, features, flow, models, scoring
-from clickloom.sources import logs, sinks
+from clickloom.sources import ipdb, logs, records, sinks
 
 
 def samples(spark, groups):
@@ -88,14 +90,101 @@ def test_attribution(spark):
 def test_ip_lookup(spark, strict):
     blocks = [(i * 700, i * 700 + 299, str(i)) for i in (1, 2, 9, 40)]
     probes = [(n, n * 53) for n in range(700)]
+    probes += [(900, None), (901, 7000), (901, 7000), (None, 1500)]
     got = enrich.ip_lookup(spark.createDataFrame(probes, "id long, ip long"), spark.createDataFrame(blocks, "ip_start long, ip_end long, code string"), strict_end=strict, slot_bits=8)
     expected = []
     for n, ip in probes:
-        below = [b for b in blocks if b[0] <= ip]
+        below = [b for b in blocks if ip is not None and b[0] <= ip]
         inside = below and (ip <= below[-1][1] if strict else ip <= blocks[-1][1])
         expected.append((n, ip, below[-1][2] if inside else None))
-    assert sorted(map(tuple, got.collect())) == expected
-    assert "BroadcastNestedLoopJoin" not in got._jdf.queryExecution().executedPlan().toString() or not strict
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(expected, key=repr)
+    assert "BroadcastNestedLoopJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ip_exclusive_start(spark):
+    blocks = spark.createDataFrame([(10, 19, "a"), (20, 29, "b"), (40, 49, "c")], "ip_start long, ip_end long, code string")
+    probes = spark.createDataFrame([(n,) for n in (9, 10, 11, 20, 21, 40, 41, 49, 50)], "ip long")
+    got = {r["ip"]: r["code"] for r in enrich.ip_lookup(probes, blocks, strict_end=False, exclusive_start=True, slot_bits=3).collect()}
+    assert got == {9: None, 10: "a", 11: "a", 20: "a", 21: "b", 40: "b", 41: "c", 49: "c", 50: None}
+
+
+def test_ip_database(spark, tmp_path):
+    """A packed file with a plain entry, one that is elsewhere altogether, and one whose two texts are."""
+    body, entries = bytearray(8), []
+    add = lambda data: (len(body), body.extend(data))[0]
+    plain = add((99).to_bytes(4, "little") + "中国".encode("gbk") + b"\0" + b"net\0")
+    entries.append((50, plain))
+    entries.append((100, add((199).to_bytes(4, "little") + b"\1" + (plain + 4).to_bytes(3, "little"))))
+    entries.append((200, add((299).to_bytes(4, "little") + b"\2" + (plain + 4).to_bytes(3, "little") + b"\2" + (plain + 9).to_bytes(3, "little"))))
+    first = len(body)
+    for start, at in entries:
+        body += start.to_bytes(4, "little") + at.to_bytes(3, "little")
+    body[:8] = first.to_bytes(4, "little") + (len(body) - 7).to_bytes(4, "little")
+    (tmp_path / "ip.dat").write_bytes(bytes(body))
+    got = [tuple(r) for r in ipdb.ip_database(spark, str(tmp_path / "ip.dat")).collect()]
+    assert got == [(50, 99, "中国", "net"), (100, 199, "中国", "net"), (200, 299, "中国", "net")]
+
+
+def test_places_of_several_countries(spark):
+    places = pd.DataFrame([("China", "Hubei", "Wuhan"), ("Japan", "Kanto", "Tokyo")], columns=["country", "province", "city"])
+    got = enrich.place_scan(spark.createDataFrame([("in Tokyo",)], "address string"), places).first()
+    assert (got["country"], got["province"], got["city"]) == ("Japan", "Kanto", "Tokyo")
+
+
+@pytest.mark.parametrize("kind", ["long", "double", "string", "timestamp_ntz"])
+def test_numbered(spark, kind):
+    base = {"long": lambda n: n * 7919 % 1000, "double": lambda n: (n * 37 % 1000) / 8, "string": lambda n: "shared-" + chr(97 + n % 26) + str(n * 31 % 997), "timestamp_ntz": lambda n: datetime(2020, 1, 1) + timedelta(hours=n * 613 % 1000)}[kind]
+    rows = spark.createDataFrame([(base(n),) for n in range(1000)] + [(None,)], f"k {kind}")
+    got = sorted((r["n"], r["k"]) for r in flow.numbered(rows, "k", parts=7).collect())
+    assert [n for n, _ in got] == list(range(1001)) and got[0][1] is None
+    assert [k for _, k in got[1:]] == sorted(k for _, k in got[1:])
+
+
+@pytest.mark.parametrize(("rows", "n"), [(23, 7), (3, 5), (0, 3), (21, 7)])
+def test_row_blocks(spark, rows, n):
+    got = [r["block"] for r in flow.row_blocks(spark.range(rows), "id", n).orderBy("id").collect()]
+    assert got == [k for k in range(n) for _ in range(rows // n + (k < rows % n))]
+
+
+def test_waiting_bucket(spark):
+    rows = [(n, "k", datetime(2020, 1, 1) + timedelta(seconds=n)) for n in (0.0, 0.5, 1.0, 1.5, 60.0)]
+    got = flow.waiting_bucket(spark.createDataFrame(rows, "id double, k string, ts timestamp_ntz"), "k", "ts", "id", 2, 4)
+    # one token to begin with, then one each two seconds
+    assert [(r["admitted"] - datetime(2020, 1, 1)).total_seconds() for r in got.orderBy("id").collect()] == [0, 2, 4, 6, 60]
+
+
+def test_wide_fits(spark):
+    """As many features as the screen lets through: 399, two of them aliased."""
+    r = np.random.default_rng(4)
+    x = r.random((1500, 399)) < 0.05
+    x[:, 398] = x[:, 0]
+    weights = r.normal(size=399) * 0.3
+    y = np.clip(0.3 + 0.2 * (x @ weights), 0.02, 0.98)
+    rows = [(n, float(y[n]), {f"f{j:03d}": 1.0 for j in np.flatnonzero(x[n]).tolist()}) for n in range(1500)]
+    s = spark.createDataFrame(rows, "id long, result double, features map<string,double>").cache()
+    started = time.perf_counter()
+    w = models.train("old", s)
+    assert time.perf_counter() - started < 60
+    assert "f398" not in w and len(w) == 399
+    full = np.hstack([x[:, :398].astype(float), np.ones((1500, 1))])
+    want = np.linalg.lstsq(full, np.minimum(y, 1), rcond=None)[0]
+    assert max(abs(w[f"f{j:03d}"] - want[j]) for j in range(398)) < 1e-6 and abs(w["(Intercept)"] - want[-1]) < 1e-6
+    g, n = models.gram(models.design(s, [f"f{j:03d}" for j in range(398)]), 398)
+    assert n == 1500 and np.abs(g - full.T @ full).max() < 1e-9
+
+
+def test_weighted_lines(spark):
+    s = samples(spark, [(1, 0.25, "ba"), (1, 1.0, "c"), (1, 0.0, "")])
+    got = [(r["line"], r["weight"]) for r in features.weighted_lines(s, "id", features.dictionary(s)).collect()]
+    assert got[0] == ("1", 1e-7)
+    assert sorted(got[1:]) == [("0 ", 1e8), ("0 1:1.0 2:1.0", 7.5e7), ("1 1:1.0 2:1.0", 2.5e7), ("1 3:1.0", 1e8)]
+
+
+def test_records(spark):
+    message = {"user_info": {"xxid": b"\x00\xff", "muid": "m", "referer": "r", "user_agent": None, "original_referer": None}, "click_time": 5, "click_ip": 0, "click_url": "é", "click_hash": -2}
+    assert records.read(records.written(message, records.CLICK_EX), records.CLICK_EX) == message
+    rows = spark.createDataFrame([("!!",), ("",), (None,), ("AAAA",)], "m string").select(records.click_ex(F.col("m")).alias("x")).collect()
+    assert [r["x"] is None for r in rows] == [False, False, True, True]  # what isn't of the alphabet is skipped
 
 
 def test_region_income(spark):

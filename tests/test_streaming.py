@@ -25,3 +25,27 @@ def test_click_counts(spark, tmp_path):
     query = jobs.click_counts(stream).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert [(r["key"], r["media_id"], r["n_trac"], r["n_hop"]) for r in spark.table("counts").collect()] == [(1, 7, 1, 0)]
+
+
+def test_side_table_is_loaded_anew(spark):
+    loads, seen = [], []
+    run = jobs.reloaded(lambda: loads.append(1) or spark.range(len(loads)), lambda batch, side: seen.append((batch.count(), side.count())), max_age=3600)
+    run(spark.range(3), 0)
+    run(spark.range(4), 1)
+    assert (len(loads), seen) == (1, [(3, 1), (4, 1)])
+    at_once = jobs.reloaded(lambda: loads.append(1) or spark.range(len(loads)), lambda batch, side: seen.append(side.count()), max_age=-1)
+    at_once(spark.range(1), 0)
+    at_once(spark.range(1), 1)
+    assert seen[2:] == [2, 3]
+
+
+def test_metrics_and_sessions(spark, tmp_path):
+    start = datetime(2020, 1, 1)
+    rows = [(start + timedelta(minutes=m), "a", v) for m, v in ((0, 1.0), (0.5, 3.0), (90, 5.0))]
+    df = spark.createDataFrame(rows, "ts timestamp, name string, value double")
+    df.write.parquet(str(tmp_path / "in"))
+    for name, stream in (("m", jobs.metrics), ("s", lambda x: jobs.sessions(x, "name", "ts"))):
+        made = stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+        made.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted((r["n"], r["total"], r["last_value"], r["members"]) for r in spark.table("m").collect()) == [(1, 5.0, 5.0, 1), (2, 4.0, 3.0, 2)]
+    assert sorted(r["n"] for r in spark.table("s").collect()) == [1, 2]
