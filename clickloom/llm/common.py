@@ -25,12 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only a session that names none (a test on one machine) gets a temporary
-    folder of its own.
+    Only a session on one machine that names none, as in tests, gets a temporary
+    folder of its own; on a cluster that would fail later on, when it is read.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm_dir = spark.sparkContext.getCheckpointDir()
+        if not jvm_dir and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = jvm_dir or tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found) if not jvm_dir else None
     if not spark.sparkContext.getCheckpointDir():

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickloom.llm.common import lean
+
 #: Labelled pages that weights are learned from, at most.
 SAMPLE = 2000
 _TOKEN = re.compile(r"<!--(?:(?!-->)[\s\S])*+(?:-->|\Z)|<!\[CDATA\[(?:(?!\]\]>)[\s\S])*+(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*>?)")
@@ -28,7 +30,7 @@ _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-CONTAINERS = frozenset("nav header footer aside form menu dialog head script style noscript template button select textarea title iframe svg math object canvas audio video figcaption-none".split()) - {"figcaption-none"}
+CONTAINERS = frozenset("nav header footer aside form menu dialog head script style noscript template button select textarea title iframe svg math object canvas audio video".split())
 CONTENT = frozenset("article main".split())
 #: Words in a class, id or role that name boilerplate.
 BOILERPLATE = frozenset(
@@ -51,8 +53,22 @@ def _named_boilerplate(tag: str, rest: str) -> bool:
 def tokens(page: str) -> Iterator[tuple[str, str, str, bool]]:
     """(kind, name, text, inside labelled content). kinds: tag, word (text of the page), link (text of a link), out (text of a boilerplate container)."""
     stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate at or above, content at or above
+    open_tags = [Counter()]  # how many of each tag are open, within each labelled element that is
     at, n = 0, len(page)
 
+    def push(tag: str, junk: bool, content: bool) -> None:
+        stack.append((tag, junk, content))
+        open_tags[-1][tag] += 1
+        if tag in CONTENT:
+            open_tags.append(Counter())
+
+    def pop() -> str:
+        tag = stack.pop()[0]
+        if tag in CONTENT:
+            open_tags.pop()
+        open_tags[-1][tag] -= 1
+        return tag
+
     def state() -> tuple[bool, bool]:
         return (stack[-1][1], stack[-1][2]) if stack else (False, False)
 
@@ -75,19 +91,17 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool]]:
                 yield ("out" if state()[0] else "word"), "word", m[0][9:].removesuffix("]]>"), state()[1]
             continue
         if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if stack[k][0] in CONTENT and tag not in ("body", "html") and tag not in CONTENT:
-                    break  # a stray end tag doesn't end the content around it
+            # a stray end tag doesn't end the content around it
+            if any(c[tag] for c in open_tags) if tag in ("body", "html", *CONTENT) else open_tags[-1][tag]:
+                while pop() != tag:
+                    pass
             yield "tag", f"/{tag}", "", state()[1] and not state()[0]
             continue
         while stack and tag in _CLOSED_BY.get(stack[-1][0], ()):
-            stack.pop()
+            pop()
         if tag in CONTENT or tag == "body":  # what was left open before isn't around it
             while stack and stack[-1][1]:
-                stack.pop()
+                pop()
         junk, content = state()
         junk = junk or tag in CONTAINERS or _named_boilerplate(tag, m["rest"])
         content = content or tag in CONTENT
@@ -96,7 +110,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool]]:
             close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
             at = close.end() if close else n
         elif tag not in VOID and not m["rest"].rstrip().endswith("/>"):
-            stack.append((tag, junk, content))
+            push(tag, junk, content)
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -137,8 +151,7 @@ def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     """Weights of words and tags: the log-odds of standing in content, held positive for words and negative for tags.
 
     Learned from SAMPLE labelled pages at most, those with the least hash of
-    their id; what comes to the driver is a count for each tag name, the 500
-    most frequent.
+    their id; what comes to the driver is a count for each tag name in them.
     """
     labelled = pages.filter(F.lower(F.col(html_col)).rlike(r"<(article|main)[\s>]")).select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
     chosen = labelled.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(SAMPLE).select(F.col("id").alias("chosen")).distinct()
@@ -155,8 +168,8 @@ def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
 
     # SAMPLE ids at most: small enough to broadcast whatever the number of pages
     drawn = labelled.join(F.broadcast(chosen), labelled["id"] == F.col("chosen"), "left_semi").select("html")
-    sums = drawn.mapInArrow(of, "name string, inside long, outside long").groupBy("name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    rows = sums.orderBy(F.desc(F.col("inside") + F.col("outside")), "name").limit(500).collect()
+    sums = drawn.mapInArrow(lean(of), "name string, inside long, outside long").groupBy("name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+    rows = sums.collect()
     total_in = sum(r["inside"] for r in rows) or 1
     total_out = sum(r["outside"] for r in rows) or 1
     out: dict[str, float] = {}
@@ -180,4 +193,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(batch.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", *keep, "text", "n_chars"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), *keep, F.col(html_col).cast("string").alias("__html"))
-    return rows.mapInArrow(of, "page_id long" + kept_schema + ", text string, n_chars long")
+    return rows.mapInArrow(lean(of), "page_id long" + kept_schema + ", text string, n_chars long")

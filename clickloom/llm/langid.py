@@ -23,8 +23,8 @@ from clickloom.llm.common import lean
 BUCKETS = 1 << 15
 #: Labelled documents of a language that are learned from, about: with more, so many are drawn by a hash of their text.
 SAMPLE = 4000
-#: Languages at most, the most frequent first, so that the model's size is bounded.
-LANGUAGES = 128
+#: More labels than this can't be languages; learning from them fails instead of leaving some out.
+MOST_LANGUAGES = 1000
 #: Steps of expectation-maximisation.
 STEPS = 12
 _BLANK = np.arange(256, dtype=np.uint8)
@@ -82,9 +82,11 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 
     Languages are counted over all rows. Of a language with more than SAMPLE
     rows about SAMPLE are drawn by a hash of the text. The driver gets
-    LANGUAGES x BUCKETS counts at most.
+    a count for each language and cell at most.
     """
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different labels")
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return [], np.zeros((BUCKETS, 0))

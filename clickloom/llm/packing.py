@@ -42,7 +42,9 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        whole = Tokenizer.from_file(path)
+        _as_known(whole)
+        self.model = whole.model
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         odd = [b for b in range(256) if b not in set(plain)]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(odd)}
@@ -72,6 +74,22 @@ def normal(text: str) -> str:
     return text.lower()
 
 
+#: Texts that tell how a vocabulary's file normalizes and cuts.
+_PROBES = ("Ab CD's  it'S 12a3\n\t x", "É e\u0301 ΑΣ Σ İ ǅ ﬁ Å", "a\u00a0b\u3000c!?. ...x_y-z", "'re'm 中文12 ½ ²x \x1c\x85 ")
+
+
+def _as_known(tokenizer) -> None:
+    """Raises ValueError for a vocabulary whose normalizer or splitter isn't what normal() and _WORDS do."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    odd = [b for b in range(256) if b not in set(plain)]
+    letters = {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(odd)}
+    for text in _PROBES:
+        made = tokenizer.normalizer.normalize_str(text) if tokenizer.normalizer else text
+        cut = [w for w, _ in tokenizer.pre_tokenizer.pre_tokenize_str(made)] if tokenizer.pre_tokenizer else [made]
+        if cut != [w.encode().decode("latin-1").translate(letters) for w in _WORDS.findall(normal(text))]:  # white space doesn't reach a word
+            raise ValueError("the vocabulary normalizes or cuts texts in another way than this encoder")
+
+
 @lru_cache(1)
 def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)

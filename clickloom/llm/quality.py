@@ -1,9 +1,11 @@
 """Quality rules: counts, and how far a text's distributions are from its language's.
 
 All of it is DataFrame expressions. Two histograms are compared with those of
-the reference languages by Jensen-Shannon distance: character classes, and
-common words. References are pooled over all rows of a language, weighting each
-by its length. Short texts are guarded: a histogram of too few characters is
+the references by Jensen-Shannon distance: character classes, and common words.
+A reference is pooled over all rows of a language that pass the base rules,
+weighting each by its length; rows of languages without a word list make one
+more reference together. A text is held against the nearest of all references,
+so its own label isn't needed. Short texts are guarded: a histogram of too few characters is
 not judged, and the limit for common words is wider the fewer words there are,
 as the distance that sampling alone makes is.
 """
@@ -28,6 +30,8 @@ SYMBOLS = "#*$%&|<>"
 CLASSES = {"space": BLANKS, "lower": "abcdefghijklmnopqrstuvwxyz", "symbol": SYMBOLS, "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": "0123456789", "punctuation": "!\"'()+,-./:;=?@[\\]^_`{}~"}
 #: Largest Jensen-Shannon distance of character classes to the nearest reference that a text may have; the characters and words it must hold to be judged.
 MAX_CHARS, MIN_CHARS, MIN_WORDS = 0.28, 400, 50
+#: Rows that make a reference, at least.
+MIN_ROWS = 20
 #: Of n words from a reference itself, 1 / distance^2 grows in proportion to n, from a start: (a, b) allow common words a distance of 1 / sqrt(a + b n).
 WORDS_LIMIT = (6.5, 0.03)
 
@@ -80,8 +84,11 @@ def with_counts(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def _references(counted: DataFrame, lang: str) -> tuple[dict[str, list[float]], dict[str, dict[str, float]]]:
-    """Of each reference language: shares of character classes, and of common words. A bounded number of rows reaches the driver."""
-    known = counted.filter(F.col(lang).isin(list(COMMON)))
+    """Of each reference: shares of character classes, and of common words. A bounded number of rows reaches the driver."""
+    own = F.when(F.col(lang).isin(list(COMMON)), F.col(lang)).otherwise("other")
+    known = counted.filter(F.col(lang).isNotNull() & ~F.col("base_failed")).withColumn(lang, own)
+    sizes = {r[lang]: r["count"] for r in known.groupBy(lang).count().collect()}
+    known = known.filter(F.col(lang).isin([x for x, n in sizes.items() if n >= MIN_ROWS]))
     sums = [F.sum(F.get("chars", F.lit(k))).alias(f"c{k}") for k in range(len(CLASSES) + 1)]
     chars = {r[lang]: [float(r[f"c{k}"]) for k in range(len(CLASSES) + 1)] for r in known.groupBy(lang).agg(*sums).collect()}
     chars = {x: [v / sum(c) for v in c] for x, c in chars.items() if sum(c)}
@@ -134,19 +141,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     windows. kept: not base_failed, and no judged histogram lies further from
     every reference than its limit, which for words depends on how many there
     are. Distances are null where not judged: the
-    text is short, or its language has no reference. Null texts have no words.
+    text is short, or there is no reference at all. Null texts have no words.
+    Repeated rows are judged alike. No rows: no rows.
     """
     counted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"))
-    counted = staged(with_counts(counted, F.col("_text")).drop("_text"))
-    chars, words = _references(counted, "_lang")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    counted = staged(with_counts(counted, F.col("_text")).drop("_text").withColumn("base_failed", failed))
+    chars, words = _references(counted, "_lang")
     no = F.lit(None).cast("double")
     enough = F.col("n_words") >= min_words
-    here = F.col("_lang").isin(list(chars))
     far_chars = F.least(*[_chars_distance(q) for q in chars.values()]) if len(chars) > 1 else _chars_distance(*chars.values()) if chars else no
     far_words = F.array_min(_word_distances(words)) if words else no
-    out = counted.withColumn("base_failed", failed)
-    out = out.withColumn("chars_distance", F.when(here & (F.col("word_chars") >= min_chars), far_chars).otherwise(no))
-    out = out.withColumn("words_distance", F.when(here & enough, far_words).otherwise(no))
+    out = counted.withColumn("chars_distance", F.when(F.col("word_chars") >= min_chars, far_chars).otherwise(no))
+    out = out.withColumn("words_distance", F.when(enough, far_words).otherwise(no))
     near = (F.coalesce("chars_distance", F.lit(0.0)) <= max_chars) & (F.coalesce("words_distance", F.lit(0.0)) <= 1 / F.sqrt(words_limit[0] + words_limit[1] * F.col("n_words")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), "chars_distance", "words_distance")

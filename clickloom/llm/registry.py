@@ -47,6 +47,13 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, RULES, urls.page_edges(pages))
 
 
+def url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5's operator with redirects: each page leads to the next one, five pages in a chain, so that decisions travel."""
+    pages = table(spark, sf_dir, "pages")
+    here, there = pages.filter("page_id % 5 <> 4").select((F.col("page_id") + 1).alias("k"), F.col("url").alias("source")), pages.select(F.col("page_id").alias("k"), F.col("url").alias("target"))
+    return urls.judge(pages, RULES, here.join(there, "k").select("source", "target")).select("page_id", "verdict", "via")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), pattern())
 
@@ -78,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_packing, op3_quality, op4_extraction, op5_urls, op6_bpe, op7_suffixes, op8_langid, op9_simhash, op10_topk, pipeline)}
+    return {f.__name__: f for f in (op1_pii, op2_packing, op3_quality, op4_extraction, op5_urls, op6_bpe, op7_suffixes, op8_langid, op9_simhash, op10_topk, pipeline, url_aliases)}
 
 
 _TOP = """
@@ -121,6 +128,35 @@ SELECT page_id, host, path, rule,
 FROM ruled
 """
 
+#: The closure of the chains of url_aliases, over URLs without scheme and fragment.
+_ALIASES = r"""
+WITH RECURSIVE cut AS (
+  SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^#]*', 0) END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(rest, ''), '^[^/?#]*(.*)$', 1) AS more
+  FROM cut
+), nodes AS (
+  SELECT page_id, host, regexp_extract(more, '^[^?]*', 0) AS path, CASE WHEN host <> '' THEN host || CASE WHEN more = '' THEN '/' ELSE more END END AS node FROM parts
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'allow'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'block'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'allow'
+    WHEN host = 'net' OR ends_with(host, '.net') THEN 'block'
+  END AS own FROM nodes
+), edges AS (
+  SELECT a.node AS u, b.node AS v FROM nodes a JOIN nodes b ON b.page_id = a.page_id + 1 WHERE a.page_id % 5 <> 4 AND a.node IS NOT NULL AND b.node IS NOT NULL
+), both AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges
+), reach AS (SELECT u AS node, u AS other FROM both UNION SELECT r.node, b.v FROM reach r JOIN both b ON b.u = r.other
+), said AS (
+  SELECT r.node, bool_or(coalesce(x.own = 'block', FALSE)) AND NOT bool_or(coalesce(x.own = 'allow', FALSE)) AS blocked FROM reach r JOIN ruled x ON x.node = r.other GROUP BY 1
+)
+SELECT page_id, coalesce(own, CASE WHEN blocked THEN 'block' END, 'allow') AS verdict,
+       CASE WHEN own IS NOT NULL THEN 'own' WHEN blocked THEN 'alias' ELSE 'default' END AS via
+FROM ruled LEFT JOIN said USING (node)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_urls": _URLS, "op10_topk": _TOP}
+    return {"op5_urls": _URLS, "op10_topk": _TOP, "url_aliases": _ALIASES}

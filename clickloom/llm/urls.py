@@ -100,12 +100,15 @@ def judge(pages: DataFrame, rules: list[Rule], edges: DataFrame, id_col: str = "
     roots = settled(components(links))
     # a node has one host and path, so its rule follows from itself
     as_url = F.concat(F.lit("x://"), F.col("node"))
-    ruled = roots.withColumn("host", host_of(as_url)).withColumn("path", path_of(as_url)).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    parts_of_node = F.struct(host_of(as_url).alias("host"), path_of(as_url).alias("path"))
+    ruled = roots.select("*", F.explode(F.array(parts_of_node)).alias("x")).select("node", "root", "x.host", "x.path").withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     ruled = ruled.withColumn("own", F.try_element_at(verdicts, F.col("rule")))
     said = ruled.groupBy("root").agg(F.bool_or(F.coalesce(F.col("own") == "block", F.lit(False))).alias("blocked"), F.bool_or(F.coalesce(F.col("own") == "allow", F.lit(False))).alias("allowed"))
     aliased = roots.join(said, "root").filter("blocked and not allowed").select(F.col("node").alias("alias"))
     url = F.col(url_col).cast("string")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
+    # a generator keeps the parts from being worked out anew in each branch of each rule
+    parts = F.struct(host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.explode(F.array(parts)).alias("x")).select("page_id", "x.host", "x.path", "x.node")
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     rows = rows.join(aliased, F.col("node") == F.col("alias"), "left")
     own = F.try_element_at(verdicts, F.col("rule"))

@@ -623,3 +623,46 @@ def test_topk_bound_spares_work():
         assert lists.scored < 0.5 * 40 * 4000
     far = topk.Lists(np.abs(values) * -1, np.arange(4000))
     assert far.top(np.abs(values[:40]) + 1, np.arange(40) - 100, np.ones(40), 5) == [[]] * 40 and not far.scored
+
+
+def test_packing_refuses_another_splitter(tmp_path):
+    import json
+
+    file = json.loads(open(registry.vocabulary("word_bpe_49k.json"), encoding="utf-8").read())
+    file["normalizer"] = None
+    (tmp_path / "v.json").write_text(json.dumps(file))
+    with pytest.raises(ValueError, match="normalizes or cuts"):
+        packing.WordEncoder(str(tmp_path / "v.json"))
+
+
+def test_deep_markup_in_linear_time():
+    """Stray end tags over many open elements."""
+    page = "<body><article>" + "<b>word " * 30_000 + "</i>" * 30_000
+    started = time.perf_counter()
+    assert len(extract.main_text(page, {}).split()) == 30_000 and time.perf_counter() - started < 10
+
+
+def test_quality_judges_rows_without_a_label(spark):
+    r = random.Random(5)
+    prose = lambda: " ".join(r.choice(quality.COMMON["en"]) if n % 2 else "word" + r.choice("abcdefgh") + r.choice("abcdefgh") for n in range(200))
+    junk = lambda: " ".join("".join(r.choice("#0123456789XQ%") for _ in range(7)) for _ in range(200))
+    rows = [(n, prose(), "en") for n in range(50)] + [(100, prose(), None), (101, junk(), None), (102, junk(), "en"), (103, junk(), "xx"), (104, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in quality.judge(df).collect()}
+    assert got[100]["kept"] and not got[101]["kept"] and not got[102]["kept"] and got[101]["chars_distance"] is not None
+    assert got[104]["base_failed"] and not got[104]["kept"] and quality.judge(df.limit(0)).collect() == []
+
+
+def test_langid_refuses_labels_without_end(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    rows = spark.createDataFrame([(f"text {n}", f"l{n}") for n in range(5)], "text string, lang string")
+    with pytest.raises(ValueError, match="different labels"):
+        langid.learn(rows)
+    assert len(langid.learn(rows.limit(3))[0]) == 3
+
+
+def test_langid_on_the_test_table(spark):
+    """All labelled rows that weren't learned from: 0.99 right at least."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.identify(docs.filter(langid.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike("[a-z]")), *langid.trained(docs), keep=("lang",))
+    assert got.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("double"))).first()[0] > 0.99
