@@ -147,8 +147,8 @@ WITH RECURSIVE cut AS (
   END AS own FROM nodes
 ), edges AS (
   SELECT a.node AS u, b.node AS v FROM nodes a JOIN nodes b ON b.page_id = a.page_id + 1 WHERE a.page_id % 5 <> 4 AND a.node IS NOT NULL AND b.node IS NOT NULL
-), both AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges
-), reach AS (SELECT u AS node, u AS other FROM both UNION SELECT r.node, b.v FROM reach r JOIN both b ON b.u = r.other
+), sides AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges
+), reach AS (SELECT u AS node, u AS other FROM sides UNION SELECT r.node, b.v FROM reach r JOIN sides b ON b.u = r.other
 ), said AS (
   SELECT r.node, bool_or(coalesce(x.own = 'block', FALSE)) AND NOT bool_or(coalesce(x.own = 'allow', FALSE)) AS blocked FROM reach r JOIN ruled x ON x.node = r.other GROUP BY 1
 )

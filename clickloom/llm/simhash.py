@@ -18,12 +18,18 @@ leave it. Copies never meet: the join is over distinct fingerprints.
 Near copies by similarity (0.8 of five-word shingles) lie 5 to 14 of 64 bits
 apart, further than Golay keys reach at a bearable number of keys. For them
 `near_copies_left` proposes by another key, equal samples of shingles: the
-SAMPLED least under each of SAMPLES permutations. What meets is verified on a
-wide SimHash, one 64-bit fingerprint for each of PARTS parts of the shingles.
-Within a key documents are united, not paired: each leader is compared with
-those it isn't united with yet, so a group of copies costs its size; keys of
-more than BLOCK documents are united in random blocks first, and then all members
-that this leaves apart meet, each pair of blocks in a task of its own.
+SAMPLED least under each of SAMPLES permutations. What meets is compared by a
+sketch of bounded size: the set of its shingles itself for a short text, a wide
+SimHash (one 64-bit fingerprint for each of PARTS parts of the shingles) for a
+long one, with a limit that a pair of similarity 0.8 seldom misses. Within a key
+documents are united, not paired: they are joined to the closest one of those
+joined before, so as many links come of a key as it has documents at most. Keys
+of more than BLOCK documents are united in random blocks first, and then all
+members that this leaves apart meet, each pair of blocks in a task of its own.
+
+Every link that comes of this, or of Golay keys, is then verified on the whole
+sets of shingles, and goes if they are less similar than 0.8. Where one goes,
+its keys are united anew without it, ROUNDS times at most.
 """
 
 from __future__ import annotations
@@ -47,9 +53,16 @@ GENERATOR = 0b101011100011
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Keys of a document, shingles in each; parts of a wide fingerprint.
 SAMPLES, SAMPLED, PARTS = 16, 4, 16
+#: Similarity of near copies, as a fraction.
+ALIKE = (8, 10)
+#: Distinct shingles up to which a sketch holds the set, and from which on it holds the wide fingerprint; texts of fewer
+#: than WIDE_FROM and of more than SET_UPTO shingles aren't 0.8 alike.
+SET_UPTO, WIDE_FROM = 39, 32
 #: Sets of similarity s have the cosine 2s / (1 + s), and so this share of differing bits: 0.151 at 0.8. The wide
-#: fingerprint's estimate has a standard error of 0.011, by which the limit is wider.
-LIMIT = math.acos(2 * 0.8 / 1.8) / math.pi + 0.011
+#: fingerprint's estimate has a standard error of 0.011, by three of which the limit is wider.
+LIMIT = math.acos(2 * 0.8 / 1.8) / math.pi + 3 * 0.011
+#: How often links are proposed and verified; how many of its closest a document is proposed to be linked with, from the second time on.
+ROUNDS, FORESTS = 3, 8
 #: Documents of a key that are united in one go.
 BLOCK = 2000
 _ODD = np.random.default_rng(9).integers(0, 1 << 63, SAMPLES, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -147,36 +160,78 @@ def sample_keys(distinct: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), n) for n, row in enumerate(least)], np.uint64).view(np.int64)
 
 
-def alike(one: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Which wide fingerprints differ from one in a share of LIMIT of their bits at most; parts that both lack don't count."""
-    differ = np.bitwise_count(one ^ others).sum(-1, dtype=np.int64)
-    return differ <= LIMIT * 64 * ((one | others) != 0).sum(-1)
-
-
-def united(wide: np.ndarray, label: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that join all that alike() joins, directly or by others, given what equal labels say is joined already.
-
-    The best linked document leads next. It is compared with all that aren't
-    joined with it yet, so no link between two sets is lost. With sides 0 and
-    1 only links from one side to the other are looked for.
+def sketch(distinct: np.ndarray) -> bytes:
+    """The number of distinct shingles, the least 32 bits of each if they are few, the wide fingerprint if they are many."""
+    n = len(distinct)
+    own = np.sort(distinct.astype(np.uint32)).tobytes() if n <= SET_UPTO else b""
+    return n.to_bytes(4, "little") + own + (wide_fingerprint(distinct).tobytes() if n >= WIDE_FROM else b"")
+
+
+class Sketches:
+    """Sketches as arrays: numbers of shingles, sets (filled up with a number of their own), wide fingerprints (zero if there is none)."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.n = np.array([int.from_bytes(x[:4], "little") for x in sketches], np.int64)
+        self.sets = np.full((len(sketches), SET_UPTO), 1 << 32, np.int64)
+        self.wide = np.zeros((len(sketches), PARTS), np.uint64)
+        for k, (x, n) in enumerate(zip(sketches, self.n.tolist(), strict=True)):
+            if n <= SET_UPTO:
+                self.sets[k, :n] = np.frombuffer(x, np.uint32, n, 4)
+            if n >= WIDE_FROM:
+                self.wide[k] = np.frombuffer(x, np.uint64, PARTS, len(x) - 8 * PARTS)
+
+    def take(self, rows: np.ndarray) -> Sketches:
+        out = Sketches([])
+        out.n, out.sets, out.wide = self.n[rows], self.sets[rows], self.wide[rows]
+        return out
+
+    def distances(self, one: int, others: np.ndarray) -> np.ndarray:
+        """The share of a wide fingerprint's bits in which others differ from one: estimated by it, or as their sets say; infinite if they aren't alike."""
+        n, m = self.n[one], self.n[others]
+        out = np.full(len(others), np.inf)
+        small = (m <= SET_UPTO) & (n <= SET_UPTO)
+        if small.any():
+            both = np.isin(self.sets[others[small]], self.sets[one, :n]).sum(1)
+            cosine = 2 * both / np.maximum(1, n + m[small])
+            out[small] = np.where(ALIKE[1] * both >= ALIKE[0] * (n + m[small] - both), np.arccos(np.minimum(1.0, cosine)) / np.pi, np.inf)
+        large = (m >= WIDE_FROM) & (n >= WIDE_FROM) & ~small
+        if large.any():
+            a, b = self.wide[one], self.wide[others[large]]
+            share = np.bitwise_count(a ^ b).sum(-1, dtype=np.int64) / (64 * np.maximum(1, ((a | b) != 0).sum(-1)))  # parts that both lack don't count
+            out[large] = np.where(share <= LIMIT, share, np.inf)
+        return out
+
+
+def united(sketches: Sketches, label: np.ndarray | None = None, side: np.ndarray | None = None, banned: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """The closest links that join all that are alike, directly or by others, beyond what equal labels say is joined already: a minimum spanning forest, grown from one document on.
+
+    With sides 0 and 1 only links from one side to the other are looked for.
+    banned: for each document those that it isn't to be linked with.
     """
-    n = len(wide)
+    n = len(sketches.n)
     label = np.arange(n) if label is None else np.unique(label, return_inverse=True)[1]
-    degree, waiting = np.zeros(n, np.int64), np.ones(n, bool) if side is None else side == 0
+    if n < 2 or (label == label[0]).all():
+        return []
+    order = np.argsort(label, kind="stable")
+    begin = np.searchsorted(label[order], np.arange(n + 1))
+    away, nearest, source = np.ones(n, bool), np.full(n, np.inf), np.zeros(n, np.int64)
     found: list[tuple[int, int]] = []
-    while waiting.any() and (label != label[0]).any():
-        leader = int(np.where(waiting, degree, -1).argmax())
-        waiting[leader] = False
-        apart = label != label[leader]
-        others = np.flatnonzero(apart if side is None else apart & (side == 1))
-        hits = others[alike(wide[leader], wide[others])]
-        if len(hits):
-            degree[hits] += 1
-            degree[leader] += len(hits)
-            for other in np.unique(label[hits]).tolist():
-                found.append((leader, int(hits[label[hits] == other][0])))
-            joined = np.isin(label, np.append(label[hits], label[leader]))
-            label[joined] = label[joined].min()
+    for _ in range(n):
+        now = int(np.where(away, nearest, np.inf).argmin())
+        if not away[now]:  # all that are left are infinitely far
+            now = int(away.argmax())
+        if 0 <= nearest[now] < np.inf:
+            found.append((int(source[now]), now))
+        away[now] = False
+        mates = order[begin[label[now]] : begin[label[now] + 1]]
+        nearest[mates] = -1.0  # joined already, next in turn without a link
+        others = np.flatnonzero(away & (label != label[now]) if side is None else away & (label != label[now]) & (side != side[now]))
+        if len(others):
+            distance = sketches.distances(now, others)
+            if banned is not None and len(banned[now]):
+                distance[np.isin(others, banned[now])] = np.inf
+            closer = distance < nearest[others]
+            nearest[others[closer]], source[others[closer]] = distance[closer], now
     return found
 
 
@@ -243,24 +298,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _described(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, fp, wide binary, keys array<long>) of each row with an id."""
+    """(doc_id, fp, sketch binary, keys array<long>) of each row with an id."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, wide, keys = [], [], []
+            fps, sketches, keys = [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 hashes = shingle_hashes(text or b"", shingle)
                 distinct = np.unique(hashes)
                 fps.append(majority(hashes))
-                wide.append(wide_fingerprint(distinct).tobytes())
+                sketches.append(sketch(distinct))
                 keys.append(sample_keys(distinct))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "wide", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "sketch", "keys"])
 
-    return documents(docs, id_col, text_col).filter("doc_id is not null").mapInArrow(lean(of), "doc_id long, fp long, wide binary, keys array<long>")
+    return documents(docs, id_col, text_col).filter("doc_id is not null").mapInArrow(lean(of), "doc_id long, fp long, sketch binary, keys array<long>")
 
 
 def _unite(rows: DataFrame, total: int) -> DataFrame:
-    """(key, part, side, node, root, wide), about total rows -> (u, v), u < v: links that unite each part of a key.
+    """(key, part, side, node, root, sketch, banned), about total rows -> (u, v), u < v: links that unite each part of a key.
 
     Equal roots are joined already; null: nothing is. Sides are as united() has them, null: none.
     """
@@ -273,30 +328,46 @@ def _unite(rows: DataFrame, total: int) -> DataFrame:
         key, part, node = (table.column(c).to_numpy() for c in ("key", "part", "node"))
         root = table.column("root").to_numpy() if not table.column("root").null_count else None
         side = table.column("side").fill_null(-1).to_numpy()
-        wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(-1, PARTS)
         order = np.lexsort((node, part, key))
-        key, part, node, side, wide = key[order], part[order], node[order], side[order], wide[order]
+        key, part, node, side = key[order], part[order], node[order], side[order]
+        sketches, banned = table.column("sketch").take(pa.array(order)), table.column("banned").take(pa.array(order))
         root = None if root is None else root[order]
         first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
         sizes = np.diff(np.append(first, len(key)))
-        two = first[sizes == 2] if root is None else first[:0]
-        two = two[alike(wide[two], wide[two + 1])]
-        us, vs = [node[two]], [node[two + 1]]
-        for a, n in zip(first.tolist(), sizes.tolist(), strict=True):
-            if n > 2 or n == 2 and root is not None:
-                pairs = united(wide[a : a + n], None if root is None else root[a : a + n], None if side[a] < 0 else side[a : a + n])
-                if pairs:
-                    u, v = np.array(pairs).T + a
-                    us.append(node[u]), vs.append(node[v])
+        us, vs = [node[:0]], [node[:0]]
+        # about a million sketched rows at a time, whole groups
+        for chunk in np.split(np.arange(len(first)), np.flatnonzero(np.diff(first >> 18)) + 1):
+            begin, end = first[chunk[0]], first[chunk[-1]] + sizes[chunk[-1]]
+            held = Sketches(sketches.slice(begin, end - begin).to_pylist())
+            for a, n in zip((first[chunk] - begin).tolist(), sizes[chunk].tolist(), strict=True):
+                if n > 1:
+                    at = slice(begin + a, begin + a + n)
+                    if n == 2 and root is None:
+                        pairs = [(0, 1)] if held.distances(a, np.array([a + 1]))[0] < np.inf else []
+                    else:
+                        own, labels, sides = held.take(np.arange(a, a + n)), None if root is None else root[at], None if side[begin + a] < 0 else side[at]
+                        bans = None if root is None else [np.flatnonzero(np.isin(node[at], x)) for x in banned[begin + a : begin + a + n].to_pylist()]
+                        pairs = more = united(own, labels, sides, bans)
+                        # what is asked again has a neighbour that failed: the next ones are proposed at once
+                        for _ in range(FORESTS - 1 if bans is not None and any(map(len, bans)) else 0):
+                            for x, y in more:
+                                bans[x], bans[y] = np.append(bans[x], y), np.append(bans[y], x)
+                            more = united(own, labels, sides, bans)
+                            if not more:
+                                break
+                            pairs = pairs + more
+                    if pairs:
+                        u, v = np.array(pairs).T
+                        us.append(node[at][u]), vs.append(node[at][v])
         u, v = np.concatenate(us), np.concatenate(vs)
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
     n_tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 100_000))
-    met = rows.select("key", "part", F.col("side").cast("int").alias("side"), "node", F.col("root").cast("long").alias("root"), "wide")
+    met = rows.select("key", "part", F.col("side").cast("int").alias("side"), "node", F.col("root").cast("long").alias("root"), "sketch", F.coalesce("banned", F.array().cast("array<bigint>")).alias("banned"))
     return staged(met.repartition(n_tasks, "key", "part").mapInArrow(lean(of), "u long, v long").filter("u <> v").distinct())
 
 
-def _across(rows: DataFrame, wide: DataFrame, joined: DataFrame) -> DataFrame:
+def _across(rows: DataFrame, sketches: DataFrame, joined: DataFrame) -> DataFrame:
     """(u, v): all links of members of a key that joined doesn't join. rows: (key, node) of keys of any size; joined: (node, root).
 
     What is joined lies in one set. A set of more than BLOCK has blocks of its
@@ -318,42 +389,78 @@ def _across(rows: DataFrame, wide: DataFrame, joined: DataFrame) -> DataFrame:
     itself = F.array(F.struct(F.col("a").alias("block"), F.lit(None).cast("int").alias("side")))
     both = F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side")))
     halves = pairs.select("key", "part", F.explode(F.when(F.col("a") == F.col("b"), itself).otherwise(both)).alias("x")).select("key", "part", "x.block", "x.side")
-    return _unite(members.join(wide, "node").join(halves, ["key", "block"]), total)
+    return _unite(members.join(sketches, "node").join(halves, ["key", "block"]), total)
 
 
-def similar(classes: DataFrame) -> DataFrame:
-    """(u, v): links that join all nodes whose wide fingerprints are alike and that share a sample. classes: (node, wide, keys)."""
+def similar(classes: DataFrame, known: DataFrame | None = None, failed: DataFrame | None = None) -> DataFrame:
+    """(u, v): links that join all nodes whose sketches are alike and that share a sample. classes: (node, sketch, keys).
+
+    known: links (u, v) that hold already; failed: links that don't, whose
+    samples alone are looked at then.
+    """
     spark = classes.sparkSession
-    wide = classes.select("node", "wide")
     rows = classes.select("node", F.explode("keys").alias("key"))
+    sketches = classes.select("node", "sketch", F.lit(None).cast("array<bigint>").alias("banned"))
+    joined = None
+    if failed is not None:
+        both = failed.select("u", "v").unionByName(failed.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        sketches = classes.select("node", "sketch").join(both.groupBy(F.col("u").alias("node")).agg(F.collect_list("v").alias("banned")), "node", "left")
+        rows = rows.join(rows.join(both.select(F.col("u").alias("node")).distinct(), "node", "left_semi").select("key").distinct(), "key", "left_semi").select("node", "key")
+        joined = components(known)
     sizes = settled(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
     if not total:
         return spark.createDataFrame([], "u long, v long")
     part = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / BLOCK)).alias("part")
-    no = F.lit(None)
-    met = rows.join(sizes, "key").join(wide, "node").select("key", part, no.alias("side"), "node", no.alias("root"), "wide")
-    found = _unite(met, total)
+    met = rows.join(sizes, "key").join(sketches, "node")
+    met = met.withColumn("root", F.lit(None).cast("long")) if joined is None else met.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = _unite(met.select("key", part, F.lit(None).alias("side"), "node", "root", "sketch", "banned"), total)
     if largest <= BLOCK:
         return found
     large = rows.join(sizes.filter(F.col("n") > BLOCK), "key").select("key", "node").distinct()
-    return found.unionByName(_across(large, wide, components(found)))
+    return found.unionByName(_across(large, sketches, components(found if known is None else found.unionByName(known))))
+
+
+def verified(links: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(u, v, holds): whether the whole sets of shingles of two documents (ids) are 0.8 alike. docs: (doc_id, text)."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t or b"", shingle)).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    nodes = links.select(F.col("u").alias("doc_id")).unionByName(links.select(F.col("v").alias("doc_id"))).distinct()
+    sets = staged(docs.join(nodes, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(lean(of), "node long, hashes array<long>"))
+    a, b = sets.toDF("u", "a"), sets.toDF("v", "b")
+    both = F.size(F.array_intersect("a", "b"))
+    holds = F.lit(ALIKE[1]) * both >= F.lit(ALIKE[0]) * (F.size("a") + F.size("b") - both)
+    return staged(links.join(a, "u").join(b, "v").groupBy("u", "v").agg(F.bool_or(holds).alias("holds")))
 
 
 def near_copies_left(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 3) -> DataFrame:
     """(doc_id): the documents that stay when one of each group does, that with the least id; rows without an id stay.
 
-    Linked are texts whose fingerprints differ in at most bits bits, and texts
-    of a similarity of 0.8 or more, as the wide fingerprint estimates it. Rows
-    of one id are one document; null and wordless texts are one group.
+    Linked are texts of a similarity of 0.8 or more that share a sample of
+    shingles, or whose fingerprints differ in at most bits bits. Rows of one id
+    are one document; null and wordless texts are one group. No rows: no rows.
     """
     described = settled(_described(docs, id_col, text_col, shingle))
-    classes = settled(described.groupBy("fp", "wide").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")))
+    classes = settled(described.groupBy("fp", "sketch").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")))
     by_fp = classes.groupBy("fp").agg(F.min("node").alias("node"))
     equal = classes.join(by_fp.withColumnRenamed("node", "u"), "fp").select("u", F.col("node").alias("v"))
     near = links(by_fp, bits)
     near = near.join(by_fp.select(F.col("fp").alias("u"), F.col("node").alias("a")), "u").join(by_fp.select(F.col("fp").alias("v"), F.col("node").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    found = equal.unionByName(near).unionByName(similar(classes.select("node", "wide", "keys")))
-    later = components(found.filter("u <> v")).filter("node <> root").select("node")
+    of_keys = classes.select("node", "sketch", "keys")
+    texts = documents(docs, id_col, text_col)
+    proposed, judged = equal.unionByName(near).unionByName(similar(of_keys)), None
+    for left in range(ROUNDS, 0, -1):
+        pairs = proposed.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        new = verified(pairs if judged is None else pairs.join(judged, ["u", "v"], "left_anti"), texts, shingle)
+        judged = new if judged is None else judged.unionByName(new)
+        found = judged.filter("holds").select("u", "v")
+        if left == 1 or new.filter("not holds").isEmpty():
+            break
+        proposed = similar(of_keys, found, judged.filter("not holds"))
+    later = components(found).filter("node <> root").select("node")
     kept = classes.select("node").distinct().join(later, "node", "left_anti").select(F.col("node").alias("doc_id"))
-    return kept.unionByName(documents(docs, id_col, text_col).filter("doc_id is null").select("doc_id").distinct())
+    return kept.unionByName(texts.filter("doc_id is null").select("doc_id").distinct())
