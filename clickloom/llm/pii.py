@@ -228,23 +228,25 @@ def _occurrences(docs: DataFrame, table: np.ndarray) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limits: dict[str, int] = {}
+        done: set[str] = set()  # words as they are written that aren't in the table, or were met often enough
         found: dict[str, set[int]] = defaultdict(set)
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 for a, b in units(text):
-                    hits = []
-                    for w in {m[0].lower() for m in _WORD.finditer(text, a, b)}:
+                    unit = None
+                    for written in set(_WORD.findall(text, a, b)) - done:
+                        w = written.lower()
                         limit = limits.get(w)
                         if limit is None:
-                            if len(limits) > 300_000:
-                                limits.clear()
                             limit = limits[w] = _limit(table, w)
-                        if limit and len(found[w]) <= limit:
-                            hits.append(w)
-                    if hits:
-                        unit = _unit(text, a, b)
-                        for w in hits:
+                        if len(found[w]) <= limit if limit else False:
+                            unit = _unit(text, a, b) if unit is None else unit
                             found[w].add(unit)
+                        else:
+                            if len(done) > 300_000:  # begun anew, so that memory is bounded
+                                done.clear()
+                                limits.clear()
+                            done.add(written)
         rows = [(w, u) for w, own in found.items() for u in own]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["term", "unit"])
 
@@ -254,7 +256,7 @@ def _occurrences(docs: DataFrame, table: np.ndarray) -> DataFrame:
 def n_units(docs: DataFrame) -> float:
     """About how many distinct units there are, to a hundredth: counted by sketches, so that copies don't count."""
     lines = docs.select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    pieces = F.explode(F.sequence(F.lit(0), F.floor(F.length(F.regexp_replace("line", "[^ ]", "")) / UNIT)))
+    pieces = F.explode(F.sequence(F.lit(0), F.floor((F.length("line") - F.length(F.translate("line", " ", ""))) / UNIT)))
     return float(lines.select("line", pieces.alias("piece")).agg(F.approx_count_distinct(F.xxhash64("line", "piece"), 0.01)).first()[0])
 
 
@@ -348,7 +350,7 @@ def _hits(docs: DataFrame, table: np.ndarray) -> DataFrame:
 def _term_spans(text: str, words: dict[str, bool], cues: dict[str, bool], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     covered = Covered(base)
     out = [(a, 4, b) for a, b, cue in identifiers(text, covered) if cue in cues] if cues else []
-    if words:
+    if words and any(w.lower() in words for w in set(_WORD.findall(text))):
         covered = Covered(base + out)
         out += [(m.start(), 4, m.end()) for m in _WORD.finditer(text) if m[0].lower() in words and not covered.touches(m.start(), m.end())]
     return out
