@@ -46,12 +46,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, for what is too large to keep uncompressed."""
+def staged(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, for what is too large to keep uncompressed. path: a folder there that may be overwritten."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     with _tidied(spark):
-        df.write.parquet(path)
+        df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
