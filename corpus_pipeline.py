@@ -3,17 +3,24 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written
 as Parquet and read again before the next one. All but the last return the
 columns of documents.
+
+In every stage a null text is a document without words: language drops it. Rows
+without an id are documents of their own in all stages. Repeated rows are near
+copies of each other, of which one id stays. Other columns than those of
+documents aren't looked at. An empty table gives an empty one, with the same
+columns.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.llm import langid, packing, pii, simhash, suffixes
-from clickloom.llm.common import staged, table
+from clickloom.llm.common import shared_dir, staged, table
 from clickloom.llm.registry import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,13 +32,13 @@ def _columns(df: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned; those without a letter go. lang becomes the prediction."""
+    """Documents in a language that was learned; null texts and those without a letter go. lang becomes the prediction."""
     found = langid.identify(docs, *langid.trained(docs), keep=("doc_id", "text", "source"))
     return _columns(found.filter("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least id; documents without an id stay."""
+    """One document of each group of near copies, the one with the least id; all rows of that id, and documents without an id, stay."""
     kept = simhash.near_copies_left(docs)
     with_id = docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
     return with_id.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
@@ -66,7 +73,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
+
+    Stages are written to two folders in turn, of which a stage reads one and
+    overwrites the other, so that no more than two stages are kept.
+    """
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
-    for _, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir))
+    own = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for n, (_, stage) in enumerate(STAGES):
+        docs = staged(stage(spark, docs, sf_dir), f"{own}-{n % 2}")
     return docs
