@@ -74,6 +74,17 @@ def magic_date(text: Column, today: Column, compat: bool = False) -> Column:
     )
 
 
+def magic_time(text: Column, now: Column) -> Column:
+    """magic_date() with the time of day where the text tells one: so long ago to the second, now, YYYYmmddHHMMSS; else midnight. now: a timestamp without zone."""
+    t = F.lower(F.trim(text))
+    unit = lambda p: F.coalesce(_number(t, rf"(\d+)\s*{p}", 1), F.lit(0))
+    seconds = unit("w") * 604800 + unit("d") * 86400 + unit("h") * 3600 + unit("m") * 60 + unit("s")
+    ago = t.startswith("-") | t.rlike(r"\bago$")
+    digits = F.try_to_timestamp(t, F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
+    back = now - F.make_dt_interval(secs=seconds)
+    return F.when(ago, back).when(t.startswith("now"), now).when(t.rlike(r"^\d{14}$"), digits).otherwise(magic_date(text, F.to_date(now)).cast("timestamp_ntz"))
+
+
 def flag_date(text: Column, today: Column) -> Column:
     """Digits that are an epoch between 1991 and 2049, else magic_date."""
     epoch = F.timestamp_seconds(F.when(F.length(text) <= 11, text.try_cast("bigint")))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -123,7 +124,7 @@ def waiting_bucket(events: DataFrame, key: str, ts: str, order: str, rate: float
                 now += (1 - level) * per / rate
                 level = 1.0
             level, last = level - 1, now
-            out.append(round(now * 1e6))
+            out.append(math.floor(now * 1e6 + 0.5))
         return group.assign(admitted=pd.to_datetime(pd.Series(out, index=group.index, dtype="int64"), unit="us"))
 
     return events.groupBy(key).applyInPandas(run, schema)
@@ -144,6 +145,11 @@ def group_reduce(rows: DataFrame, key: str, reduce: Callable[[pd.DataFrame], pd.
     return rows.groupBy(key).applyInPandas(reduce, schema)
 
 
+def map_reduce(rows: DataFrame, map: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], mapped: str, key: str, reduce: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Arbitrary mapper and reducer: batches of rows to rows of the schema mapped, then each key's rows to rows of schema."""
+    return group_reduce(rows.mapInPandas(map, mapped), key, reduce, schema)
+
+
 def first_value(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """(key, value): each key's first value in an order."""
     return rows.groupBy(key).agg(F.min_by(value, order).alias(value))

@@ -18,7 +18,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.operators import features as fs
@@ -180,6 +180,16 @@ def as_frame(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     return df.sparkSession.createDataFrame(sorted(weights.items()), "feature string, weight double")
 
 
+def save(df: DataFrame, weights: dict[str, float], path: str) -> None:
+    """Writes a model as a Parquet table (feature, weight)."""
+    as_frame(df, weights).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> dict[str, float]:
+    """A model that save() wrote: a weight for each feature of a model, so as many as that has."""
+    return {r["feature"]: r["weight"] for r in spark.read.parquet(path).collect()}
+
+
 def kmeans(points: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """(cluster, center) of (coords array<double>, weight)."""
     fitted = KMeans(k=k, seed=seed, weightCol="weight").fit(points.select(array_to_vector("coords").alias("features"), "weight"))

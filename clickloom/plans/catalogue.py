@@ -333,9 +333,17 @@ def url_arg(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.url_arg(F.col("url"), "page").alias("page"))
 
 
-@query("SELECT page_id, CAST(CASE WHEN instr(url, '?') > 0 THEN len(list_filter(string_split(substr(url, instr(url, '?') + 1), '&'), lambda x: regexp_matches(x, '^[^=]+=.+'))) ELSE 0 END AS INTEGER) AS n_args FROM pages")
-def query_map_size(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.when(F.instr("url", "?") > 0, F.size(text.query_map(text.query_part(F.col("url"))))).otherwise(0).alias("n_args"))
+@query("""WITH q AS (SELECT page_id, CASE WHEN instr(url, '?') > 0 THEN substr(url, instr(url, '?') + 1) ELSE url END || '&page=2;x=a%20+b&none=&page=' || page_id AS query FROM pages),
+p AS (SELECT page_id, unnest(string_split_regex(query, '[&;]')) AS pair, unnest(range(0, len(string_split_regex(query, '[&;]')))) AS n FROM q),
+v AS (SELECT page_id, n, url_decode(replace(split_part(pair, '=', 1), '+', ' ')) AS k, url_decode(replace(substr(pair, instr(pair, '=') + 1), '+', ' ')) AS v FROM p WHERE regexp_matches(pair, '^[^=]+=.+')),
+g AS (SELECT page_id, k, string_agg(v, '|' ORDER BY n) AS vs FROM v GROUP BY 1, 2)
+SELECT page_id, string_agg(k || '=' || vs, '&' ORDER BY k) AS args FROM g GROUP BY 1""")
+def query_map(spark, sf_dir):
+    """All decoded arguments by name, repeated ones in order, blank ones left out."""
+    query = F.concat(text.query_part(F.col("url")), F.lit("&page=2;x=a%20+b&none=&page="), "page_id")
+    args = F.array_sort(F.map_entries(text.query_map(query)))
+    shown = F.array_join(F.transform(args, lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "|"))), "&")
+    return table(spark, sf_dir, "pages").select("page_id", shown.alias("args"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN 'a' || event_id ELSE 'b' || event_id END AS key, event_id % 4 IN (2, 3) AS landing FROM events")
@@ -416,6 +424,13 @@ def dict_logprob(spark, sf_dir):
     return flow.dictionary_logs(entries)[0].select("word", _r("logp"))
 
 
+@query("""WITH d AS (SELECT p_brand AS word, count(*) AS freq FROM part GROUP BY 1 HAVING count(*) > 1), c AS (SELECT unnest(string_split(word, '')) AS ch, freq FROM d)
+SELECT ch, round(ln(sum(freq)) - ln((SELECT sum(freq) FROM d)), 6)::DOUBLE AS logp FROM c GROUP BY 1""")
+def char_logprob(spark, sf_dir):
+    entries = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("word")).agg(F.count("*").alias("freq"))
+    return flow.dictionary_logs(entries)[1].select("ch", _r("logp"))
+
+
 @query("SELECT doc_id, NOT regexp_full_match(text, '[\\x01-\\x7e]+') AS cjk FROM documents")
 def is_cjk(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.is_cjk(F.col("text")).alias("cjk"))
@@ -688,6 +703,18 @@ def reduced_groups(spark, sf_dir):
     return flow.group_reduce(rows, "p_brand", lambda g: pd.DataFrame({"p_brand": g["p_brand"].iloc[:1], "middle": [float(g["p_size"].median())]}), "p_brand string, middle double")
 
 
+@query("SELECT p_type AS word, count(*) AS n FROM part GROUP BY 1")
+def mapped_and_reduced(spark, sf_dir):
+    def ones(batches):
+        for rows in batches:
+            yield pd.DataFrame({"word": rows["p_type"], "n": 1})
+
+    def summed(rows):
+        return pd.DataFrame({"word": rows["word"].iloc[:1], "n": [int(rows["n"].sum())]})
+
+    return flow.map_reduce(table(spark, sf_dir, "part").select("p_type"), ones, "word string, n long", "word", summed, "word string, n long")
+
+
 @query("SELECT p_partkey, b.word FROM part JOIN (SELECT DISTINCT p_brand AS word FROM part) b ON substr(p_brand, 1, 2) = substr(b.word, 1, 2) AND starts_with(p_brand || ' x', b.word)")
 def prefix_joined(spark, sf_dir):
     """Dictionary words that a text begins with, by a join on their first two characters."""
@@ -707,7 +734,12 @@ def glm_score_log(spark, sf_dir):
     return scoring.score(_samples(spark, sf_dir), WEIGHTS, "log").select("user_id", "day", _r("predicted"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, ts, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), r AS (
+  SELECT event_id, user_id, ts, rn, t AS now, 0.0::DOUBLE AS level FROM e WHERE rn = 1
+  UNION ALL
+  SELECT event_id, user_id, ts, rn, CASE WHEN filled < 1 THEN came + (1 - filled) * 86400 / 2 ELSE came END, CASE WHEN filled < 1 THEN 0.0 ELSE filled - 1 END
+  FROM (SELECT *, least(2.0::DOUBLE, level + (came - now) * 2 / 86400) AS filled FROM (SELECT e.*, greatest(e.t, r.now) AS came, r.now, r.level FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
+) SELECT event_id, user_id, ts, make_timestamp(CAST(floor(now * 1e6 + 0.5) AS BIGINT)) AS admitted FROM r""")
 def waiting_bucket(spark, sf_dir):
     return flow.waiting_bucket(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 2, 86400)
 
@@ -745,11 +777,29 @@ def next_last_weekday(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.next_weekday(d, "monday").alias("next_monday"), dates.last_weekday(d, "monday").alias("last_monday"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN DATE '2003-01-04' WHEN 1 THEN DATE '2020-05-18' WHEN 2 THEN CAST(o_orderdate AS DATE) ELSE NULL END AS day FROM orders")
+#: Free-text dates of every shape, and what they are on Wednesday, 3 June 2020.
+_DATES = {
+    "-1 week 2 days": "2020-05-25", "-2 weeks": "2020-05-20", "3 days ago": "2020-05-31", "2 weeks 1 day ago": "2020-05-19", "today": "2020-06-03", "now": "2020-06-03", "tomorrow": "2020-06-04", "yesterday": "2020-06-02", "4th": "2020-06-04", "21": "2020-06-21",
+    "4th Jan": "2020-01-04", "4th January 2003": "2003-01-04", "Jan 4th": "2020-01-04", "Jan 4th, 2003": "2003-01-04", "3/4/2019": "2019-03-04", "25/12/2019": "2019-12-25", "2019-02-03": "2019-02-03", "20190203": "2019-02-03", "20190203112233": "2019-02-03",
+    "next monday": "2020-06-08", "last wednesday": "2020-05-27", "friday": "2020-05-29", "no date": None, "30th Feb": None,
+}
+_TIMES = {"-1 day 2 hours": "2020-06-02 08:20:30", "3 hours 20 minutes 30 seconds ago": "2020-06-03 07:00:00", "now": "2020-06-03 10:20:30", "20190203112233": "2019-02-03 11:22:33", "tomorrow": "2020-06-04 00:00:00", "no date": None}
+
+
+def _picked(values) -> str:
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
+
+
+@query(f"SELECT o_orderkey, CAST(({_picked(_DATES.values())})[o_orderkey % {len(_DATES)} + 1] AS DATE) AS day FROM orders")
 def magic_date(spark, sf_dir):
-    k = F.col("o_orderkey") % 4
-    raw = F.when(k == 0, "4th Jan 2003").when(k == 1, "-2 weeks").when(k == 2, F.date_format("o_orderdate", "MM/dd/yyyy")).otherwise("no date")
-    return table(spark, sf_dir, "orders").select("o_orderkey", dates.magic_date(raw, F.lit("2020-06-01").cast("date")).alias("day"))
+    raw = F.get(F.array(*map(F.lit, _DATES)), (F.col("o_orderkey") % len(_DATES)).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.magic_date(raw, F.lit("2020-06-03").cast("date")).alias("day"))
+
+
+@query(f"SELECT o_orderkey, CAST(({_picked(_TIMES.values())})[o_orderkey % {len(_TIMES)} + 1] AS TIMESTAMP) AS at FROM orders")
+def magic_time(spark, sf_dir):
+    raw = F.get(F.array(*map(F.lit, _TIMES)), (F.col("o_orderkey") % len(_TIMES)).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.magic_time(raw, F.lit("2020-06-03 10:20:30").cast("timestamp_ntz")).alias("at"))
 
 
 @query("SELECT event_id, event_id % 3 * 86400 + event_id % 24 * 3600 + event_id % 60 * 60 + event_id % 59 AS seconds FROM events")
@@ -808,7 +858,15 @@ def threshold_alert(spark, sf_dir):
     return flow.alerts(_series(spark, sf_dir), 2, 1.0)
 
 
-@query()
+_IN_TURN = "e AS (SELECT event_id, user_id, ts, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)"
+
+
+@query(f"""WITH RECURSIVE {_IN_TURN}, r AS (
+  SELECT event_id, user_id, ts, t, rn, 1.0::DOUBLE AS level, TRUE AS ok FROM e WHERE rn = 1
+  UNION ALL
+  SELECT event_id, user_id, ts, t, rn, CASE WHEN filled >= 1 THEN filled - 1 ELSE filled END, filled >= 1
+  FROM (SELECT e.*, least(2.0::DOUBLE, r.level + (e.t - r.t) * 2 / 86400) AS filled FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
+) SELECT event_id, user_id, ts FROM r WHERE ok""")
 def token_bucket(spark, sf_dir):
     return flow.token_bucket(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 2, 86400)
 
@@ -852,6 +910,7 @@ def _fitted(name: str) -> None:
 
 for _name in models.MODELS:
     _fitted(_name)
+_SQL["fit_const"] = f"WITH {DOCS_CTE} SELECT 'Average' AS feature, (CASE WHEN count(*) > 3000 THEN avg(result) ELSE 0.02 END)::DOUBLE AS weight FROM sample"
 
 
 @query()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickloom.operators import enrich, features, flow, models, scoring
-from clickloom.sources import ipdb, logs, records, sinks
+from clickloom.sources import images, ipdb, logs, records, sinks
 
 
 def samples(spark, groups):
@@ -230,3 +230,42 @@ def test_sinks(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "m"), sep=" ", header=True).columns == ["input_0", "input_1", "result"]
     sinks.write_libsvm(models.design(s, ["a", "b"]).withColumn("label", F.lit(1)), str(tmp_path / "l"))
     assert spark.read.format("libsvm").option("numFeatures", "2").load(str(tmp_path / "l")).count() == 2
+
+
+def test_small_sinks_and_sources(spark, tmp_path):
+    weights = {"a": 0.5, "(Intercept)": -1.0}
+    models.save(spark.range(1), weights, str(tmp_path / "model"))
+    assert models.load(spark, str(tmp_path / "model")) == weights
+    lines = [r["line"] for r in sinks.weight_report(models.as_frame(spark.range(1), weights)).collect()]
+    assert lines == [f"{'a':30s} : +0.500000000", f"{'(Intercept)':30s} : -1.000000000"]
+    s = spark.createDataFrame([(1, 0.5, {"b": 2.0, "a": 1.5, "c": 0.9})], "id long, result double, features map<string,double>")
+    assert sinks.named_sparse(s).first()["line"] == "0.5 a:1.5 b:2.0"
+    assert sinks.validation_lines(spark.createDataFrame([(1.0, 0.25)], "actual double, predicted double")).first()["line"] == "1.0:b,0.25:m"
+    x, y = sinks.split_target(spark.createDataFrame([(1, 2, 3)], "a int, b int, c int"))
+    assert (x.columns, y.columns) == (["a", "b"], ["c"])
+    spark.sql("DROP TABLE IF EXISTS kept_once")
+    sinks.create_table(spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "k int, v string"), "kept_once", unique=["k"], partition=["k"])
+    try:
+        assert sorted(r["k"] for r in spark.table("kept_once").collect()) == [1, 2]
+    finally:
+        spark.sql("DROP TABLE kept_once")
+    for day, text in (("2012-01-01_00001", "m e c 5 why\nbad"), ("2012-01-01_00002", "m e c x why\nn e c 7 because"), ("2012-01-02_00001", "o e c 9 why")):
+        (tmp_path / f"click-{day}").write_text(text)
+    got = logs.click_log(spark, str(tmp_path / "click-2012-01-01_?????"))
+    assert sorted((r["machine"], r["score"]) for r in got.collect()) == [("m", 5), ("n", 7)]
+    cookies = spark.createDataFrame([("host TRUE / FALSE 0 name value",), ("short",)], "value string")
+    assert logs.cookie_value(cookies, "name").first()["value"] == "value"
+    with pytest.raises(ValueError, match="no database"):
+        logs.jdbc(spark, [], "SELECT 1")
+
+
+def test_colours(spark, tmp_path):
+    """A bitmap of 2 by 2 pixels, three of them red, and a file that is no image."""
+    red, blue = bytes([0, 0, 255]), bytes([255, 0, 0])  # blue, green, red
+    pixels = red + red + b"\0\0" + red + blue + b"\0\0"
+    head = b"BM" + (54 + len(pixels)).to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little")
+    info = (40).to_bytes(4, "little") + (2).to_bytes(4, "little") * 2 + (1).to_bytes(2, "little") + (24).to_bytes(2, "little") + bytes(24)
+    (tmp_path / "a.bmp").write_bytes(head + info + pixels)
+    (tmp_path / "b.bmp").write_bytes(b"no image")
+    got = sorted((r["coords"], r["weight"]) for r in images.colours(spark, str(tmp_path)).collect())
+    assert got == [([0.0, 0.0, 255.0], 1.0), ([255.0, 0.0, 0.0], 3.0)]
