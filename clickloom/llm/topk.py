@@ -1,8 +1,8 @@
 """Exact top-k inner products by Fagin's threshold algorithm.
 
-Candidates are dealt into blocks of bounded size by the signs of their leading
-components, so that like vectors share a block, and are sorted there once for
-each dimension. At a depth of these lists no unseen candidate scores more than
+Candidates are dealt into blocks of bounded size, near copies of a pivot into
+blocks of their own, as lists of like vectors are short, and are sorted there
+once for each dimension. At a depth of these lists no unseen candidate scores more than
 the sum of query component times list entry: a query goes down only to where
 that bound is under its kth score, and scores what it meets by random access.
 
@@ -21,13 +21,16 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.llm.common import settled
 
-#: Rows of a block, about; queries that are asked of it at a time; leading components whose signs deal blocks, at most.
-CANDIDATES, QUERIES, SIGNS = 8192, 4096, 12
+#: Rows of a block, about; queries that are asked of it at a time.
+CANDIDATES, QUERIES = 8192, 4096
+#: Pivots, the rows with the least hashes; the cosine from which on a row is a near copy of one; near copies that get blocks of their own.
+PIVOTS, NEAR, MANY = 64, 0.9, 32
 #: Depths at which the bound is looked at, each so many times the one before.
 STEP = 4
 
@@ -111,6 +114,23 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.int64).reshape(len(vectors), -1)
 
 
+def nearest_pivot(vectors: list, pivots: list[np.ndarray]) -> np.ndarray:
+    """The number of the pivot of the same length that each vector is closest to, -1 if it is near none."""
+    out = np.full(len(vectors), -1, np.int32)
+    lengths = np.array([len(v) for v in vectors], np.int64)
+    for d in np.unique(lengths).tolist():
+        numbers = [n for n, p in enumerate(pivots) if len(p) == d and p.any()]
+        rows = np.flatnonzero(lengths == d)
+        if d and numbers:
+            x = np.array([vectors[n] for n in rows], float)
+            p = np.array([pivots[n] for n in numbers], float)
+            cosine = (x @ p.T) / np.maximum(1e-300, np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(p, axis=1))
+            best = cosine.argmax(1)
+            near = cosine[np.arange(len(rows)), best] >= NEAR
+            out[rows[near]] = np.array(numbers)[best[near]]
+    return out
+
+
 def asked(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     """(query_id, vec_id, score, copies) of a block: candidates (id, v, copies), queries (id, v, floor: a score that its kth is known to have, or null)."""
     out: list[tuple] = []
@@ -140,13 +160,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     rows = rows.filter("id is not null and v is not null").groupBy("id", "v").agg(F.max("q").alias("q"), F.least(F.count("*"), F.lit(k)).cast("int").alias("copies"))
     rows = settled(rows.withColumn("d", F.size("v")))
     sizes = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("q")).first()
-    signs = min(SIGNS, int(math.log2(max(1, sizes["n"] / CANDIDATES))))
     q_blocks = max(1, math.ceil(sizes["q"] / QUERIES))
-    # the leading signs as one number
-    cell = F.aggregate(F.slice("v", 1, signs), F.lit(0), lambda a, x: a * 2 + (x >= 0).cast("int")) if signs else F.lit(0)
-    rows = rows.withColumn("cell", cell).withColumn("h", F.xxhash64("id", "v"))
-    cells = settled(rows.groupBy("d", "cell").agg(F.ceil(F.count("*") / CANDIDATES).cast("int").alias("parts")))
-    rows = rows.join(cells, ["d", "cell"]).withColumn("part", F.pmod("h", "parts").cast("int")).drop("parts")
+    rows = rows.withColumn("h", F.xxhash64("id", "v"))
+    pivots = [np.array(r["v"], np.int64) for r in rows.orderBy("h", "id").limit(PIVOTS).select("v").collect()]
+
+    @F.arrow_udf("int")
+    def cell(v: pa.Array) -> pa.Array:
+        return pa.array(nearest_pivot(v.to_pylist(), pivots))
+
+    rows = settled(rows.withColumn("cell", cell("v")))
+    counted = rows.groupBy("d", "cell").agg(F.count("*").alias("n")).withColumn("own", F.when(F.col("n") >= MANY, F.col("cell")).otherwise(-1))
+    counted = settled(counted)
+    cells = settled(counted.groupBy("d", F.col("own").alias("cell")).agg(F.ceil(F.sum("n") / CANDIDATES).cast("int").alias("parts")))
+    rows = rows.join(counted.select("d", "cell", "own"), ["d", "cell"]).withColumn("cell", F.col("own")).drop("own").join(cells, ["d", "cell"]).withColumn("part", F.pmod("h", "parts").cast("int")).drop("parts")
     block, schema = ["d", "cell", "part"], "query_id long, vec_id long, score long, copies int"
     # renamed, so that the two sides don't share columns
     candidates = rows.select(*block, "id", "v", "copies").toDF(*block, "id", "v", "copies")

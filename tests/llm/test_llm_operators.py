@@ -637,6 +637,7 @@ def test_topk_over_several_blocks(spark, monkeypatch):
     """Groups of near copies, ties across blocks, repeated rows; each query block is asked of each block."""
     monkeypatch.setattr(topk, "CANDIDATES", 60)
     monkeypatch.setattr(topk, "QUERIES", 4)
+    monkeypatch.setattr(topk, "MANY", 5)
     r = np.random.default_rng(3)
     middles = r.normal(size=(8, 5))
     rows = [(n, [float(x) for x in np.round(middles[n % 8] * 3 + r.normal(size=5) * 0.02, 3)]) for n in range(600)]
