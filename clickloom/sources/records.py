@@ -15,9 +15,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from clickloom.functions.udfs import rc4, wire_encode, wire_fields
-
-Fields = dict[str, tuple[int, object]]
+from clickloom.functions.udfs import rc4, rc4_array
+from clickloom.sources.wire import Fields, arrow_type, from_base64, read, read_all, to_base64, written_all
+from clickloom.sources.wire import written as written
 
 #: The numbers of the fields that are read.
 DISPLAY: Fields = {"media_id": (1, "long"), "display_ip": (2, "long"), "display_time": (3, "long"), "event_id": (4, "long"), "is_fallback": (6, "bool"), "channel_id": (14, "long")}
@@ -29,57 +29,6 @@ TRACKING: Fields = {
     "click_id": (1, "string"), "muid": (2, "string"), "xxid": (3, "string"), "utrac_eid": (4, "long"), "is_landing": (5, "bool"), "is_from_ad": (6, "bool"), "ip": (7, "long"), "time": (8, "long"),
     "char_code": (9, "string"), "resolution": (10, "string"), "color_depth": (11, "string"), "page_title": (12, "string"), "page_url": (13, "string"), "page_host": (14, "string"), "page_path": (15, "string"), "click_hash": (16, "string"),
 }
-_KINDS = {"long": pa.int64(), "bool": pa.bool_(), "double": pa.float64(), "string": pa.string(), "bytes": pa.binary()}
-
-
-def arrow_type(kind: object) -> pa.DataType:
-    if isinstance(kind, dict):
-        return pa.struct([(name, arrow_type(k)) for name, (_, k) in kind.items()])
-    return pa.list_(arrow_type(kind[0])) if isinstance(kind, list) else _KINDS[kind]
-
-
-def _value(kind: object, raw: int | bytes) -> object:
-    if isinstance(kind, dict):
-        return read(raw, kind)
-    if kind == "double":
-        return struct.unpack("<d", raw)[0]
-    if kind in ("long", "bool"):
-        return bool(raw) if kind == "bool" else raw - (1 << 64) if raw >= 1 << 63 else raw
-    return raw.decode(errors="replace") if kind == "string" else raw
-
-
-def read(data: bytes, fields: Fields) -> dict:
-    """A message as a dictionary: absent fields null, of a repeated one all values, of others the last. ValueError if malformed."""
-    out: dict = {name: [] if isinstance(kind, list) else None for name, (_, kind) in fields.items()}
-    names = {number: (name, kind) for name, (number, kind) in fields.items()}
-    for number, wire, raw in wire_fields(data):
-        if number not in names:
-            continue
-        name, kind = names[number]
-        single = kind[0] if isinstance(kind, list) else kind
-        if (wire == 0) != (single in ("long", "bool")):
-            raise ValueError(f"field {number} is of another type")
-        if isinstance(kind, list):
-            out[name].append(_value(single, raw))
-        else:
-            out[name] = _value(single, raw)
-    return out
-
-
-def written(record: dict, fields: Fields) -> bytes:
-    """The wire form of a record; null fields are left out."""
-    out: list[tuple[int, int | bytes]] = []
-    for name, (number, kind) in fields.items():
-        values = record.get(name)
-        single = kind[0] if isinstance(kind, list) else kind
-        for v in [] if values is None else values if isinstance(kind, list) else [values]:
-            if isinstance(single, dict):
-                out.append((number, written(v, single)))
-            elif single in ("long", "bool"):
-                out.append((number, int(v) & (1 << 64) - 1))
-            else:
-                out.append((number, v.encode() if isinstance(v, str) else v))
-    return wire_encode(out)
 
 
 def _unpacked(text: str, fields: Fields, key: bytes | None) -> dict | None:
@@ -90,13 +39,17 @@ def _unpacked(text: str, fields: Fields, key: bytes | None) -> dict | None:
         return None
 
 
+def _unpacked_all(texts: pa.Array, fields: Fields, key: bytes | None) -> pa.StructArray:
+    data = from_base64(texts)
+    return read_all(rc4_array(data, key) if key else data, fields)
+
+
 def message(text: Column, fields: Fields, key: bytes | None = None) -> Column:
     """The struct in URL-safe base64, enciphered if a key is given; null if it is malformed."""
-    kind = arrow_type(fields)
 
-    @F.arrow_udf(from_arrow_type(kind))
+    @F.arrow_udf(from_arrow_type(arrow_type(fields)))
     def run(values: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else _unpacked(v, fields, key) for v in values.to_pylist()], kind)
+        return _unpacked_all(values, fields, key)
 
     return run(text)
 
@@ -106,8 +59,8 @@ def packed(record: Column, fields: Fields, key: bytes | None = None) -> Column:
 
     @F.arrow_udf("string")
     def run(values: pa.Array) -> pa.Array:
-        rows = (None if v is None else written(v, fields) for v in values.to_pylist())
-        return pa.array([None if r is None else base64.urlsafe_b64encode(rc4(r, key) if key else r).decode().rstrip("=") for r in rows], pa.string())
+        data = written_all(values, fields)
+        return to_base64(rc4_array(data, key) if key else data)
 
     return run(record)
 

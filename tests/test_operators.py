@@ -1,13 +1,18 @@
+import base64
+import random
+import struct
 import time
 from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from clickloom.functions.udfs import wire_encode
 from clickloom.operators import enrich, features, flow, models, scoring
-from clickloom.sources import images, ipdb, logs, records, sinks
+from clickloom.sources import images, ipdb, logs, records, sinks, wire
 
 
 def samples(spark, groups):
@@ -187,6 +192,63 @@ def test_records(spark):
     assert [r["x"] is None for r in rows] == [False, False, True, True]  # what isn't of the alphabet is skipped
 
 
+_INNER = {"a": (1, "long"), "b": (2, "string"), "c": (3, "double"), "d": (4, ["string"])}
+_OUTER = {"n": (1, "long"), "s": (2, "string"), "y": (3, "bytes"), "t": (4, "bool"), "m": (5, _INNER), "ns": (6, ["long"]), "ms": (7, [_INNER])}
+
+
+def _wire(rng, fields):
+    """A message with some fields twice, of other types, unknown, or cut short."""
+    out = b""
+    for _ in range(rng.randrange(6)):
+        number, kind = fields[rng.choice(list(fields))]
+        single = kind[0] if isinstance(kind, list) else kind
+        number = 99 if rng.random() < 0.02 else number
+        single = "string" if rng.random() < 0.02 else single
+        if single == "double":
+            out += wire_encode([(number, 0)])[:-1].replace(b"\x18", b"\x19") + rng.randbytes(8)
+        elif isinstance(single, dict):
+            out += wire_encode([(number, _wire(rng, single))])
+        else:
+            out += wire_encode([(number, rng.choice([0, 127, 128, 2**63, 2**64 - 1, 2**64 + 5]) if single in ("long", "bool") else rng.choice([b"", b"\xff\xfe", "é中".encode() * 9]))])
+    return out[: rng.randrange(len(out) + 1)] if rng.random() < 0.05 else out
+
+
+@pytest.mark.parametrize("few", [0, wire.FEW, 10**9])
+def test_records_in_columns(few):
+    rng = random.Random(few)
+    values = [None if rng.random() < 0.05 else _wire(rng, _OUTER) for _ in range(500)]
+
+    def one(v):
+        try:
+            return None if v is None else wire.read(v, _OUTER)
+        except (ValueError, struct.error):
+            return None
+
+    want = [one(v) for v in values]
+    got = wire.read_all(pa.array([b"x", *values], pa.binary()).slice(1), _OUTER, few)
+    got.validate(full=True)
+    assert 10 < got.null_count < 250 and repr(got.to_pylist()) == repr(want)
+    plain = {k: v for k, v in _OUTER.items() if k not in ("m", "ms")}
+    rows = pa.array([r and {k: r[k] for k in plain} for r in want], wire.arrow_type(plain))
+    assert wire.written_all(rows, plain).to_pylist() == [None if r is None else wire.written(r, plain) for r in rows.to_pylist()]
+
+
+def test_records_cost_no_steps_for_each(monkeypatch):
+    message = {"user_info": {"xxid": b"x", "muid": "m", "referer": "r", "user_agent": None, "original_referer": None}, "click_time": 5, "click_ip": 0, "click_url": "é", "click_hash": -2}
+    rows = pa.array([message] * 1000, wire.arrow_type(records.CLICK_EX))
+    calls = []
+    for name in ("read", "written", "wire_fields", "wire_encode"):
+        monkeypatch.setattr(wire, name, lambda *a, f=getattr(wire, name): calls.append(1) or f(*a))
+    assert wire.read_all(wire.from_base64(wire.to_base64(wire.written_all(rows, records.CLICK_EX))), records.CLICK_EX).equals(rows)
+    assert len(calls) <= 10  # the tags of the fields
+
+
+def test_a_number_too_large_does_not_end_the_job(spark):
+    text = base64.urlsafe_b64encode(wire_encode([(2, 2**64 + 5), (5, 2**65 - 1)])).decode()
+    row = spark.createDataFrame([(text,)], "m string").select(records.click_ex(F.col("m")).alias("x")).first()["x"]
+    assert (row["click_time"], row["click_hash"]) == (5, -1)
+
+
 def test_region_income(spark):
     income = spark.createDataFrame([("0100", 5.0), ("0203", 7.0)], "code string, income double")
     rows = spark.createDataFrame([("0101",), ("0203",), ("0999",)], "code string")
