@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from clickloom.functions.udfs import wire_encode
+from clickloom.functions.udfs import to_url_base64, wire_encode
 from clickloom.operators import enrich, features, flow, models, scoring
 from clickloom.sources import images, ipdb, logs, records, sinks, wire
 
@@ -243,6 +243,14 @@ def test_records_cost_no_steps_for_each(monkeypatch):
     assert len(calls) <= 10  # the tags of the fields
 
 
+def test_tracking_costs_no_steps_for_each(monkeypatch):
+    rows = pa.array([{n: f"{n}{k}" if kind == "string" else k % 2 == 1 if kind == "bool" else k - 50 for n, (_, kind) in records.TRACKING.items()} if k % 9 else None for k in range(100)], wire.arrow_type(records.TRACKING))
+    texts = wire.to_base64(wire.written_all(rows, records.TRACKING))
+    assert texts.to_pylist() == [None if r is None else to_url_base64(wire.written(r, records.TRACKING)) for r in rows.to_pylist()]
+    monkeypatch.setattr(wire, "read", None)
+    assert wire.read_all(wire.from_base64(texts), records.TRACKING).equals(rows)
+
+
 def test_a_number_too_large_does_not_end_the_job(spark):
     text = base64.urlsafe_b64encode(wire_encode([(2, 2**64 + 5), (5, 2**65 - 1)])).decode()
     row = spark.createDataFrame([(text,)], "m string").select(records.click_ex(F.col("m")).alias("x")).first()["x"]
