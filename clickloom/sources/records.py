@@ -7,16 +7,16 @@ or a list of one kind for a repeated field.
 
 from __future__ import annotations
 
-import base64
-import struct
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from clickloom.functions.udfs import rc4, rc4_array
-from clickloom.sources.wire import Fields, arrow_type, from_base64, read, read_all, to_base64, written_all
+from clickloom.functions.udfs import rc4_array
+from clickloom.sources.wire import Fields, arrow_type, from_base64, read_all, to_base64, written_all
+from clickloom.sources.wire import read as read
 from clickloom.sources.wire import written as written
 
 #: The numbers of the fields that are read.
@@ -31,15 +31,7 @@ TRACKING: Fields = {
 }
 
 
-def _unpacked(text: str, fields: Fields, key: bytes | None) -> dict | None:
-    try:
-        data = base64.urlsafe_b64decode(text + "=" * (-len(text) % 4))
-        return read(rc4(data, key) if key else data, fields)
-    except (ValueError, struct.error):
-        return None
-
-
-def _unpacked_all(texts: pa.Array, fields: Fields, key: bytes | None) -> pa.StructArray:
+def _unpacked(texts: pa.Array, fields: Fields, key: bytes | None) -> pa.StructArray:
     data = from_base64(texts)
     return read_all(rc4_array(data, key) if key else data, fields)
 
@@ -49,7 +41,7 @@ def message(text: Column, fields: Fields, key: bytes | None = None) -> Column:
 
     @F.arrow_udf(from_arrow_type(arrow_type(fields)))
     def run(values: pa.Array) -> pa.Array:
-        return _unpacked_all(values, fields, key)
+        return _unpacked(values, fields, key)
 
     return run(text)
 
@@ -85,16 +77,26 @@ def tracking_text(record: Column) -> Column:
     return packed(record, TRACKING)
 
 
+def _decoded_steps(values: pa.ListArray, kind: pa.ListType, key: bytes) -> pa.ListArray:
+    """All steps of a batch side by side; those that are null are left out."""
+    sizes = pc.list_value_length(values).fill_null(0).to_numpy(zero_copy_only=False)
+    steps = values.flatten()
+    present = steps.is_valid().to_numpy(zero_copy_only=False)
+    of = np.repeat(np.arange(len(values)), sizes)[present]
+    columns = dict(zip([f.name for f in steps.type], steps.filter(pa.array(present)).flatten(), strict=True))
+    clicks = pc.equal(columns["cate"], "click").fill_null(False)
+    ex, obj = (pc.if_else(clicks, columns[name].cast(pa.string()), pa.scalar(None, pa.string())) for name in ("clkex", "clkobj"))
+    decoded = [columns["cate"].cast(pa.string()), _unpacked(ex, CLICK_EX, None), _unpacked(obj, CLICK, key)]
+    places = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(values)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(places), pa.StructArray.from_arrays(decoded, fields=list(kind.value_type)), type=kind, mask=values.is_null())
+
+
 def session_paths(paths: Column, key: bytes) -> Column:
     """array<struct<cate, clkex, clkobj>> with the two texts of clicks decoded; of other steps they are null. No shuffle: a session is one value."""
     kind = pa.list_(pa.struct([("cate", pa.string()), ("clkex", arrow_type(CLICK_EX)), ("clkobj", arrow_type(CLICK))]))
 
-    def step(p: dict) -> dict:
-        is_click = p["cate"] == "click"
-        return {"cate": p["cate"], "clkex": _unpacked(p["clkex"], CLICK_EX, None) if is_click and p["clkex"] is not None else None, "clkobj": _unpacked(p["clkobj"], CLICK, key) if is_click and p["clkobj"] is not None else None}
-
     @F.arrow_udf(from_arrow_type(kind))
     def run(values: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else [step(p) for p in v if p is not None] for v in values.to_pylist()], kind)
+        return _decoded_steps(values, kind, key)
 
     return run(paths)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from clickloom.functions.udfs import to_url_base64, wire_encode
+from clickloom.functions.udfs import rc4, to_url_base64, wire_encode
 from clickloom.operators import enrich, features, flow, models, scoring
 from clickloom.sources import images, ipdb, logs, records, sinks, wire
 
@@ -251,6 +251,23 @@ def test_tracking_costs_no_steps_for_each(monkeypatch):
     assert wire.read_all(wire.from_base64(texts), records.TRACKING).equals(rows)
 
 
+def test_sessions_side_by_side(spark, monkeypatch):
+    ex = {"user_info": None, "click_time": 5, "click_ip": 0, "click_url": "é", "click_hash": -2}
+    obj = {"display_info": None, "frontend_spent": 1, "crc32": 2, "user_attr_list": [3, 4], "is_debug": None, "uctrac_clk": "u"}
+    a, b = to_url_base64(records.written(ex, records.CLICK_EX)), to_url_base64(rc4(records.written(obj, records.CLICK), b"k"))
+    click, other = {"cate": "click", "clkex": a, "clkobj": b}, {"cate": "pv", "clkex": a, "clkobj": None}
+    sessions = [[other, click], None, [], [click, None, {"cate": "click", "clkex": a[:9], "clkobj": None}], [{"cate": None, "clkex": a, "clkobj": b}, click]]
+    done, none = {"cate": "click", "clkex": ex, "clkobj": obj}, {"clkex": None, "clkobj": None}
+    want = [[{"cate": "pv", **none}, done], None, [], [done, {"cate": "click", **none}], [{"cate": None, **none}, done]]
+    rows = spark.createDataFrame([(n, s) for n, s in enumerate(sessions * 20)], "n int, p array<struct<cate string, clkex string, clkobj string>>").coalesce(1)
+    got = rows.select("n", records.session_paths(F.col("p"), b"k").alias("p")).orderBy("n").collect()
+    assert [r.asDict(recursive=True)["p"] for r in got] == want * 20
+    monkeypatch.setattr(wire, "read", None)
+    columns = pa.array(([[other, click]] * 50), pa.list_(pa.struct([(c, pa.string()) for c in ("cate", "clkex", "clkobj")])))
+    kind = pa.list_(pa.struct([("cate", pa.string()), ("clkex", wire.arrow_type(records.CLICK_EX)), ("clkobj", wire.arrow_type(records.CLICK))]))
+    assert records._decoded_steps(columns, kind, b"k").slice(3, 2).to_pylist() == [want[0]] * 2
+
+
 def test_a_number_too_large_does_not_end_the_job(spark):
     text = base64.urlsafe_b64encode(wire_encode([(2, 2**64 + 5), (5, 2**65 - 1)])).decode()
     row = spark.createDataFrame([(text,)], "m string").select(records.click_ex(F.col("m")).alias("x")).first()["x"]
