@@ -1,5 +1,6 @@
 import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +113,24 @@ def test_rc4_and_wire():
         udfs.wire_fields(b"\x12\x05ab")
 
 
+def test_rc4_column(spark, monkeypatch):
+    values = [b"Plaintext", None, b"", bytes(3000), b"\x00\xff"]
+    rows = spark.createDataFrame([(n, v) for n, v in enumerate(values)], "n int, v binary").coalesce(1)
+    got = [r["v"] for r in rows.select("n", udfs.rc4_column(F.col("v"), b"Key").alias("v")).orderBy("n").collect()]
+    assert [g and bytes(g) for g in got] == [v if v is None else udfs.rc4(v, b"Key") for v in values]
+    assert got[0].hex() == "bbf316e8d940af0ad3"
+    column, plain = pa.array([b"x", *values * 99], pa.binary()).slice(1), udfs.rc4_array(pa.array(values), b"Key")
+    monkeypatch.setattr(udfs._Stream, "__init__", None)  # the key's stream is there already
+    assert udfs.rc4_array(column, b"Key").to_pylist() == plain.to_pylist() * 99
+
+
+def test_rc4_needs_a_key():
+    with pytest.raises(ValueError):
+        udfs.rc4_array(pa.array([b"a"]), b"")
+    with pytest.raises(ValueError):
+        udfs.rc4(b"", b"")
+
+
 def test_udfs(spark):
     assert one(spark, udfs.html_text(F.lit("<p>a&amp;b<script>x</script><b>c"))) == "a&b c"
     assert one(spark, udfs.unescape(F.lit("&#20013;"))) == "中"
