@@ -1,4 +1,5 @@
 import datetime
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -131,6 +132,21 @@ def test_rc4_needs_a_key():
         udfs.rc4(b"", b"")
 
 
+def test_pages_are_held_one_at_a_time(spark):
+    pages = ["<p>a&amp;b<script>x</script><b>c", None, "", "<p>\u4e2d" + "x" * 100_000] * 60
+    want = ["a&b c", None, "", "\u4e2d" + "x" * 100_000] * 60
+    column = pa.array(["<p>skipped", *pages], pa.string()).slice(1)
+    tracemalloc.start()
+    got = udfs.singly(column, udfs.visible)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == want
+    assert peak < 5e6  # all texts at once take 12 MB
+    assert udfs.singly(column.slice(0, 0), udfs.visible).to_pylist() == []
+    rows = spark.createDataFrame([(n, v) for n, v in enumerate(pages[:4])], "n int, v string")
+    assert [r["v"] for r in rows.select("n", udfs.html_text(F.col("v")).alias("v")).orderBy("n").collect()] == want[:4]
+
+
 def test_udfs(spark):
     assert one(spark, udfs.html_text(F.lit("<p>a&amp;b<script>x</script><b>c"))) == "a&b c"
     assert one(spark, udfs.unescape(F.lit("&#20013;"))) == "中"
