@@ -243,6 +243,20 @@ def test_records_cost_no_steps_for_each(monkeypatch):
     assert len(calls) <= 10  # the tags of the fields
 
 
+@pytest.mark.parametrize("piece", [1, 3000, 1 << 21])
+def test_records_in_pieces(monkeypatch, piece):
+    monkeypatch.setattr(wire, "PIECE", piece)
+    rows = pa.array([{"user_attr_list": list(range(k)), "uctrac_clk": "u"} if k % 7 else None for k in range(200)], pa.struct([("user_attr_list", pa.list_(pa.int64())), ("uctrac_clk", pa.string())]))
+    texts = wire.written_all(rows, records.CLICK)
+    assert texts.to_pylist() == [r and wire.written(r, records.CLICK) for r in rows.to_pylist()]
+    sizes, longest = [], wire._parsed
+    monkeypatch.setattr(wire, "_parsed", lambda data, starts, ends, *a: sizes.append((len(starts), int((ends - starts).sum()))) or longest(data, starts, ends, *a))
+    got = wire.read_all(texts, records.CLICK)
+    assert got.field("user_attr_list").filter(got.is_valid()).to_pylist() == [list(range(k)) for k in range(200) if k % 7] and got.null_count == 29
+    assert piece > 3000 or max(n for n, _ in sizes) < 60
+    assert wire.read_all(texts.slice(0, 0), records.CLICK).to_pylist() == [] and wire.written_all(rows.slice(0, 0), records.CLICK).to_pylist() == []
+
+
 def test_tracking_costs_no_steps_for_each(monkeypatch):
     rows = pa.array([{n: f"{n}{k}" if kind == "string" else k % 2 == 1 if kind == "bool" else k - 50 for n, (_, kind) in records.TRACKING.items()} if k % 9 else None for k in range(100)], wire.arrow_type(records.TRACKING))
     texts = wire.to_base64(wire.written_all(rows, records.TRACKING))
