@@ -556,7 +556,9 @@ def _clicks(spark, sf_dir):
     pv = F.struct(shown.alias("display_info"), user.alias("user_info"), (k * 2).alias("render_time"))
     trac = F.struct(*[(F.concat(F.lit(f"{n}"), k) if kind == "string" else k % 2 == 1 if kind == "bool" else k + 5).alias(n) for n, (_, kind) in records.TRACKING.items()])
     texts = (records.packed(ex, records.CLICK_EX).alias("clkex"), records.packed(obj, records.CLICK, _KEY).alias("clkobj"), records.packed(pv, records.PAGE_VIEW).alias("pv"), records.tracking_text(trac).alias("trac"))
-    return table(spark, sf_dir, "customer").select("c_custkey", *texts)
+    # a file of one row group is read by one task; the rows are dealt out before the messages are made
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name").hint("rebalance")
+    return rows.select("c_custkey", *texts)
 
 
 @query("SELECT c_custkey, -c_custkey AS click_hash, 'http://r/?q=' || c_custkey AS referer, c_custkey % 7 AS media_id, [c_custkey, c_custkey + 1] AS attrs, c_name AS clk, c_custkey * 2 AS render_time, c_custkey % 2 = 0 AS is_fallback, TRUE AS broken FROM customer")

@@ -2,16 +2,19 @@ import base64
 import random
 import struct
 import time
+from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from clickloom.functions.udfs import rc4, to_url_base64, wire_encode
 from clickloom.operators import enrich, features, flow, models, scoring
+from clickloom.plans import catalogue
 from clickloom.sources import images, ipdb, logs, records, sinks, wire
 
 
@@ -265,6 +268,21 @@ def test_tracking_costs_no_steps_for_each(monkeypatch):
     assert wire.read_all(wire.from_base64(texts), records.TRACKING).equals(rows)
 
 
+@pytest.mark.parametrize("name", ["tracking_roundtrip", "click_messages", "session_paths"])
+def test_messages_of_one_row_group_are_dealt_out(spark, tmp_path, name):
+    keys = list(range(20_000)) + [7, 7, None]
+    pq.write_table(pa.table({"c_custkey": pa.array(keys, pa.int64()), "c_name": pa.array([f"Customer#{k}" for k in keys])}), tmp_path / "customer.parquet")
+    least = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    spark.conf.set(least, "1k")  # so that a small table counts as a large one
+    try:
+        got = catalogue.queries()[name](spark, str(tmp_path)).select("c_custkey", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset(least)
+    assert sorted(r["c_custkey"] for r in got if r["c_custkey"] is not None) == sorted(keys[:-1]) and len(got) == len(keys)
+    rows = Counter(r["task"] for r in got)
+    assert len(rows) > 1 and max(rows.values()) <= len(keys) / 2
+
+
 def test_sessions_side_by_side(spark, monkeypatch):
     ex = {"user_info": None, "click_time": 5, "click_ip": 0, "click_url": "é", "click_hash": -2}
     obj = {"display_info": None, "frontend_spent": 1, "crc32": 2, "user_attr_list": [3, 4], "is_debug": None, "uctrac_clk": "u"}
